@@ -1,0 +1,197 @@
+"""Main text of web pages from parser events: text-to-tag ratios, smoothed, choose the content region.
+
+A streaming standard-library parser turns a page into blocks: the text between two block-level tags, with the number of
+tags inside it. The logarithm of text characters per tag of each block is smoothed with a Gaussian; blocks above the threshold form the
+content cluster. The element that holds most of the cluster's text, at the deepest level that still holds ``share`` of
+it, is the main region, and an ``article`` or ``main`` around or inside it is preferred. All blocks of that region are
+kept, short ones too; what stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+reader comments inside or outside of it is not.
+
+Null html counts as empty. An empty page, or one without text, has empty text. Unclosed and stray tags are tolerated;
+``<br>`` is white space inside its block. Every row gives one row; other columns are not looked at.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import arrow_rows, python_rows
+
+#: Element names by role.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
+    "span strike strong sub sup time tt u var wbr br".split()
+)
+SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video".split())
+BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
+CONTENT = frozenset(("article", "main"))
+#: Words of class, id and role attributes that mark boilerplate.
+MARKED = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|"
+    r"consent|notice|notices|alert|gdpr|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|"
+    r"footer|comment|comments|disqus|respond|reply|replies|related|recommended|share|sharing|social|newsletter|"
+    r"subscribe|signup|popup|modal|overlay|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+SPACE = re.compile(r"\s+")
+CLOSES = frozenset("p li dt dd tr td th option".split())
+TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+
+
+class Node:
+    """An element on the way from the root to a block."""
+
+    __slots__ = ("name", "parent", "out", "depth", "content")
+
+    def __init__(self, name: str, parent: Node | None, out: bool) -> None:
+        self.name, self.parent, self.out = name, parent, out
+        self.depth = parent.depth + 1 if parent else 0
+        self.content = name in CONTENT
+
+
+class Blocks(HTMLParser):
+    """Collects (node, text, tags) for every block of a page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.node = Node("", None, False)
+        self.found: list[tuple[Node, str, int]] = []
+        self.parts: list[str] = []
+        self.tags = 0
+
+    def flush(self) -> None:
+        text = SPACE.sub(" ", "".join(self.parts)).strip()
+        if text:
+            self.found.append((self.node, text, self.tags))
+        self.parts, self.tags = [], 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in INLINE:
+            self.tags += 1
+            if tag == "br":
+                self.parts.append(" ")
+            if tag in VOID or not any(k in ("class", "id", "role") for k, v in attrs):
+                return
+            if not self.marks(tag, attrs):
+                return
+        self.flush()
+        if tag in VOID:
+            return
+        self.tags += 1
+        if tag in CLOSES and self.node.name == tag:
+            self.node = self.node.parent
+        self.node = Node(tag, self.node, self.node.out or self.marks(tag, attrs))
+
+    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in SILENT or tag in BOILERPLATE or (tag == "header" and not self.within(CONTENT)):
+            return True
+        if tag in CONTENT or tag in ("body", "html"):
+            return False
+        return any(k in ("class", "id", "role", "aria-label") and v and MARKED.search(v) for k, v in attrs) or any(
+            k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs
+        )
+
+    def within(self, names: frozenset[str]) -> bool:
+        node = self.node
+        while node:
+            if node.name in names:
+                return True
+            node = node.parent
+        return False
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        node = self.node
+        while node and node.name != tag:
+            node = node.parent
+        if tag in INLINE and not (node and node.out):
+            return
+        self.flush()
+        if node and node.parent:
+            self.node = node.parent
+
+    def handle_data(self, data: str) -> None:
+        if self.node.name not in SILENT:
+            self.parts.append(data)
+
+    def done(self) -> list[tuple[Node, str, int]]:
+        self.close()
+        self.flush()
+        return self.found
+
+
+def smoothed(values: list[float], sigma: float) -> list[float]:
+    """Gaussian smoothing; at the ends over the part of the kernel that lies inside."""
+    reach = math.ceil(3 * sigma)
+    kernel = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(reach + 1)]
+    out = []
+    for at in range(len(values)):
+        total = weight = 0.0
+        for i in range(max(0, at - reach), min(len(values), at + reach + 1)):
+            k = kernel[abs(i - at)]
+            total += k * values[i]
+            weight += k
+        out.append(total / weight)
+    return out
+
+
+def content_blocks(blocks: list[tuple[Node, str, int]], sigma: float, share: float) -> list[str]:
+    """Texts of the main region."""
+    kept = [b for b in blocks if not b[0].out]
+    if not kept:
+        return []
+    # Logarithms keep one very long block from raising the threshold above all others.
+    ratios = smoothed([math.log1p(len(text) / max(1, tags)) for _, text, tags in kept], sigma)
+    mean = sum(ratios) / len(ratios)
+    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    cluster = [(node, len(text)) for (node, text, _), r in zip(kept, ratios, strict=True) if r >= mean - spread]
+    mass: dict[Node, int] = {}
+    for node, size in cluster:
+        while node:
+            mass[node] = mass.get(node, 0) + size
+            node = node.parent
+    total = sum(size for _, size in cluster)
+    holders = [n for n, m in mass.items() if m >= share * total and n.name not in CLOSES]
+    marked = [n for n, m in mass.items() if n.content and m >= 0.5 * total]
+    region = max(marked or holders, key=lambda n: n.depth)
+    out = []
+    for node, text, _ in kept:
+        while node and node is not region:
+            node = node.parent
+        if node:
+            out.append(text)
+    return out
+
+
+def main_text(html: str, sigma: float = 1.5, share: float = 0.8) -> str:
+    """The main text of one page, its blocks joined by line breaks."""
+    parser = Blocks()
+    parser.feed(html)
+    return "\n".join(content_blocks(parser.done(), sigma, share))
+
+
+def extract_main_text(pages: DataFrame, sigma: float = 1.5, share: float = 0.8) -> DataFrame:
+    """page_id, url, text and n_chars (code points) of every page, in one pass without a shuffle."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in python_rows(batches):
+            yield arrow_rows([(page_id, url, main_text(html, sigma, share)) for page_id, url, html in rows], TEXTS)
+
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    return (
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html)
+        .mapInArrow(extract, "page_id long, url string, text string")
+        .withColumn("n_chars", F.char_length("text").cast("long"))
+    )
