@@ -23,3 +23,13 @@ def local_session(cores: int | str = 8, app: str = "plumbline", **conf: str) ->
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, beside what they find themselves."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    return spark
