@@ -8,6 +8,7 @@ from plumbline.llm.decontamination import contamination
 from plumbline.llm.html import extract_main_text
 from plumbline.llm.mixing import mix
 from plumbline.llm.secrets import secret_digest
+from plumbline.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -33,6 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
+    "op5_simhash": op5_simhash,
     "op8_html": op8_html,
     "op10_decontamination": op10_decontamination,
 }
