@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html import extract_main_text
+from plumbline.llm.lines import line_digest
 from plumbline.llm.mixing import mix
 from plumbline.llm.secrets import secret_digest
 from plumbline.llm.simhash import near_duplicates
+from plumbline.llm.substrings import repeats_query
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_query(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,8 +48,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
+    "op3_lines": op3_lines,
     "op5_simhash": op5_simhash,
     "op8_html": op8_html,
+    "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
 
