@@ -11,6 +11,7 @@ from plumbline.llm.mixing import mix
 from plumbline.llm.secrets import secret_digest
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.substrings import repeats_query
+from plumbline.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_lines": op3_lines,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
