@@ -68,44 +68,49 @@ def own_key() -> Column:
     return F.md5(F.col("text").cast("string").cast("binary"))
 
 
-def repeated_chunks(docs: DataFrame, modulus: int = 4) -> DataFrame:
-    """_id, _key and the array _gone of the chunk numbers to remove, for documents that lose any."""
+def _same(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join by document. Both joins of dedup_chunks shuffle the documents alike, so one exchange of texts serves them."""
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_key"))
+    return docs.join(other.hint("merge"), same, how)
+
+
+def candidates(docs: DataFrame, modulus: int = 4) -> DataFrame:
+    """_id, _key and the array _marks of (chunk, digest, is_first), for documents with chunks whose digest repeats."""
     chunks = with_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), modulus)
     place = F.struct("doc_id", "doc_key", "chunk")
     # An outer generator: for others the optimizer pushes a filter on the array, and so its whole making, below the steps.
     keyed = (
         chunks.select("doc_id", own_key().alias("doc_key"), F.inline_outer("_chunks"))
         .filter("lines > 1")
-        .withColumn("digest", F.xxhash64("body", "lines"))
+        .select("doc_id", "doc_key", "chunk", F.xxhash64("body", "lines").alias("digest"))
     )
+    keyed = written(keyed, "chunk-digests")
     # Rows that agree in doc_id and text have equal places, so the first and last place tell whether a chunk repeats.
-    seen = written(
-        keyed.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .filter(~F.col("first").eqNullSafe(F.col("last")))
-        .drop("last"),
-        "repeated-digests",
-    )
-    marked = written(keyed.join(seen, "digest"), "repeated-chunks")
-    is_first = place.eqNullSafe(F.col("first"))
-    bodies = written(marked.filter(is_first).groupBy("digest").agg(F.first("body").alias("first_body")), "first-chunks")
-    return (
-        marked.filter(~is_first)
-        .join(bodies, "digest")
-        .filter(F.col("body") == F.col("first_body"))
-        .groupBy("doc_id", "doc_key")
-        .agg(F.collect_set("chunk").alias("_gone"))
-        .withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"})
-    )
+    seen = keyed.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    seen = written(seen.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "repeated-digests")
+    mark = F.struct("chunk", "digest", place.eqNullSafe(F.col("first")).alias("is_first"))
+    marked = keyed.join(seen.hint("merge"), "digest").groupBy("doc_id", "doc_key").agg(F.collect_set(mark).alias("_marks"))
+    return written(marked.withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}), "candidate-chunks")
 
 
 def dedup_chunks(docs: DataFrame, modulus: int = 4) -> DataFrame:
     """``docs`` with the text that stays, and _total and _removed, the numbers of lines before and removed."""
-    gone = repeated_chunks(docs, modulus)
     held = docs.withColumn("_own", own_key())
-    joined = with_chunks(
-        held.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left"), modulus
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    bodies = (
+        with_chunks(_same(held, candidates(docs, modulus), "inner"), modulus)
+        .select(*every, "_id", "_key", "_chunks", F.explode_outer("_marks").alias("_mark"))
+        .select("_id", "_key", "_mark.*", F.get("_chunks", F.col("_mark.chunk"))["body"].alias("body"))
+    )
+    firsts = bodies.filter("is_first").groupBy("digest").agg(F.first("body").alias("first_body"))
+    gone = (
+        bodies.filter("not is_first")
+        .join(firsts.hint("merge"), "digest")
+        .filter(F.col("body") == F.col("first_body"))
+        .groupBy("_id", "_key")
+        .agg(F.collect_set("chunk").alias("_gone"))
     )
+    joined = with_chunks(_same(held, gone, "left"), modulus)
     stays = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["chunk"]))
     count = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + c["lines"])
     lost = F.col("_gone").isNotNull()
