@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontamination import contamination
-from plumbline.llm.html import extract_main_text
+from plumbline.llm.main_text import extract_main_text
 from plumbline.llm.lines import line_digest
 from plumbline.llm.mixing import mix
-from plumbline.llm.secrets import secret_digest
+from plumbline.llm.secret_scan import secret_digest
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.substrings import repeats_query
 from plumbline.llm.toxicity import toxicity
+from plumbline.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
