@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def matrix(rows: pd.Series, width: int) -> np.ndarray:
+def matrix(rows: list, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
@@ -159,31 +158,35 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
     parts = F.element_at(F.create_map(*(F.lit(int(x)) for c, n in sizes.items() for x in (c, -(-n // block)))), F.col("cell"))
     placed = table.withColumn("blk", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), parts))
 
-    def best_rows(q_ids: np.ndarray, best: Best) -> pd.DataFrame:
+    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    homes = pa.schema([*found, ("floor", pa.float64()), ("v", pa.list_(pa.float64())), ("blk", pa.int64())])
+
+    def best_rows(q_ids: np.ndarray, best: Best) -> list[pa.Array]:
         q, ids, scores = best.rows()
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids, "score": scores.astype(np.int64)})
-
-    def at_home(rows: pd.DataFrame) -> pd.DataFrame:
-        """The queries of a block against the block; the query's vector comes along in a row of its own."""
-        own = rows[rows["vec_id"] % every == 0]
-        if not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "floor": [], "v": [], "blk": []})
-        own = own.assign(_v=own["v"].map(tuple)).sort_values(["vec_id", "_v"]).drop_duplicates("vec_id")
-        q_ids = own["vec_id"].to_numpy()
-        out = []
-        ids, c = rows["vec_id"].to_numpy(), matrix(rows["v"], width)
-        for at in range(0, len(own), chunk):
-            some = slice(at, at + chunk)
-            best = search(q_ids[some], matrix(own["v"].iloc[some], width), ids, c, np.full(len(q_ids[some]), -np.inf), points, top, k)
-            got = best_rows(q_ids[some], best)
-            out.append(got.assign(floor=None, v=None, blk=None))
-            out.append(
-                pd.DataFrame({"query_id": q_ids[some], "vec_id": None, "score": None, "floor": best.floor, "v": list(own["v"].iloc[some]), "blk": own["blk"].iloc[some].to_numpy()})
-            )
-        return pd.concat([o for o in out if len(o)], ignore_index=True)
+        return [pa.array(q_ids[q]), pa.array(ids), pa.array(scores.astype(np.int64))]
+
+    def at_home(rows: pa.Table) -> pa.Table:
+        """The queries of a block against the block; each query comes along with its vector in a row of its own."""
+        ids, held = rows.column("vec_id").to_numpy(), rows.column("v").to_pylist()
+        own: dict[int, list[float]] = {}
+        for i in np.flatnonzero(ids % every == 0).tolist():
+            own[int(ids[i])] = min(own.get(int(ids[i]), held[i]), held[i])
+        c, q_ids = matrix(held, width), np.array(sorted(own), dtype=np.int64)
+        out = [homes.empty_table()]
+        for at in range(0, len(q_ids), chunk):
+            some = q_ids[at : at + chunk]
+            vectors = [own[int(i)] for i in some]
+            best = search(some, matrix(vectors, width), ids, c, np.full(len(some), -np.inf), points, top, k)
+            got = best_rows(some, best)
+            none = [pa.nulls(len(got[0]), homes.field(n).type) for n in (3, 4, 5)]
+            out.append(pa.Table.from_arrays([*got, *none], schema=homes))
+            blank = pa.nulls(len(some), pa.int64())
+            blk = pa.array(np.full(len(some), rows.column("blk")[0].as_py(), dtype=np.int64))
+            out.append(pa.Table.from_arrays([pa.array(some), blank, blank, pa.array(best.floor), pa.array(vectors, pa.list_(pa.float64())), blk], schema=homes))
+        return pa.concat_tables(out)
 
     home = written(
-        placed.select("vec_id", "v", "blk").groupBy("blk").applyInPandas(at_home, FOUND + ", floor double, v array<double>, blk long"), "home"
+        placed.select("vec_id", "v", "blk").groupBy("blk").applyInArrow(at_home, FOUND + ", floor double, v array<double>, blk long"), "home"
     )
     ranges = [f(F.get("table", F.lit(p))) for p in range(len(points)) for f in (F.min, F.max)]
     summary = placed.groupBy("blk").agg(F.array(*ranges).alias("ranges"))
@@ -193,18 +196,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
     chunks = max(1, -(-queries.count() // chunk))
     sent = _sent(queries, summary, points, width, top, part)
     sent = written(sent.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")), "sent")
-    meets = sent.select("blk", "chunk").distinct()
-    offered = placed.select("vec_id", "v", "blk").join(meets, "blk")
-
-    def away(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q_ids = queries["query_id"].to_numpy()
-        floor = queries["floor"].to_numpy(dtype=np.float64)
-        best = search(q_ids, matrix(queries["v"], width), rows["vec_id"].to_numpy(), matrix(rows["v"], width), floor, points, top, k)
-        return best_rows(q_ids, best)
-
-    elsewhere = sent.groupBy("blk", "chunk").cogroup(offered.groupBy("blk", "chunk")).applyInPandas(away, FOUND)
+    meets = sent.select(F.col("blk").alias("to_blk"), F.col("chunk").alias("to_chunk")).distinct()
+    offered = placed.select("vec_id", "v", "blk").join(meets, F.col("blk") == F.col("to_blk")).drop("blk")
+
+    def away(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        if not queries.num_rows or not rows.num_rows:
+            return found.empty_table()
+        q_ids, floor = queries.column("query_id").to_numpy(), queries.column("floor").to_numpy()
+        q, c = matrix(queries.column("v").to_pylist(), width), matrix(rows.column("v").to_pylist(), width)
+        best = search(q_ids, q, rows.column("vec_id").to_numpy(), c, floor, points, top, k)
+        return pa.Table.from_arrays(best_rows(q_ids, best), schema=found)
+
+    elsewhere = sent.groupBy("blk", "chunk").cogroup(offered.groupBy("to_blk", "to_chunk")).applyInArrow(away, FOUND)
     same = home.filter("vec_id is not null").select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
