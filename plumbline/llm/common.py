@@ -56,3 +56,12 @@ def text_of(column: str = "text") -> Column:
 def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id as text, modulo ``parts``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made, when nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if "/plumbline/" in name:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

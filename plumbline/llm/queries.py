@@ -11,6 +11,7 @@ from plumbline.llm.mixing import mix
 from plumbline.llm.secret_scan import secret_digest
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.substrings import repeats_query
+from plumbline.llm.suffix_tree import language_scores
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.topk import top_k
 
@@ -43,6 +44,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
