@@ -194,3 +194,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns, in one pass for every block of items."""
+    passes = []
+    for block in blocks(benchmark, block_bytes):
+        prefixes = Prefixes(block, width)
+        prefixes.order(rarity(docs, prefixes.vocabulary))
+        passes.append(docs.sparkSession.sparkContext.broadcast((prefixes.windows, prefixes.by_word)))
+    if not passes:
+        return docs
+
+    def hits_of(sent):
+        @F.pandas_udf("array<int>")
+        def hits(texts):
+            held = Prefixes.__new__(Prefixes)
+            held.windows, held.by_word = sent.value
+            return texts.map(lambda text: [x for span in held.hits(words_of(text))[0] for x in span])
+
+        return hits
+
+    @F.pandas_udf("boolean")
+    def clean(texts, spans):
+        def ok(text, flat):
+            both = merged(list(zip(flat[0::2], flat[1::2], strict=True)))
+            n = sum(b - a for a, b in both)
+            return not (n > 0 and n * share >= len(words_of(text)))
+
+        return texts.combine(spans, ok)
+
+    spans = F.concat(*(hits_of(sent)(text_of()) for sent in passes))
+    marked = docs.withColumn("_spans", spans)
+    return marked.filter((F.size("_spans") == 0) | clean(text_of(), F.col("_spans"))).drop("_spans")

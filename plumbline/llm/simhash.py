@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_rows, python_rows, text_of, written
@@ -142,3 +142,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, dense: int
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their component, one row of each id; rows without id stay."""
+    kept = near_duplicates(docs, width, radius).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    own = F.col("doc_id").cast("long")
+    once = Window.partitionBy(own).orderBy("text")
+    named = docs.filter("doc_id is not null").join(kept, own == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(once))
+    return named.filter("_n = 1").drop("_n").unionByName(docs.filter("doc_id is null"))
