@@ -139,18 +139,17 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(weights, first) if len(keys) else weights
 
 
-def grown(tops: DataFrame, depth: int, min_count: int, gain: float) -> DataFrame:
-    """The tree: level, key and n for the next symbols of every kept context, the root's at level 0."""
-    mask = F.element_at(F.array(*(F.lit((1 << WIDTH * (k + 1)) - 1 if k < 3 else -1).cast("long") for k in range(depth + 1))), F.col("at") + 1)
-    every = tops.select("key", "n", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("at")).select(
-        F.col("at").alias("level"), F.col("key").bitwiseAND(mask).alias("key"), "n"
-    )
-    counts = written(every.groupBy("level", "key").agg(F.sum("n").alias("n")), "symbols")
-    context = F.shiftright("key", WIDTH)
-    totals = counts.groupBy("level", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    totals = written(totals, "totals")
+def grown(counts: DataFrame, depth: int, min_count: int, gain: float) -> DataFrame:
+    """The tree: level, key and n for the next symbols of every kept context, the root's at level 0.
+
+    ``counts`` has one row (level, key, n) for every context and next symbol. A context has at most one row for each
+    symbol of the alphabet, so those of one context fit into one group.
+    """
+    own = Window.partitionBy("level", "context")
     wide = written(
-        counts.withColumn("context", context).join(totals, ["level", "context"]).filter((F.col("level") == 0) | (F.col("total") >= min_count)),
+        counts.withColumn("context", F.shiftright("key", WIDTH))
+        .select("level", "key", "context", "n", F.sum("n").over(own).alias("total"), F.count("*").over(own).alias("kinds"))
+        .filter((F.col("level") == 0) | (F.col("total") >= min_count)),
         "wide",
     )
     cut = F.element_at(F.array(*(F.lit((1 << WIDTH * k) - 1).cast("long") for k in range(depth + 1))), F.col("level") + 1)
@@ -234,7 +233,7 @@ def count_class(c: Column) -> Column:
 
 
 def sequences(packed: DataFrame, words: DataFrame, total: int, kinds: int, shares: dict[int, float], depth: int) -> DataFrame:
-    """Documents as symbol sequences, with what needs no context; and rows (level, key, n) of their batch's contexts."""
+    """Documents as symbol sequences, with what needs no context; and the counts (level, key, n) of their batch."""
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -279,7 +278,10 @@ def sequences(packed: DataFrame, words: DataFrame, total: int, kinds: int, share
                     waiting = 0
         learn()
         levels, keys, numbers = [], [], []
-        for level in range(1, depth + 1):
+        for level in range(depth, -1, -1):
+            # What has a longer context counts for this one too.
+            if keys:
+                counted[level].append((keys[-1] & ((1 << WIDTH * (level + 1)) - 1), numbers[-1]))
             if counted[level]:
                 k, n = summed(*map(np.concatenate, zip(*counted[level], strict=True)))
                 levels.append(np.full(len(k), level, dtype=np.int32))
@@ -326,7 +328,7 @@ def language_scores(
     docs: DataFrame,
     held_out: int = 2,
     folds: int = 7,
-    depth: int = 3,
+    depth: int = 2,
     min_count: int = 8,
     gain: float = 4.0,
     frequent: float = 2e-4,
@@ -365,8 +367,8 @@ def language_scores(
     spelled = written(sequences(packed, told, total, kinds, shares, depth), "sequences")
     discard(packed)
     discard(words)
-    tops = spelled.filter("level is not null").groupBy("level", "key").agg(F.sum("n").alias("n"))
-    tree = grown(written(tops, "contexts"), depth, min_count, gain)
+    counts = spelled.filter("level is not null").groupBy("level", "key").agg(F.sum("n").alias("n"))
+    tree = grown(counts, depth, min_count, gain)
     texts = spelled.filter("level is null").select(
         "doc_id", "held_out", "n_tokens", "n_known", "base_score", F.col("inside").alias("score"), "symbols"
     )
