@@ -32,12 +32,14 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests, UUIDs, numbers and dates, and identifiers whose parts are words with a short number.
+#: A word, camel case words, or capitals, with up to four digits behind.
+PART = r"(?:(?:[A-Z]?+[a-z]{2,}+)+|[A-Za-z]|[A-Z]+)?[0-9]{0,4}"
+#: Known digests, UUIDs, numbers and dates, and identifiers or paths whose parts are words.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
-    r"|[/_=+-]*(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*)"
+    rf"|{PART}(?:[/_=+-]+{PART})*)"
 )
 SPANS = pa.schema([("doc_id", pa.int64()), ("kinds", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 

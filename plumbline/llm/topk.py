@@ -26,6 +26,7 @@ query is never compared to rows of its own id. An empty vector scores 0 with all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +225,7 @@ def _sent(queries: DataFrame, summary: DataFrame, points: np.ndarray, width: int
     out = None
     rows = summary.toLocalIterator()
     while True:
-        held = [(r["blk"], r["ranges"]) for r, _ in zip(rows, range(part))]
+        held = [(r["blk"], r["ranges"]) for r in islice(rows, part)]
         if not held and out is not None:
             return out
         blocks = np.array([b for b, _ in held], dtype=np.int64)
