@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search",)
+MODULES = ("search", "rows", "joins", "windows", "texts")
 
 
 def load() -> None:
