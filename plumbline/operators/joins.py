@@ -41,7 +41,7 @@ def follow_imports(imports: DataFrame, symbols: DataFrame, best: Sequence[Column
     target, wanted = split_import(F.col("import_from"))
     tail = lambda module: F.element_at(F.split(module, r"\."), -1)
     held = symbols.select(
-        F.col("name").alias("s_name"), F.col("module").alias("s_module"), F.col("kind").alias("s_kind"), F.col("import_from").alias("s_from"),
+        F.col("name").alias("s_name"), F.col("module").alias("s_module"), F.col("kind").alias("s_kind"), F.col("import_from").alias("s_import_from"),
         *(F.col(c).alias(f"s_{c}") for c in symbols.columns if c not in ("name", "module", "kind", "import_from")),
     ).withColumn("_tail", tail(F.col("s_module")))
     open_ = imports.withColumns({"_target": target, "_wanted": wanted, "_seen": F.array().cast("array<string>")})
@@ -58,15 +58,15 @@ def follow_imports(imports: DataFrame, symbols: DataFrame, best: Sequence[Column
         keys = list(imports.columns)
         ranked = best_per_key(found, keys, [F.col("s_name").isNull(), exact, *best])
         here = F.concat_ws("::", "s_module", "s_name")
-        more = F.col("s_from").isNotNull() & ~F.array_contains("_seen", here)
+        more = F.col("s_import_from").isNotNull() & ~F.array_contains("_seen", here)
         if step == depth - 1:
             more = F.lit(False)
-        ended = ranked.filter(~F.coalesce(more, F.lit(False))).withColumn("resolved", F.col("s_name").isNotNull() & F.col("s_from").isNull())
+        ended = ranked.filter(~F.coalesce(more, F.lit(False))).withColumn("resolved", F.col("s_name").isNotNull() & F.col("s_import_from").isNull())
         ended = ended.drop("_target", "_wanted", "_seen")
         done = ended if done is None else done.unionByName(ended)
         if step == depth - 1:
             break
-        target, wanted = split_import(F.col("s_from"))
+        target, wanted = split_import(F.col("s_import_from"))
         again = ranked.filter(more).withColumns({"_seen": F.concat("_seen", F.array(here)), "_target": target, "_wanted": wanted})
         open_ = again.select(*keys, "_target", "_wanted", "_seen").checkpoint()
         if open_.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "rows", "joins", "windows", "texts")
+MODULES = ("search", "rows", "joins", "windows", "texts", "sources")
 
 
 def load() -> None:

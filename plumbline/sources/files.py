@@ -103,8 +103,7 @@ def listing(spark: SparkSession, roots: Sequence[str], excludes: Sequence[str] =
 
 def read_texts(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """``files`` with their text; files that are gone, unreadable or not UTF-8 are dropped."""
-    schema = files.schema.add("text", "string")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", text string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
