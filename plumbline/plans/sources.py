@@ -150,9 +150,13 @@ def source_semantic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.semantic_spans(sources(spark, sf_dir))
 
 
-@query("source_diagnostics")
+@query(
+    "source_diagnostics",
+    f"WITH {ORDERED} SELECT '/lib/parts/' || b || '.py' AS path, (4 * i + 2)::INTEGER AS start_line, 'caret-power:warning' AS label FROM parts",
+)
 def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.diagnostics(sources(spark, sf_dir))
+    texts = sources(spark, sf_dir).withColumn("text", F.replace("text", F.lit("(x)"), F.lit("(x ^ 2)")))
+    return extract.diagnostics(texts).select("path", "start_line", "label")
 
 
 @query("source_rewritten")
