@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import oracles
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.main_text import extract_main_text
 from plumbline.llm.lines import line_digest
@@ -73,4 +74,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
+    "op3_lines": oracles.LINES,
+    "op6_topk": oracles.TOP_K,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}
