@@ -131,22 +131,118 @@ def links(prints: DataFrame, radius: int = 2, dense: int = 1000) -> DataFrame:
     return pairs.unionByName(spokes).distinct()
 
 
+def named(prints: DataFrame, held: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of ``prints``; ``held`` has each fp once with its least id."""
+    roots = components(edges)
+    placed = held.join(roots, held["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, dense: int = 1000) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component."""
     prints = written(fingerprints(docs, width), "prints")
     held = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(held, radius, dense))
-    placed = held.join(roots, held["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return named(prints, held, links(held, radius, dense))
+
+
+def neighbours(held: DataFrame, tables: int, window: int, radius: int, group: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of fingerprints within ``radius`` bits that lie near each other in one of several sorted orders.
+
+    Each order sorts by another permutation of the bits, so two fingerprints that differ in few bits share a long
+    prefix in some of them. Neighbours whose pivot distances differ too much are discarded, the rest verified. Work
+    and pairs grow with the number of fingerprints, not with its square, however many are alike.
+    """
+    cut = max(0, int(np.ceil(np.log2(max(1, held.count()) / group))))
+    orders = [np.random.default_rng(seed).permutation(64)[:32] for seed in range(tables)]
+    pivots = np.array(SPREAD[:24], dtype=np.uint64)
+
+    def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            bits = np.unpackbits(fp.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for t, order in enumerate(orders):
+                key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u4").ravel().astype(np.int64)
+                place = np.full(len(fp), t, dtype=np.int64) << 32 | key >> (32 - cut)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(key), batch.column(0)], names=["place", "key", "fp"])
+
+    def near(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+        fp = rows.column("fp").to_numpy()[order].view(np.uint64)
+        table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+        a, b = [], []
+        for step in range(1, window + 1):
+            left, right = fp[:-step], fp[step:]
+            alike = np.abs(table[:-step] - table[step:]).max(axis=1, initial=0) <= radius
+            alike[alike] = np.bitwise_count(left[alike] ^ right[alike]) <= radius
+            a.append(left[alike].view(np.int64))
+            b.append(right[alike].view(np.int64))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    spread = held.select("fp").mapInArrow(permuted, "place long, key long, fp long")
+    return spread.groupBy("place").applyInArrow(near, "a long, b long").distinct()
+
+
+def shingle_set(text: str, width: int) -> bytes:
+    """The sorted distinct 32-bit hashes of a text's shingles."""
+    words = text.encode().lower().split()
+    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, joined), dtype=np.uint32, count=len(joined))).tobytes()
+
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have this Jaccard similarity or more."""
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, one row of each id; rows without id stay."""
-    kept = near_duplicates(docs, width, radius).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = (np.frombuffer(z.as_py(), dtype=np.uint32) for z in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
+                keep.append(both >= similarity * max(1, len(u) + len(v) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("a_set"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("b_set"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, tables: int = 48, window: int = 2) -> DataFrame:
+    """Like near_duplicates(), for copies with more changes: components of texts whose shingle sets are similar.
+
+    Fingerprints within two bits are linked as they are, all of them. Beyond, pairs within ``radius`` bits come from
+    neighbours() and are linked if the sets of shingles of one document of each fingerprint, the one of the least id,
+    have a Jaccard similarity of ``similarity`` or more. Of a group of candidates each is first compared to one
+    of them; only those that fail are compared to all their candidates, so large groups cost no square.
+    """
+    prints = written(fingerprints(docs, width), "prints")
+    held = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    close = written(links(held, 2), "close")
+    pairs = written(neighbours(held, tables, window, radius).join(close, ["a", "b"], "left_anti"), "candidates")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    chosen = held.join(asked, "fp", "left_semi").filter("least is not null")
+    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in python_rows(batches):
+            yield arrow_rows([(fp, shingle_set(text, width)) for fp, text in rows], schema)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), text_of().alias("text"))
+    sets = texts.join(chosen, "least").select("fp", "text").mapInArrow(scan, "fp long, shingles binary")
+    sets = written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+    stars = written(components(pairs).distinct().filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
+    first = written(similar(stars, sets, similarity), "first")
+    failed = stars.join(first, ["a", "b"], "left_anti").select("b").distinct()
+    again = pairs.join(failed, "b", "left_semi").unionByName(pairs.join(failed.withColumnRenamed("b", "a"), "a", "left_semi")).distinct()
+    second = similar(again.join(stars, ["a", "b"], "left_anti"), sets, similarity)
+    return named(prints, held, close.unionByName(first).unionByName(second))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their near_copies() component, one row of each id; rows without id stay."""
+    kept = near_copies(docs, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     own = F.col("doc_id").cast("long")
     once = Window.partitionBy(own).orderBy("text")
     named = docs.filter("doc_id is not null").join(kept, own == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(once))

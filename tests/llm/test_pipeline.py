@@ -18,7 +18,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
             removed = lines.dedup_chunks(held).agg({"_removed": "sum"}).first()[0]
             assert lines.line_digest(new).count() == counts[-1] and removed >= 0
         if name == "near duplicates":
-            groups = simhash.near_duplicates(held).select("component_id").distinct().count()
+            groups = simhash.near_copies(held).select("component_id").distinct().count()
             assert counts[-1] == groups
         if name == "decontamination":
             bench = spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -333,3 +333,56 @@ def test_main_text_of_articles(spark, sf):
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<(?!br)[^>]*>", "", p).replace("<br>", " "))).strip() for p in re.split(r"</?(?:h1|p)>", body)]
         assert main_text.main_text(r["html"]) == "\n".join(p for p in parts if p)
+
+
+def test_near_copies_match_brute_force(spark):
+    rng = random.Random(13)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(rng.choice((30, 120, 400)))] for _ in range(25)]
+    rows = []
+    for words in base:
+        for _ in range(rng.choice((1, 2, 4))):
+            copy = list(words)
+            for _ in range(rng.choice((0, 1, len(words) // 60))):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((len(rows), " ".join(copy), "en", "s", 0))
+    sets = {r[0]: simhash.shingle_set(r[1], 5) for r in rows}
+    as_set = lambda b: {b[i : i + 4] for i in range(0, len(b), 4)}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            u, v = as_set(sets[a]), as_set(sets[b])
+            if len(u & v) >= 0.8 * len(u | v):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert got == {d: find(d) for d in sets}
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()) == sorted({find(d) for d in sets})
+
+
+def test_substring_repeats_match_brute_force(spark):
+    rng = random.Random(4)
+    sentences = [" ".join(rng.choices(NAMES, k=rng.randint(2, 12))).capitalize() + "." for _ in range(60)]
+    rows = [(i, rng.choice(["", "Lead in. "]) + rng.choice([" ", "\n"]).join(rng.choices(sentences, k=rng.randint(0, 25))), "en", "s", 0) for i in range(60)]
+    units = {r[0]: substrings.units_of(r[1]) for r in rows}
+    first = {}
+    for d, found in units.items():
+        for a, _, _, digest in found:
+            place = (d, substrings.text_key(rows[d][1]), a)
+            first[digest] = min(first.get(digest, place), place)
+    want = []
+    for d, found in units.items():
+        run = []
+        for a, b, n, digest in [*found, (None, None, 0, None)]:
+            if digest and first[digest] != (d, substrings.text_key(rows[d][1]), a):
+                run.append((a, b, n, first[digest][0]))
+            else:
+                if sum(x[2] for x in run) >= 20:
+                    want.append((d, run[0][0], run[-1][1], len(run), sum(x[2] for x in run), sorted({x[3] for x in run})))
+                run = []
+    got = [(r["doc_id"], r["start"], r["end"], r["n_units"], r["n_words"], r["first_ids"]) for r in substrings.repeated_spans(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and want
