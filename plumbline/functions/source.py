@@ -486,9 +486,12 @@ def block_end(code: Code, line: int) -> int:
     last = line
     for n in range(line + 1, len(code.starts)):
         row = code.line(n)
+        outside = len(row) - len(row.lstrip()) <= own and row.strip()
+        if outside and row.lstrip().startswith("#"):
+            continue
+        if outside and code.is_code(code.starts[n]):
+            break
         if row.strip():
-            if len(row) - len(row.lstrip()) <= own and code.is_code(code.starts[n]):
-                break
             last = n
     return last
 

@@ -56,7 +56,7 @@ def follow_imports(imports: DataFrame, symbols: DataFrame, best: Sequence[Column
         found = asked.join(held, match, "left").drop("_ask_tail", "_tail")
         exact = (F.col("s_module") != F.col("_target")).cast("int")
         keys = list(imports.columns)
-        ranked = best_per_key(found, keys, [F.col("s_name").isNull(), exact, *best])
+        ranked = best_per_key(found, keys, [F.col("s_name").isNull(), exact, *best]).checkpoint()
         here = F.concat_ws("::", "s_module", "s_name")
         more = F.col("s_import_from").isNotNull() & ~F.array_contains("_seen", here)
         if step == depth - 1:
@@ -68,7 +68,7 @@ def follow_imports(imports: DataFrame, symbols: DataFrame, best: Sequence[Column
             break
         target, wanted = split_import(F.col("s_import_from"))
         again = ranked.filter(more).withColumns({"_seen": F.concat("_seen", F.array(here)), "_target": target, "_wanted": wanted})
-        open_ = again.select(*keys, "_target", "_wanted", "_seen").checkpoint()
+        open_ = again.select(*keys, "_target", "_wanted", "_seen")
         if open_.isEmpty():
             break
     return done

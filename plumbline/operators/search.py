@@ -53,10 +53,14 @@ def search_rank(name: Column, module: Column, term: str, word_breaks: str | None
 
 
 def ranked_search(
-    symbols: DataFrame, term: str, limit: int, word_breaks: str | None = "_", tie_breakers: Sequence[str] = ()
+    symbols: DataFrame, term: str, limit: int, word_breaks: str | None = "_", tie_breakers: Sequence[str] = (), others: bool = False
 ) -> DataFrame:
-    """The ``limit`` best rows for ``term``: by rank, then kind and extension where known, length, name and module."""
-    ranked = symbols.withColumn("rank", search_rank(F.col("name"), F.col("module"), term, word_breaks)).filter("rank < 5")
+    """The ``limit`` best rows for ``term``: by rank, then kind and extension where known, length, name and module.
+
+    ``others`` keeps rows that don't hold the term, behind all that do.
+    """
+    ranked = symbols.withColumn("rank", search_rank(F.col("name"), F.col("module"), term, word_breaks))
+    ranked = ranked if others else ranked.filter("rank < 5")
     known = [kind_rank(F.col("kind"))] if "kind" in symbols.columns else []
     known += [role_rank(F.col("path"))] if "path" in symbols.columns else []
     return ranked.orderBy("rank", *known, F.length("name"), "name", "module", *tie_breakers).limit(limit)
@@ -66,7 +70,7 @@ def like_search(symbols: DataFrame, term: str, limit: int, literal: bool = False
     """Rows whose name or module is LIKE %term%; without ``literal`` a ``_`` or ``%`` of the term is a wildcard."""
     pattern = f"%{literal_like(term.lower()) if literal else term.lower()}%"
     hit = F.expr(f"lower(name) LIKE {_sql(pattern)} ESCAPE '~' OR lower(module) LIKE {_sql(pattern)} ESCAPE '~'")
-    return ranked_search(symbols.filter(hit).withColumn("_all", F.lit(1)), term, limit, None, tie_breakers).drop("_all")
+    return ranked_search(symbols.filter(hit), term, limit, None, tie_breakers, others=True)
 
 
 def _sql(text: str) -> str:

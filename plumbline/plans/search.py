@@ -51,9 +51,7 @@ def symbol_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_search_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wildcards in the term match, but rank behind all literal hits."""
     rows = _parts(spark, sf_dir).drop("brand")
-    hit = F.lower("name").like("%o_d%") | F.lower("module").like("%o_d%")
-    ranked = rows.filter(hit).withColumn("rank", search.search_rank(F.col("name"), F.col("module"), "o_d", None))
-    return ranked.orderBy("rank", F.length("name"), "name", "module", "part_key").limit(50).select("part_key", "name", "module", "rank")
+    return search.like_search(rows, "o_d", 50, tie_breakers=("part_key",)).select("part_key", "name", "module", "rank")
 
 
 @query(
