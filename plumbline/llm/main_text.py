@@ -41,6 +41,9 @@ MARKED = re.compile(
     r"subscribe|signup|popup|modal|overlay|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of these words, those that also mark an article or main element, or that don't mark anything inside one.
+OTHER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comment|comments|respond|reply|replies|related|recommended)(?:$|[\s_-])", re.IGNORECASE)
+OWN = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 CLOSES = frozenset("p li dt dd tr td th option".split())
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -91,13 +94,19 @@ class Blocks(HTMLParser):
         self.node = Node(tag, self.node, self.node.out or self.marks(tag, attrs))
 
     def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SILENT or tag in BOILERPLATE or (tag == "header" and not self.within(CONTENT)):
+        inside = self.within(CONTENT)
+        if tag in SILENT or tag in BOILERPLATE or (tag == "header" and not inside):
             return True
-        if tag in CONTENT or tag in ("body", "html"):
+        if tag in ("body", "html"):
             return False
-        return any(k in ("class", "id", "role", "aria-label") and v and MARKED.search(v) for k, v in attrs) or any(
-            k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs
-        )
+        for k, v in attrs:
+            if k == "hidden" or (k == "aria-hidden" and v == "true"):
+                return True
+            if k in ("class", "id", "role", "aria-label") and v:
+                told = OWN.sub("", v) if inside else v
+                if (OTHER if tag in CONTENT else MARKED).search(told):
+                    return True
+        return False
 
     def within(self, names: frozenset[str]) -> bool:
         node = self.node

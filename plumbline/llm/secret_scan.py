@@ -79,7 +79,7 @@ def dense_spans(text: str, known: list[tuple[int, int, str]], vocabulary: str, r
     return found
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.2) -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
     """One row per document: doc_id and the arrays kinds, starts and ends of its spans, ordered by start, then kind.
 
     One pass over the texts without a shuffle; a worker holds a few hundred texts at a time. ``vocabulary`` is a rank
@@ -100,7 +100,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2
     )
 
 
-def secret_digest(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.2) -> DataFrame:
+def secret_digest(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.0) -> DataFrame:
     """Counts per base kind, the digest of the base spans, and all spans as text, per document."""
     spans = scan_secrets(docs, vocabulary, ratio).withColumn(
         "said", F.arrays_zip("kinds", "starts", "ends")

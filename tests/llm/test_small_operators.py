@@ -76,7 +76,7 @@ def test_secret_spans():
     spans = secret_scan.pattern_spans(text)
     assert [k for _, _, k in spans] == ["assign", "hex", "access"]
     assert text[spans[0][0] : spans[0][1]] == 'Token: "abcdef0123456789abcdef'
-    dense = lambda t: secret_scan.dense_spans(t, [], secret_scan.VOCABULARY, 2.2)
+    dense = lambda t: secret_scan.dense_spans(t, [], secret_scan.VOCABULARY, 2.0)
     assert dense("key xQ9zL2mV7pRt4KwY8sB1nD6 end") and not dense("a_long_but_wordy_identifier_v2 here")
     assert not dense("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08")
     assert not dense("123e4567-e89b-12d3-a456-426614174000")
@@ -326,6 +326,26 @@ def test_main_text_of_a_page_without_article(spark):
     assert got[2]["text"] == got[3]["text"] == got[4]["text"] == "" and got[None]["text"] == "plain & text" and got[5]["text"] == "open never\nclosed"
 
 
+def test_main_text_leaves_comments_and_keeps_article_heads():
+    page = (
+        "<body><main><article><header class='entry-header'><h1>Title</h1></header><p>A long enough paragraph of the article itself, with words.</p>"
+        "<div class='share-links'>Share</div><p>Another one that belongs to the article as well.</p></article>"
+        "<article class='comment'><p>A reader writes something rather long about all of this, indeed.</p></article></main>"
+        "<div id='side-bar' class='sidebar'><p>Other news of the day that nobody asked for at all.</p></div></body>"
+    )
+    assert main_text.main_text(page) == "Title\nA long enough paragraph of the article itself, with words.\nAnother one that belongs to the article as well."
+
+
+def test_sweep_deletes_written_tables(spark):
+    from plumbline.llm import common
+
+    held = common.written(spark.range(3), "swept")
+    assert held.count() == 3
+    common.sweep(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(held.inputFiles()[0])
+
+
 def test_main_text_of_articles(spark, sf):
     import html
 
