@@ -131,12 +131,18 @@ def fit(rows: list[tuple[int, bool, bytes]], shares: tuple[float, float], swap_w
     if not pos or not neg:
         share = (shares[1] + 1) / (sum(shares) + 2)
         return Model(math.log(share / (1 - share)), {})
-    inside = lambda chosen: np.bincount(np.concatenate([np.unique(texts[i]) for i in chosen]), minlength=BUCKETS)
-    a, b = inside(np.flatnonzero(y == 1)), inside(np.flatnonzero(y == 0))
-    p, q = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
-    both = (a + b + 1) / (pos + neg + 2)
-    test = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / pos + 1 / neg))
-    chosen = np.flatnonzero((test >= z) & (a + b >= 3))
+    # One small counter per bucket and class, tested a slice at a time, keeps the driver's memory low.
+    counts = np.zeros((2, BUCKETS), dtype=np.int32)
+    for ids, label in zip(texts, labels, strict=True):
+        counts[label, np.unique(ids)] += 1
+    found = []
+    for at in range(0, BUCKETS, 1 << 18):
+        b, a = counts[:, at : at + (1 << 18)].astype(np.float64)
+        p, q, both = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1), (a + b + 1) / (pos + neg + 2)
+        test = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / pos + 1 / neg))
+        found.append(at + np.flatnonzero((test >= z) & (a + b >= 3)))
+    chosen = np.concatenate(found)
+    del counts
     column = np.full(BUCKETS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     held = [c[c >= 0] for c in (column[t] for t in texts)]
@@ -176,10 +182,11 @@ def train(
     z: float = 3.0,
 ) -> Model:
     """The classifier, from at most ``sample`` labelled rows of each class."""
-    rows = sample_features(docs, labels, held_out, folds, sample).collect()
+    told = sample_features(docs, labels, held_out, folds, sample).toArrow()
+    rows = list(zip(*(told.column(c).to_pylist() for c in ("toxic", "pair", "features")), strict=True))
+    del told
     counts = {r["toxic"]: r["n"] for r in labels.filter("toxic is not null").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    ordered = _ordered([(r["toxic"], r["pair"], bytes(r["features"])) for r in rows])
-    return fit(ordered, (counts.get(0, 0), counts.get(1, 0)), swap_weight, l2, steps, z)
+    return fit(_ordered(rows), (counts.get(0, 0), counts.get(1, 0)), swap_weight, l2, steps, z)
 
 
 def _ordered(rows: list[tuple[int, bool, bytes]]) -> list[tuple[int, bool, bytes]]:
