@@ -177,7 +177,7 @@ def train(
     folds: int = 4,
     sample: int = 4000,
     swap_weight: float = 1.0,
-    l2: float = 3e-4,
+    l2: float = 1e-4,
     steps: int = 300,
     z: float = 3.0,
 ) -> Model:
