@@ -147,8 +147,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, dense: int
     return named(prints, held, links(held, radius, dense))
 
 
-def neighbours(held: DataFrame, tables: int, window: int, radius: int, group: int = 50_000) -> DataFrame:
-    """Pairs (a, b) of fingerprints within ``radius`` bits that lie near each other in one of several sorted orders.
+def neighbours(held: DataFrame, tables: int, radius: int, early: int, group: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of fingerprints within ``radius`` bits that are neighbours in one of several sorted orders.
+
+    Next but one counts as a neighbour if the one between isn't within the radius of both. ``early`` tells whether the
+    pair shows in the first ``early`` orders.
 
     Each order sorts by another permutation of the bits, so two fingerprints that differ in few bits share a long
     prefix in some of them. Neighbours whose pivot distances differ too much are discarded, the rest verified. Work
@@ -171,18 +174,23 @@ def neighbours(held: DataFrame, tables: int, window: int, radius: int, group: in
         order = np.argsort(rows.column("key").to_numpy(), kind="stable")
         fp = rows.column("fp").to_numpy()[order].view(np.uint64)
         table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
-        a, b = [], []
-        for step in range(1, window + 1):
+
+        def alike(step: int) -> np.ndarray:
             left, right = fp[:-step], fp[step:]
-            alike = np.abs(table[:-step] - table[step:]).max(axis=1, initial=0) <= radius
-            alike[alike] = np.bitwise_count(left[alike] ^ right[alike]) <= radius
-            a.append(left[alike].view(np.int64))
-            b.append(right[alike].view(np.int64))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            close = np.abs(table[:-step] - table[step:]).max(axis=1, initial=0) <= radius
+            close[close] = np.bitwise_count(left[close] ^ right[close]) <= radius
+            return close
+
+        one, two = alike(1), alike(2)
+        two &= ~(one[:-1] & one[1:]) if len(two) else two
+        a = np.concatenate([fp[:-1][one], fp[:-2][two]]).view(np.int64)
+        b = np.concatenate([fp[1:][one], fp[2:][two]]).view(np.int64)
+        first = bool(len(rows)) and rows.column("place")[0].as_py() >> 32 < early
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "early": np.full(len(a), first)})
 
     spread = held.select("fp").mapInArrow(permuted, "place long, key long, fp long")
-    return spread.groupBy("place").applyInArrow(near, "a long, b long").distinct()
+    found = spread.groupBy("place").applyInArrow(near, "a long, b long, early boolean")
+    return found.groupBy("a", "b").agg(F.max("early").alias("early"))
 
 
 def shingle_set(text: str, width: int) -> bytes:
@@ -209,18 +217,18 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, tables: int = 48, window: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, tables: int = 48, early: int = 12) -> DataFrame:
     """Like near_duplicates(), for copies with more changes: components of texts whose shingle sets are similar.
 
     Fingerprints within two bits are linked as they are, all of them. Beyond, pairs within ``radius`` bits come from
     neighbours() and are linked if the sets of shingles of one document of each fingerprint, the one of the least id,
-    have a Jaccard similarity of ``similarity`` or more. Of a group of candidates each is first compared to one
-    of them; only those that fail are compared to all their candidates, so large groups cost no square.
+    have a Jaccard similarity of ``similarity`` or more. Pairs of the first ``early`` orders are compared first; of the
+    others only those whose components still differ, which changes no component and spares most pairs of large groups.
     """
     prints = written(fingerprints(docs, width), "prints")
     held = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     close = written(links(held, 2), "close")
-    pairs = written(neighbours(held, tables, window, radius).join(close, ["a", "b"], "left_anti"), "candidates")
+    pairs = written(neighbours(held, tables, radius, early), "candidates")
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     chosen = held.join(asked, "fp", "left_semi").filter("least is not null")
     schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
@@ -232,12 +240,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), text_of().alias("text"))
     sets = texts.join(chosen, "least").select("fp", "text").mapInArrow(scan, "fp long, shingles binary")
     sets = written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
-    stars = written(components(pairs).distinct().filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
-    first = written(similar(stars, sets, similarity), "first")
-    failed = stars.join(first, ["a", "b"], "left_anti").select("b").distinct()
-    again = pairs.join(failed, "b", "left_semi").unionByName(pairs.join(failed.withColumnRenamed("b", "a"), "a", "left_semi")).distinct()
-    second = similar(again.join(stars, ["a", "b"], "left_anti"), sets, similarity)
-    return named(prints, held, close.unionByName(first).unionByName(second))
+    first = similar(pairs.filter("early").drop("early"), sets, similarity)
+    roots = written(components(close.unionByName(first)).distinct(), "roots")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = pairs.filter("not early").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    linked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return named(prints, held, linked.unionByName(similar(apart, sets, similarity)))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
