@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_rows, python_rows, text_of, written
+from plumbline.llm.common import arrow_rows, discard, python_rows, text_of, written
 from plumbline.llm.graph import components
 
 GROUPS, AGREE = 6, 4
@@ -39,23 +39,29 @@ SPREAD = [(0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64) for j in range(31)]
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of one text, unsigned."""
+def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles in order; none of a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)],
         dtype=np.uint64,
         count=len(starts),
     )
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes, unsigned."""
+    if len(hashes) <= 1:
+        return int(hashes[0]) if len(hashes) else 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -63,6 +69,11 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(sum(1 << i for i, n in enumerate(ones.tolist()) if 2 * n > len(hashes)))
 
 
+def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of one text, unsigned."""
+    return folded(shingle_hashes(text, width, seed))
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -147,61 +158,81 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, dense: int
     return named(prints, held, links(held, radius, dense))
 
 
-def neighbours(held: DataFrame, tables: int, radius: int, early: int, group: int = 50_000) -> DataFrame:
-    """Pairs (a, b) of fingerprints within ``radius`` bits that are neighbours in one of several sorted orders.
+def distinct_shingles(hashes: np.ndarray) -> bytes:
+    return np.unique(hashes.astype(np.uint32)).tobytes()
+
+
+def shingle_set(text: str, width: int) -> bytes:
+    """The sorted distinct 32-bit hashes of a text's shingles."""
+    return distinct_shingles(shingle_hashes(text, width))
+
+
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, the shingle set of every document, and own, a digest of both, in one pass."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("own", pa.int64()), ("shingles", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in python_rows(batches):
+            out = []
+            for doc_id, text in rows:
+                hashes = shingle_hashes(text, width)
+                fp, held = folded(hashes), distinct_shingles(hashes)
+                out.append((doc_id, signed(fp), signed(xxhash.xxh64_intdigest(held, fp)), held))
+            yield arrow_rows(out, schema)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return texts.mapInArrow(scan, "doc_id long, fp long, own long, shingles binary")
 
-    Next but one counts as a neighbour if the one between isn't within the radius of both. ``early`` tells whether the
-    pair shows in the first ``early`` orders.
 
-    Each order sorts by another permutation of the bits, so two fingerprints that differ in few bits share a long
-    prefix in some of them. Neighbours whose pivot distances differ too much are discarded, the rest verified. Work
-    and pairs grow with the number of fingerprints, not with its square, however many are alike.
+def common_shingles(sets: DataFrame, sample: int = 5_000, most: int = 100_000) -> np.ndarray:
+    """At most ``most`` shingles that a sample of the sets holds several times, the most frequent last.
+
+    They only order the shingles. Any order finds all pairs; one with rare shingles first has fewer to discard.
     """
-    cut = max(0, int(np.ceil(np.log2(max(1, held.count()) / group))))
-    orders = [np.random.default_rng(seed).permutation(64)[:32] for seed in range(tables)]
-    pivots = np.array(SPREAD[:24], dtype=np.uint64)
+    every = max(1, sets.count() // sample)
 
-    def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            bits = np.unpackbits(fp.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for t, order in enumerate(orders):
-                key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u4").ravel().astype(np.int64)
-                place = np.full(len(fp), t, dtype=np.int64) << 32 | key >> (32 - cut)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(key), batch.column(0)], names=["place", "key", "fp"])
-
-    def near(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("key").to_numpy(), kind="stable")
-        fp = rows.column("fp").to_numpy()[order].view(np.uint64)
-        table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
-
-        def alike(step: int) -> np.ndarray:
-            left, right = fp[:-step], fp[step:]
-            close = np.abs(table[:-step] - table[step:]).max(axis=1, initial=0) <= radius
-            close[close] = np.bitwise_count(left[close] ^ right[close]) <= radius
-            return close
-
-        one, two = alike(1), alike(2)
-        two &= ~(one[:-1] & one[1:]) if len(two) else two
-        a = np.concatenate([fp[:-1][one], fp[:-2][two]]).view(np.int64)
-        b = np.concatenate([fp[1:][one], fp[2:][two]]).view(np.int64)
-        first = bool(len(rows)) and rows.column("place")[0].as_py() >> 32 < early
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "early": np.full(len(a), first)})
-
-    spread = held.select("fp").mapInArrow(permuted, "place long, key long, fp long")
-    found = spread.groupBy("place").applyInArrow(near, "a long, b long, early boolean")
-    return found.groupBy("a", "b").agg(F.max("early").alias("early"))
+            held = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else [], pa.int32())], names=["token"])
 
+    some = sets.filter(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).select("shingles").mapInArrow(tokens, "token int")
+    often = some.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(most)
+    return often.toArrow().column("token").to_numpy()[::-1].view(np.uint32)
 
-def shingle_set(text: str, width: int) -> bytes:
-    """The sorted distinct 32-bit hashes of a text's shingles."""
-    words = text.encode().lower().split()
-    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
-    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, joined), dtype=np.uint32, count=len(joined))).tobytes()
+
+def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """token, own, n and at: the first shingles of every set in one order of all, n its size and ``at`` their place.
+
+    Of n shingles the first n - ceil(similarity * n) + 1 are taken. Two sets of this similarity share one of them.
+    """
+    order = np.argsort(common, kind="stable")
+    known, rank = common[order], order.astype(np.int64) + 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, owns, sizes, places = [], [], [], []
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = np.frombuffer(raw.as_py(), dtype=np.uint32)
+                if not len(held):
+                    continue
+                ranks = np.zeros(len(held), dtype=np.int64)
+                if len(known):
+                    to = np.minimum(np.searchsorted(known, held), len(known) - 1)
+                    ranks = np.where(known[to] == held, rank[to], 0)
+                taken = len(held) - int(np.ceil(similarity * len(held) - 1e-9)) + 1
+                tokens.append(held[np.lexsort((held, ranks))[:taken]].view(np.int32))
+                owns.append(np.full(taken, own, dtype=np.int64))
+                sizes.append(np.full(taken, len(held), dtype=np.int32))
+                places.append(np.arange(taken, dtype=np.int32))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owns, sizes, places)], names=["token", "own", "n", "at"])
+
+    return sets.select("own", "shingles").mapInArrow(scan, "token int, own long, n int, at int")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets have this Jaccard similarity or more."""
+    """The fingerprints of those ``pairs`` (a, b) of sets that have this Jaccard similarity or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,41 +243,66 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * max(1, len(u) + len(v) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("a_set"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("b_set"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long")
+    side = lambda c: sets.select(F.col("own").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_fp <> b_fp")
+    return both.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_set", "b_set").mapInArrow(check, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, tables: int = 48, early: int = 12) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns: int = 3) -> DataFrame:
     """Like near_duplicates(), for copies with more changes: components of texts whose shingle sets are similar.
 
-    Fingerprints within two bits are linked as they are, all of them. Beyond, pairs within ``radius`` bits come from
-    neighbours() and are linked if the sets of shingles of one document of each fingerprint, the one of the least id,
-    have a Jaccard similarity of ``similarity`` or more. Pairs of the first ``early`` orders are compared first; of the
-    others only those whose components still differ, which changes no component and spares most pairs of large groups.
+    Fingerprints within two bits are linked as they are. Beyond, all pairs of sets with a Jaccard similarity of
+    ``similarity`` or more are linked: they share a shingle of their prefixes(). Sets of a shingle are first compared
+    with one or two of their shingle only, in some ``turns``; then all pairs whose components still differ are, which
+    changes no component and spares most pairs of large groups. A shingle's pairs are split by their components.
     """
-    prints = written(fingerprints(docs, width), "prints")
+    prints = written(shingled(docs, width), "prints")
     held = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    close = written(links(held, 2), "close")
-    pairs = written(neighbours(held, tables, radius, early), "candidates")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    chosen = held.join(asked, "fp", "left_semi").filter("least is not null")
-    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in python_rows(batches):
-            yield arrow_rows([(fp, shingle_set(text, width)) for fp, text in rows], schema)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), text_of().alias("text"))
-    sets = texts.join(chosen, "least").select("fp", "text").mapInArrow(scan, "fp long, shingles binary")
-    sets = written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
-    first = similar(pairs.filter("early").drop("early"), sets, similarity)
-    roots = written(components(close.unionByName(first)).distinct(), "roots")
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.filter("not early").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    linked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return named(prints, held, linked.unionByName(similar(apart, sets, similarity)))
+    sets = written(prints.select("own", "fp", "shingles").dropDuplicates(["own"]), "sets")
+    first = written(prefixes(sets, similarity, common_shingles(sets)), "prefixes")
+    often = first.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    # Sets of one band differ by less than a fifth in size.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2))).cast("int")
+    shared = first.join(often, "token").join(sets.select("own", "fp"), "own").select("token", "own", "n", "at", "fp", band.alias("band"))
+    shared = written(shared, "shared")
+    discard(first)
+    linked = written(links(held, 2), "close")
+    for turn in range(turns + 1):
+        roots = written(components(linked).distinct(), "roots")
+        linked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        placed = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "own", "n", "at", "band", F.coalesce("root", "fp").alias("root"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        shared_still = written(placed.join(mixed.select("token"), "token"), "open")
+        if turn < turns:
+            pairs = some_pairs(shared_still, turn)
+        else:
+            pairs = all_pairs(shared_still, similarity)
+        linked = linked.unionByName(similar(written(pairs, "pairs"), sets, similarity))
+    return named(prints.select("doc_id", "fp"), held, linked)
+
+
+def some_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """For every set at most two of its shingles' and band's sets of another component."""
+    pick = F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "root")
+    ends = rows.groupBy("token", "band").agg(F.min(pick).alias("low"), F.max(pick).alias("high"))
+    both = rows.join(ends, ["token", "band"])
+    other = lambda c: F.when(F.col(f"{c}.root") != F.col("root"), F.col(c))
+    best = both.groupBy("own").agg(F.min(other("low")).alias("low"), F.max(other("high")).alias("high"))
+    partner = best.select("own", F.explode(F.array("low.own", "high.own")).alias("other")).filter("other is not null")
+    return partner.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of sets of different components that share a shingle, but for those that can't be similar enough."""
+    kinds = rows.select("token", "root").distinct()
+    apart = kinds.withColumnRenamed("root", "a_root").join(kinds.withColumnRenamed("root", "b_root"), "token").filter("a_root < b_root")
+    side = lambda c: rows.select("token", *(F.col(n).alias(f"{c}_{n}") for n in ("root", "own", "n", "at")))
+    both = apart.join(side("a"), ["token", "a_root"]).join(side("b"), ["token", "b_root"])
+    # The first shingle that two sets share has all others behind it in both.
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
+    return both.filter(enough & sizes).select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

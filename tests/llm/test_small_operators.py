@@ -384,6 +384,27 @@ def test_near_copies_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()) == sorted({find(d) for d in sets})
 
 
+def test_near_copies_find_pairs_in_a_crowd(spark):
+    """Pairs of similarity 0.8 or a little more among many texts; sorted orders of fingerprints missed some of these."""
+    rng = random.Random(29)
+    rows, want = [], {}
+    for n in range(3000):
+        words = [f"v{rng.randrange(50_000)}" for _ in range(110)]
+        rows.append((2 * n, " ".join(words), "en", "s", 0))
+        want[2 * n] = 2 * n
+        if n < 400:
+            copy = list(words)
+            for at in (20, 60):
+                copy[at] = "changed"
+            a, b = (simhash.shingle_set(" ".join(w), 5) for w in (words, copy))
+            a, b = ({s[i : i + 4] for i in range(0, len(s), 4)} for s in (a, b))
+            assert 0.8 <= len(a & b) / len(a | b) < 0.85
+            rows.append((2 * n + 1, " ".join(copy), "en", "s", 0))
+            want[2 * n + 1] = 2 * n
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_substring_repeats_match_brute_force(spark):
     rng = random.Random(4)
     sentences = [" ".join(rng.choices(NAMES, k=rng.randint(2, 12))).capitalize() + "." for _ in range(60)]
