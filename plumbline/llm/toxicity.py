@@ -61,12 +61,17 @@ def _packed(words: set[bytes]) -> bytes:
     return np.array([f for w in sorted(words) for f in features_of(w)], dtype=np.int32).tobytes()
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, held_out: int, folds: int, sample: int) -> DataFrame:
-    """Feature buckets of the sampled training texts (pair false) and, for each swapped copy, of it (pair true, behind its text)."""
+def learned_labels(labels: DataFrame, held_out: int, folds: int) -> DataFrame:
+    """doc_id and toxic of every labelled document outside the held-out fold."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    known = known.filter(fold("doc_id", folds) != held_out)
+    return known.filter(fold("doc_id", folds) != held_out)
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, held_out: int, folds: int, sample: int) -> DataFrame:
+    """Feature buckets of the sampled training texts (pair false) and, for each swapped copy, of it (pair true, behind its text)."""
+    known = learned_labels(labels, held_out, folds)
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(
         known.filter("toxic = 0").orderBy(*order).limit(sample)
@@ -185,7 +190,7 @@ def train(
     told = sample_features(docs, labels, held_out, folds, sample).toArrow()
     rows = list(zip(*(told.column(c).to_pylist() for c in ("toxic", "pair", "features")), strict=True))
     del told
-    counts = {r["toxic"]: r["n"] for r in labels.filter("toxic is not null").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in learned_labels(labels, held_out, folds).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     return fit(_ordered(rows), (counts.get(0, 0), counts.get(1, 0)), swap_weight, l2, steps, z)
 
 

@@ -427,3 +427,14 @@ def test_substring_repeats_match_brute_force(spark):
                 run = []
     got = [(r["doc_id"], r["start"], r["end"], r["n_units"], r["n_words"], r["first_ids"]) for r in substrings.repeated_spans(docs(spark, rows)).collect()]
     assert sorted(got) == sorted(want) and want
+
+
+def test_class_shares_leave_out_held_out_labels(spark, monkeypatch):
+    rows = [(i, "some words here", "en", "s", 0) for i in range(40)]
+    out = {r["doc_id"] for r in docs(spark, rows).filter(toxicity.fold("doc_id", 4) == 2).collect()}
+    labels = spark.createDataFrame([(i, int(i in out or i % 3 == 0)) for i in [*range(40), 0]], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, shares, *rest: seen.append(shares))
+    toxicity.train(docs(spark, rows), labels)
+    told = [i for i in range(40) if i not in out]
+    assert out and seen == [(sum(i % 3 > 0 for i in told), sum(i % 3 == 0 for i in told))]
