@@ -1,62 +1,110 @@
 """Language-model scores by a probabilistic suffix tree, beside a smoothed unigram score.
 
 Tokens are the words of a text (runs of other than ASCII white space, A-Z in lower case) and one end. As in the unigram
-score, all words that the training texts lack are one event. A token's symbol is the word itself if it makes up
-``frequent`` of all training tokens or more (so there are at most 1 / frequent such symbols), else the class of words
-of about the same count: 0, 1, 2-3, 4-7 and so on. The probability of a token is that of its symbol after the symbols
-before it, times the word's share of its class.
-
-The tree predicts symbols from contexts of up to ``depth`` symbols. Training counts each token by the symbol that it
-would have without this one occurrence, so words seen once stand for new ones. A context is kept where its next-symbol
-distribution diverges from that of its parent, the context without its first symbol: it must have been seen
-``min_count`` times, and leaving each occurrence out in turn, predicting it by the context must win ``gain`` nats over
-the parent. A context is kept with all its suffixes, so the longest kept suffix is found by walking down. Distributions
-are smoothed with that of their parent by the Witten-Bell rule, the root's with the uniform one.
-
-Texts are cut into batches of about ``batch_bytes``. A batch is written once: its distinct words with their training
-counts, and each document as indexes into them. Words are counted over all batches in one shuffle by word and go back
-to their batches in a second; there documents become sequences of symbols, and contexts are counted before they are
-shuffled. No text is shuffled, and nothing is dropped or capped.
-
-The tree goes to the workers in shards of at most about ``shard_rows`` symbol counts, chosen by the two symbols next to
-the predicted one; each pass over the sequences adds the positions of its shard. So what is broadcast is bounded by
-parameter, and its size is counted before.
-
-Null text counts as empty: one end. A very long text is a batch of its own. Repeated rows are documents of their own,
-and all count. Ids may be null (they are learned from). An empty table gives an empty result. Other columns are ignored.
+score, all words that the training texts lack are one event. A word seen more than ``frequent`` times in training is a
+symbol of its own, so the alphabet grows with the corpus; the others share the symbol of their class of about the same
+count: 0, 1, 2-3, 4-7 and so on. The probability of a token is that of its symbol after the symbols before it, times
+the word's share of its class. Training counts a word of a class by the class it would have without this one
+occurrence, so words seen once stand for new ones. Only symbols that exist take part, and probabilities sum to one.
+
+The tree predicts symbols from contexts of up to ``depth`` symbols. Level by level, a context is counted where it was
+seen ``min_count`` times or more, and retained where its next-symbol distribution diverges from that of its longest
+retained suffix: leaving each occurrence out in turn, predicting it by the context must win ``gain`` nats. A retained
+context's distribution is (n + m * p) / (N + m), with p that of its longest retained suffix, N its count, n that with
+the symbol, and m the level's ``smoothing``; the longest retained context of a position gives its probability.
+
+Texts are cut into batches of about ``batch_bytes``, a longer text being one of its own. A batch is one row: its texts as
+one sequence. Whatever must be counted over the corpus (words, symbols behind contexts, contexts) is reduced to the
+distinct keys of a batch with their counts; keys go to buckets by ranges of their hash, are summed there, and the sums
+go back to the batches that asked, in the order of the keys. Each level is two such exchanges, the second along with the
+first of the next level. No task holds more than a batch or a bucket, nothing is broadcast, and only the histogram of
+counts up to ``frequent`` reaches the driver. Words and contexts are told apart by hashes of 64 bits.
+
+Null text counts as empty: one end. Repeated rows are documents of their own, and all count. Ids may be null (they are
+learned from). An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SLICE, discard, fold, python_rows, text_of, written
+from plumbline.llm.common import discard, fold, python_rows, text_of, written
 
-#: Symbols: the start of a text, then the classes by count, then frequent words.
-START, CLASSES, WIDTH = 0, 1, 16
-MASK = (1 << WIDTH) - 1
 END_WORD = b"\n"
-BATCHES = pa.schema(
-    [
-        ("batch", pa.int64()),
-        ("idx", pa.int32()),
-        ("word", pa.binary()),
-        ("n_train", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("held_out", pa.bool_()),
-        ("n_tokens", pa.int64()),
-        ("ids", pa.binary()),
-    ]
+#: Hashes of the start of a text and of the classes by count.
+START = np.uint64(xxhash.xxh64_intdigest(b"start", 1))
+CLASS = np.array([xxhash.xxh64_intdigest(b"class %d" % k, 1) for k in range(64)], dtype=np.uint64)
+WORDS = 0  # the exchange of word counts; 2 * level is that of symbols behind contexts, 2 * level + 1 that of contexts
+
+STATE = pa.schema(
+    [("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
+     ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("tokens", pa.binary()), ("table", pa.list_(pa.binary()))]
+)
+STATE_DDL = (
+    "batch long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, "
+    "inside array<double>, tokens binary, table array<binary>"
 )
-BATCHES_DDL = "batch long, idx int, word binary, n_train long, doc_id long, held_out boolean, n_tokens long, ids binary"
+ASKED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("won", pa.binary())])
+ASKED_DDL = "batch long, kind int, bucket long, keys binary, n binary, won binary"
+TOLD = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.binary()), ("count", pa.int64()), ("words", pa.int64()), ("mass", pa.int64())])
+TOLD_DDL = "batch long, kind int, bucket long, n binary, count long, words long, mass long"
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+def after(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a context followed by a symbol, which is also that of the context one symbol longer."""
+    with np.errstate(over="ignore"):
+        x = context * np.uint64(0x9E3779B97F4A7C15) + symbol
+        for _ in range(2):
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def asking(batch: int, kind: int, keys: np.ndarray, n: np.ndarray, won: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """One row per bucket for ascending ``keys``."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, dtype=np.uint64)
+    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    used = [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+    columns = [
+        [batch] * len(used),
+        [kind] * len(used),
+        [b for b, _, _ in used],
+        [packed_keys(keys[x:y]) for _, x, y in used],
+        [packed(n[x:y].astype(np.uint64)) for _, x, y in used],
+        [None if won is None else packed(won[x:y]) for _, x, y in used],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED, strict=True)], schema=ASKED)
 
 
 class Batch:
@@ -66,7 +114,7 @@ class Batch:
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
         self.docs: list[tuple] = []
-        self.trained: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, doc_id: int | None, out: bool, text: str) -> None:
@@ -74,27 +122,34 @@ class Batch:
         tokens = raw.lower().split()
         tokens.append(END_WORD)
         index = self.words
-        ids = np.fromiter([index[t] for t in tokens], dtype=np.int32, count=len(tokens))
-        if not out:
-            self.trained.append(ids)
-        self.docs.append((doc_id, out, len(ids), zlib.compress(ids.tobytes(), 1)))
+        self.ids.append(np.fromiter([index[t] for t in tokens], dtype=np.int32, count=len(tokens)))
+        self.docs.append((doc_id, out, len(tokens)))
         self.bytes += len(raw)
 
-    def record(self, number: int) -> pa.RecordBatch:
-        n, m = len(self.words), len(self.docs)
-        counts = np.bincount(np.concatenate(self.trained), minlength=n) if self.trained else np.zeros(n, dtype=np.int64)
-        columns = [
-            pa.array(np.full(n + m, number, dtype=np.int64)),
-            pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(m, pa.int32())]),
-            pa.concat_arrays([pa.array(list(self.words), pa.binary()), pa.nulls(m, pa.binary())]),
-            pa.concat_arrays([pa.array(counts.astype(np.int64)), pa.nulls(m, pa.int64())]),
-        ]
-        for at, kind in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.binary())):
-            columns.append(pa.concat_arrays([pa.nulls(n, kind), pa.array([d[at] for d in self.docs], kind)]))
-        return pa.RecordBatch.from_arrays(columns, schema=BATCHES)
-
-
-def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int) -> DataFrame:
+    def records(self, number: int, bits: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+        """The batch's state and what it asks of the corpus: the counts of its words."""
+        digest = xxhash.xxh64_intdigest
+        keys, to = np.unique(np.fromiter((digest(w) for w in self.words), dtype=np.uint64, count=len(self.words)), return_inverse=True)
+        ids = to.astype(np.int32)[np.concatenate(self.ids)]
+        doc_ids, held, sizes = zip(*self.docs, strict=True)
+        learned = ids[~np.repeat(held, sizes)]
+        state = [[number], [list(doc_ids)], [list(held)], [list(sizes)], [None], [None], [None], [packed(ids)], [[packed_keys(keys)]]]
+        yield (
+            pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(state, STATE, strict=True)], schema=STATE),
+            asking(number, WORDS, keys, np.bincount(learned, minlength=len(keys)), None, bits),
+        )
+
+
+def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int, bits: int) -> DataFrame:
+    """Rows of STATE, and rows of ASKED beside them."""
+    both = pa.schema([*STATE, *(pa.field(f"ask_{f.name}", f.type) for f in ASKED)])
+    ddl = STATE_DDL + ", " + ", ".join(f"ask_{c}" for c in ASKED_DDL.split(", "))
+
+    def joined(state: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, before, behind in ((state, [], ASKED), (asked, STATE, [])):
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in before), *rows.columns, *(pa.nulls(n, f.type) for f in behind)], schema=both)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held = Batch()
@@ -102,275 +157,232 @@ def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int) -> Dat
             for row in rows:
                 held.add(*row)
                 if held.bytes >= batch_bytes:
-                    yield held.record(number)
+                    for parts in held.records(number, bits):
+                        yield from joined(*parts)
                     held, number = Batch(), number + 1
         if held.docs:
-            yield held.record(number)
+            for parts in held.records(number, bits):
+                yield from joined(*parts)
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == held_out).alias("held_out"), text_of().alias("text")
-    ).mapInArrow(scan, BATCHES_DDL)
-
-
-class Positions:
-    """The tokens of some symbol sequences: for each, its sequence, and its symbol with up to ``depth`` before it packed."""
-
-    def __init__(self, sequences: list[np.ndarray], contexts: list[np.ndarray], depth: int) -> None:
-        """``contexts`` are the sequences as they are seen from later positions; the predicted symbols may differ."""
-        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences)) + 1
-        start = np.array([START], dtype=np.int64)
-        before = np.concatenate([x for c in contexts for x in (start, c)]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        self.of = np.repeat(np.arange(len(sizes)), sizes - 1)
-        offset = np.arange(len(before)) - np.repeat(starts, sizes)
-        at = np.flatnonzero(offset > 0)
-        self.seen = np.minimum(offset[at], depth)
-        # The predicted symbol is the lowest part; the one before it the next, and so on.
-        self.key = np.concatenate(sequences).astype(np.int64)
-        for k in range(1, depth + 1):
-            reach = self.seen >= k
-            self.key[reach] |= before[at[reach] - k] << (WIDTH * k)
-
-
-def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(weights, first) if len(keys) else weights
-
-
-def grown(counts: DataFrame, depth: int, min_count: int, gain: float) -> DataFrame:
-    """The tree: level, key and n for the next symbols of every kept context, the root's at level 0.
-
-    ``counts`` has one row (level, key, n) for every context and next symbol. A context has at most one row for each
-    symbol of the alphabet, so those of one context fit into one group.
-    """
-    own = Window.partitionBy("level", "context")
-    wide = written(
-        counts.withColumn("context", F.shiftright("key", WIDTH))
-        .select("level", "key", "context", "n", F.sum("n").over(own).alias("total"), F.count("*").over(own).alias("kinds"))
-        .filter((F.col("level") == 0) | (F.col("total") >= min_count)),
-        "wide",
-    )
-    cut = F.element_at(F.array(*(F.lit((1 << WIDTH * k) - 1).cast("long") for k in range(depth + 1))), F.col("level") + 1)
-    child = wide.filter("level > 0").withColumn("up", F.col("key").bitwiseAND(cut)).withColumn("above", F.col("level") - 1)
-    parent = wide.select(F.col("level").alias("above"), F.col("key").alias("up"), F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-    both = child.join(parent, ["above", "up"])
-    up = F.col("up_n") / F.col("up_total")
-    left = (F.col("n") - 1 + F.col("kinds") * up) / (F.col("total") - 1 + F.col("kinds"))
-    nats = F.col("n") * F.log(left / up)
-    kept = (
-        both.groupBy("level", "context")
-        .agg(F.sum(nats).alias("nats"))
-        .filter(F.col("nats") >= gain)
-        .select("level", "context")
-    )
-    ends = F.element_at(F.array(*(F.lit((1 << WIDTH * k) - 1).cast("long") for k in range(depth + 1))), F.col("at") + 1)
-    closed = (
-        kept.select("context", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("at"))
-        .select(F.col("at").alias("level"), F.col("context").bitwiseAND(ends).alias("context"))
-        .distinct()
-    )
-    root = wide.filter("level = 0").select("level", "key", "n")
-    return written(wide.join(closed, ["level", "context"], "left_semi").select("level", "key", "n").unionByName(root), "tree")
-
-
-class Shard:
-    """Smoothed distributions of the kept contexts of a shard, as sorted arrays per level."""
-
-    def __init__(self, level: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int, alphabet: int) -> None:
-        self.alphabet = alphabet
-        self.keys, self.logs, self.contexts, self.back = [], [], [], []
-        above = None
-        for k in range(depth + 1):
-            chosen = level == k
-            order = np.argsort(key[chosen], kind="stable")
-            keys, counts = key[chosen][order], n[chosen][order].astype(np.float64)
-            contexts, first = np.unique(keys >> WIDTH, return_index=True)
-            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
-            kinds = np.diff(np.r_[first, len(keys)]).astype(np.float64)
-            own = np.repeat(np.arange(len(first)), kinds.astype(np.int64))
-            base = np.full(len(keys), 1 / alphabet)
-            if k and len(keys):
-                # A parent has seen every symbol that its child has.
-                base = above[1][np.searchsorted(above[0], keys & ((1 << WIDTH * k) - 1))]
-            p = (counts + kinds[own] * base) / (total + kinds)[own] if len(keys) else np.zeros(0)
-            above = (keys, p)
-            self.keys.append(keys)
-            self.logs.append(np.log10(p))
-            self.contexts.append(contexts)
-            self.back.append(np.log10(kinds / (total + kinds)) if len(first) else np.zeros(0))
+    ).mapInArrow(scan, ddl)
+
+
+def tallied(asked: DataFrame, frequent: int, smoothing: Sequence[float], min_count: int, gain: float) -> DataFrame:
+    """What each batch is told: the sum of each key it asked for; for contexts that sum if they are retained, else 0."""
+
+    def tally(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("batch")
+        kind = rows.column("kind")[0].as_py()
+        parts = [unpacked_keys(x.as_py()) for x in rows.column("keys")]
+        keys, to = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = lambda name, t: np.bincount(to, weights=np.concatenate([unpacked(x.as_py(), t) for x in rows.column(name)]), minlength=len(keys))
+        n = sums("n", np.uint64)
+        if kind % 2:
+            m = smoothing[kind // 2 - 1]
+            nats = sums("won", np.float64) - n * np.log(np.maximum(n - 1, 0) + m)
+            n = np.where((n >= min_count) & (nats >= gain), n, 0)
+        n = n.astype(np.uint64)
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        told = [packed(x) for x in np.split(n[to], cuts)]
+        none = pa.nulls(len(told), pa.int64())
+        out = [pa.Table.from_arrays([*(rows.column(c) for c in ("batch", "kind", "bucket")), pa.array(told, pa.binary()), none, none, none], schema=TOLD)]
+        if kind == WORDS:
+            # How many words of each count there are; those above ``frequent`` together.
+            counts, words = np.unique(np.minimum(n, frequent + 1), return_counts=True)
+            mass = np.bincount(np.searchsorted(counts, np.minimum(n, frequent + 1)), weights=n, minlength=len(counts))
+            blank = [pa.nulls(len(counts), TOLD.field(c).type) for c in ("batch", "kind", "bucket", "n")]
+            out.append(pa.Table.from_arrays([*blank, *(pa.array(x.astype(np.int64)) for x in (counts, words, mass))], schema=TOLD))
+        return pa.concat_tables(out)
+
+    return asked.groupBy("kind", "bucket").applyInArrow(tally, TOLD_DDL)
+
+
+def answers(told: pa.Table) -> dict[int, np.ndarray]:
+    """For every exchange, the sums in the order of the keys that were asked for."""
+    parts: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+    ordered = told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    for kind, n in zip(ordered.column("kind").to_pylist(), ordered.column("n"), strict=True):
+        parts[kind].append(unpacked(n.as_py(), np.uint64))
+    return {kind: np.concatenate(x).astype(np.float64) for kind, x in parts.items()}
+
+
+class Alphabet:
+    """Symbols and their smoothed shares of all training tokens, from the histogram of word counts."""
+
+    def __init__(self, histogram: dict[int, tuple[int, int]], frequent: int) -> None:
+        """``histogram``: for a count, the number of words and of tokens; for ``frequent`` + 1, those of all above."""
+        self.frequent = frequent
+        seen = {c: x for c, x in histogram.items() if c > 0}
+        self.tokens, self.words = sum(m for _, m in seen.values()), sum(w for w, _ in seen.values())
+        self.class_mass, less = np.zeros(64), np.zeros(64)
+        low = np.array([c for c in sorted(seen) if c <= frequent], dtype=np.int64)
+        exists = np.zeros(64, dtype=bool)
+        exists[0] = True
+        exists[self.class_of(low)] = True
+        self.exists = exists
+        for c, own, without in zip(low.tolist(), self.class_of(low).tolist(), self.less_of(low).tolist(), strict=True):
+            self.class_mass[own] += seen[c][1]
+            less[without] += seen[c][1]
+        self.size = int(exists.sum()) + seen.get(frequent + 1, (0, 0))[0]
+        self.class_share = (less + 1) / (self.tokens + self.size)
 
     @staticmethod
-    def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(where):
-            return np.zeros(len(what), dtype=np.int64), np.zeros(len(what), dtype=bool)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return at, where[at] == what
-
-    def log10(self, seen: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The log10 probability of each position, from its longest kept suffix."""
-        out = np.zeros(len(key))
-        open_ = np.arange(len(key))
-        for k in range(len(self.keys) - 1, -1, -1):
-            some = open_[seen[open_] >= k]
-            cut = key[some] & ((1 << WIDTH * (k + 1)) - 1 if k < 3 else -1)
-            at, kept = self._find(self.contexts[k], cut >> WIDTH)
-            some, cut, at = some[kept], cut[kept], at[kept]
-            to, found = self._find(self.keys[k], cut)
-            out[some[found]] += self.logs[k][to[found]]
-            out[some[~found]] += self.back[k][at[~found]]
-            done = np.zeros(len(key), dtype=bool)
-            done[some[found]] = True
-            open_ = open_[~done[open_]]
-        out[open_] -= np.log10(self.alphabet)
-        return out
-
-
-def count_class(c: Column) -> Column:
-    """The class of a count: 0 for 0, 1 for 1, 2 for 2 and 3, and so on."""
-    return F.when(c > 0, F.floor(F.log2(c.cast("double"))) + 1).otherwise(0).cast("int")
-
-
-def sequences(packed: DataFrame, words: DataFrame, total: int, kinds: int, shares: dict[int, float], depth: int) -> DataFrame:
-    """Documents as symbol sequences, with what needs no context; and the counts (level, key, n) of their batch."""
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-            ("base_score", pa.float64()), ("inside", pa.float64()), ("symbols", pa.binary()),
-            ("level", pa.int32()), ("key", pa.int64()), ("n", pa.int64()),
-        ]
-    )
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, symbols binary, level int, key long, n long"
-
-    def together(batch: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found.column("idx").to_numpy())
-        c = found.column("c").to_numpy()[order]
-        symbol, less = (found.column(n).to_numpy()[order].astype(np.int64) for n in ("symbol", "less"))
-        base = np.log10((c + 1) / (total + kinds + 1))
-        share = np.zeros(len(c))
-        for kind, mass in shares.items():
-            chosen = symbol == kind
-            share[chosen] = np.log10(c[chosen] / mass)
-        docs, learned, seen, waiting = [], [], [], 0
-        counted: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth + 1)]
-
-        def learn() -> None:
-            if not learned:
-                return
-            positions = Positions(learned, seen, depth)
-            for level in range(1, depth + 1):
-                keys = positions.key[positions.seen == level]
-                counted[level].append(summed(keys, np.ones(len(keys), dtype=np.int64)))
-            learned.clear()
-            seen.clear()
-
-        for out, raw in zip(batch.column("held_out"), batch.column("ids"), strict=True):
-            ids = np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.int32)
-            row = symbol[ids]
-            docs.append((int((c[ids] > 0).sum()), float(base[ids].sum()), float(share[ids].sum()), zlib.compress(row.astype(np.uint16).tobytes(), 1)))
-            if not out.as_py():
-                learned.append(less[ids])
-                seen.append(row)
-                waiting += len(ids)
-                if waiting > 500_000:
-                    learn()
-                    waiting = 0
-        learn()
-        levels, keys, numbers = [], [], []
-        for level in range(depth, -1, -1):
-            # What has a longer context counts for this one too.
-            if keys:
-                counted[level].append((keys[-1] & ((1 << WIDTH * (level + 1)) - 1), numbers[-1]))
-            if counted[level]:
-                k, n = summed(*map(np.concatenate, zip(*counted[level], strict=True)))
-                levels.append(np.full(len(k), level, dtype=np.int32))
-                keys.append(k)
-                numbers.append(n)
-        rows = sum(map(len, keys))
-        known, base_score, inside, symbols = zip(*docs, strict=True) if docs else ((), (), (), ())
-        mine = [pa.array(x, t) for x, t in ((known, pa.int64()), (base_score, pa.float64()), (inside, pa.float64()), (symbols, pa.binary()))]
-        texts = [batch.column(n).combine_chunks() for n in ("doc_id", "held_out", "n_tokens")] + mine + [pa.nulls(len(docs), schema.field(n).type) for n in (7, 8, 9)]
-        contexts = [pa.nulls(rows, schema.field(n).type) for n in range(7)]
-        contexts += [pa.array(np.concatenate(x) if x else [], schema.field(n).type) for n, x in ((7, levels), (8, keys), (9, numbers))]
-        return pa.concat_tables([pa.Table.from_arrays(texts, schema=schema), pa.Table.from_arrays(contexts, schema=schema)])
-
-    texts = packed.filter("word is null").select("batch", "doc_id", "held_out", "n_tokens", "ids")
-    return texts.groupBy("batch").cogroup(words.withColumnRenamed("batch", "of").groupBy("of")).applyInArrow(together, ddl)
-
-
-def scored(texts: DataFrame, tree: DataFrame, depth: int, alphabet: int, shard_rows: int) -> DataFrame:
-    """``texts`` (doc_id, held_out, n_tokens, n_known, base_score, score, symbols) with the symbols' log10 added to score."""
-    sc = texts.sparkSession.sparkContext
-    shards = max(1, -(-tree.count() // shard_rows))
-    near = F.shiftright("key", WIDTH).bitwiseAND(F.lit((1 << 2 * WIDTH) - 1))
-    for s in range(shards):
-        part = tree.filter((F.col("level") < 2) | (near % shards == s)).toArrow()
-        held = sc.broadcast(Shard(*(part.column(c).to_numpy() for c in ("level", "key", "n")), depth, alphabet))
-
-        def score(batches: Iterator[pa.RecordBatch], held=held, s=s) -> Iterator[pa.RecordBatch]:
-            shard = held.value
-            for whole in batches:
-                for start in range(0, whole.num_rows, SLICE):
-                    batch = whole.slice(start, SLICE)
-                    rows = [np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint16) for x in batch.column(6)]
-                    positions = Positions(rows, rows, depth)
-                    mine = ((positions.key >> WIDTH) & ((1 << 2 * WIDTH) - 1)) % shards == s
-                    logs = shard.log10(positions.seen[mine], positions.key[mine])
-                    total = batch.column(5).to_numpy() + np.bincount(positions.of[mine], weights=logs, minlength=len(rows))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total), batch.column(6)], names=batch.schema.names)
-
-        texts = texts.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, symbols binary")
-    return texts.drop("symbols")
+    def class_of(c: np.ndarray) -> np.ndarray:
+        """0 for 0, 1 for 1, 2 for 2 and 3, and so on."""
+        return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))) + 1, 0).astype(np.int64)
+
+    def less_of(self, c: np.ndarray) -> np.ndarray:
+        """The class that a word has without one of its occurrences, if there is such a class."""
+        less = self.class_of(c - 1)
+        return np.where(self.exists[less], less, self.class_of(c))
+
+    def symbols(self, keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words: symbol, symbol without one occurrence, their shares, and log10 of the word's part of its symbol."""
+        own = c > self.frequent
+        classes, less = self.class_of(c), self.less_of(np.maximum(c, 1))
+        symbol, other = np.where(own, keys, CLASS[classes]), np.where(own, keys, CLASS[less])
+        share = (c + 1) / (self.tokens + self.size)
+        inside = np.where(own | (c == 0), 0.0, np.log10(np.maximum(c, 1) / np.maximum(self.class_mass[classes], 1)))
+        return symbol, other, np.where(own, share, self.class_share[classes]), np.where(own, share, self.class_share[less]), inside
+
+
+def spelled(state: pa.Table, told: pa.Table, alphabet: Alphabet) -> pa.Table:
+    """The batch with its texts as symbols instead of words, and with what needs no context."""
+    row = {c: state.column(c)[0].as_py() for c in ("batch", "doc_ids", "held", "sizes", "tokens", "table")}
+    keys, ids, c = unpacked_keys(row["table"][0]), unpacked(row["tokens"], np.int32), answers(told)[WORDS]
+    symbol, less, share, less_share, inside = alphabet.symbols(keys, c)
+    starts = np.cumsum([0, *row["sizes"][:-1]])
+    base = np.log10((c + 1) / (alphabet.tokens + alphabet.words + 1))
+    per_doc = [np.add.reduceat(x[ids], starts) for x in ((c > 0).astype(np.int64), base, inside)]
+    # Words of a class differ no more: one entry for each pair of symbols.
+    pair = after(symbol, less)
+    _, first, to = np.unique(pair, return_index=True, return_inverse=True)
+    table = [packed(x[first]) for x in (symbol, less, share, less_share)]
+    out = [[row["batch"]], [row["doc_ids"]], [row["held"]], [row["sizes"]], *([x.tolist()] for x in per_doc), [packed(to.astype(np.int32)[ids])], [table]]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, STATE, strict=True)], schema=STATE)
+
+
+class Walk:
+    """A batch's way down the tree, as far as the corpus has answered; it ends with questions or with scores."""
+
+    def __init__(self, state: pa.Table, told: dict[int, np.ndarray], smoothing: Sequence[float], min_count: int) -> None:
+        self.row = {c: state.column(c)[0].as_py() for c in STATE.names}
+        self.told, self.smoothing, self.min_count = told, smoothing, min_count
+        tokens = unpacked(self.row["tokens"], np.int32)
+        symbol, less = (unpacked(x, np.uint64) for x in self.row["table"][:2])
+        share, less_share = (unpacked(x, np.float64) for x in self.row["table"][2:])
+        self.symbol, self.less, self.p, self.less_p = symbol[tokens], less[tokens], share[tokens], less_share[tokens]
+        sizes = np.array(self.row["sizes"], dtype=np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.place = np.arange(len(tokens)) - np.repeat(self.starts, sizes)
+        self.learned = ~np.repeat(np.array(self.row["held"], dtype=bool), sizes)
+        self.questions: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]] = []
+        self.finished = self.go()
+
+    def go(self) -> bool:
+        context = np.r_[START, self.symbol[:-1]]
+        context[self.starts] = START
+        keys, of = np.unique(context, return_inverse=True)
+        at = np.arange(len(of))
+        for level in range(1, len(self.smoothing) + 1):
+            # keys[of] are the contexts at the positions ``at``.
+            learned = self.learned[at]
+            scored = after(keys[of], self.symbol[at])
+            differs = learned & (self.less[at] != self.symbol[at])
+            events, to = np.unique(np.r_[scored, after(keys[of[differs]], self.less[at[differs]])], return_inverse=True)
+            less_to = to[: len(at)].copy()
+            less_to[differs] = to[len(at) :]
+            if 2 * level not in self.told:
+                self.questions.append((2 * level, events, np.bincount(less_to[learned], minlength=len(events)), None))
+                return False
+            n = self.told[2 * level]
+            n_scored, n_less, m = n[to[: len(at)]], n[less_to], self.smoothing[level - 1]
+            if 2 * level + 1 in self.told:
+                total = self.told[2 * level + 1][of]
+                kept = total > 0
+                here = at[kept]
+                self.p[here] = (n_scored[kept] + m * self.p[here]) / (total[kept] + m)
+                self.less_p[here] = np.where(self.learned[here], (n_less[kept] + m * self.less_p[here]) / (total[kept] + m), self.less_p[here])
+            elif 2 * level + 1 not in [q[0] for q in self.questions]:
+                p = self.less_p[at[learned]]
+                won = np.log((n_less[learned] - 1 + m * p) / p)
+                seen = of[learned]
+                self.questions.append((2 * level + 1, keys, np.bincount(seen, minlength=len(keys)), np.bincount(seen, weights=won, minlength=len(keys))))
+            # A context one symbol longer: what stood at the position before, if it was seen often enough.
+            often = np.zeros(len(self.symbol), dtype=bool)
+            often[at] = n_scored >= self.min_count
+            which = np.zeros(len(self.symbol), dtype=np.int64)
+            which[at] = to[: len(at)]
+            at = np.flatnonzero(np.r_[False, often[:-1]] & (self.place >= level))
+            chosen = which[at - 1]
+            used = np.flatnonzero(np.bincount(chosen, minlength=len(events)))
+            new = np.zeros(len(events), dtype=np.int64)
+            new[used] = np.arange(len(used))
+            keys, of = events[used], new[chosen]
+        return not self.questions
+
+    def asked(self, bits: int) -> list[pa.RecordBatch]:
+        return [asking(self.row["batch"], *question, bits) for question in self.questions]
+
+    def scores(self) -> pa.Table:
+        total = np.add.reduceat(np.log10(self.p), self.starts) + np.array(self.row["inside"])
+        columns = [self.row[c] for c in ("doc_ids", "held", "sizes", "known", "base")] + [total]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORES, strict=True)], schema=SCORES)
 
 
 def language_scores(
     docs: DataFrame,
     held_out: int = 2,
     folds: int = 7,
-    depth: int = 2,
+    frequent: int = 32,
+    smoothing: Sequence[float] = (300.0, 100.0, 40.0),
     min_count: int = 8,
     gain: float = 4.0,
-    frequent: float = 2e-4,
     batch_bytes: int = 12 << 20,
-    shard_rows: int = 4_000_000,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    if not (1 <= depth <= 3 and 1 / frequent < 30_000):
-        raise ValueError("a context and its symbol are packed into 8 bytes: depth from 1 to 3, under 30,000 frequent words")
-    packed = written(batched(docs, held_out, folds, batch_bytes), "batches")
-    own = Window.partitionBy("word")
-    words = written(
-        packed.filter("word is not null")
-        .select("batch", "idx", "word", "n_train")
-        .select(
-            "batch", "idx", "word",
-            F.sum("n_train").over(own).alias("c"),
-            (F.row_number().over(own.orderBy("batch")) == 1).alias("is_first"),
-        ),
-        "words",
-    )
-    distinct = words.filter("is_first and c > 0").select("word", "c")
-    stats = distinct.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = stats["n"] or 0, stats["v"]
-    # At most 1 / frequent rows.
-    common = distinct.filter(F.col("c") >= max(2, frequent * total)).orderBy(F.desc("c"), "word").select("word").collect()
-    first = CLASSES + 64
-    names = docs.sparkSession.createDataFrame([(r["word"], first + n) for n, r in enumerate(common)], "word binary, own int")
-    rest = distinct.filter(F.col("c") < max(2, frequent * total)).groupBy(count_class(F.col("c")).alias("kind")).agg(F.sum("c").alias("mass"))
-    shares = {CLASSES + r["kind"]: float(r["mass"]) for r in rest.collect()}
-    told = words.join(F.broadcast(names), "word", "left").select(
-        "batch", "idx", "c",
-        F.coalesce("own", CLASSES + count_class(F.col("c"))).alias("symbol"),
-        F.coalesce("own", CLASSES + count_class(F.col("c") - 1)).alias("less"),
-    )
-    spelled = written(sequences(packed, told, total, kinds, shares, depth), "sequences")
-    discard(packed)
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    The tree is as deep as ``smoothing`` has levels.
+    """
+    if frequent < 1 or min_count < 2:
+        raise ValueError("frequent must be 1 at least, min_count 2")
+    spark = docs.sparkSession
+    # A few buckets for each task of a shuffle.
+    bits = (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    first = written(batched(docs, held_out, folds, batch_bytes, bits), "batches")
+    asked = first.filter("batch is null").select(*(F.col(f"ask_{c}").alias(c) for c in ASKED.names))
+    tally = lambda rows: tallied(rows, frequent, smoothing, min_count, gain)
+    words = written(tally(asked), "word-counts")
+    histogram = {
+        r["count"]: (r["words"], r["mass"])
+        for r in words.filter("batch is null").groupBy("count").agg(F.sum("words").alias("words"), F.sum("mass").alias("mass")).collect()
+    }
+    alphabet = Alphabet(histogram, frequent)
+    states = first.filter("batch is not null").select(*STATE.names)
+    per_batch = lambda df: df.filter("batch is not null").select(F.col("batch").alias("of"), "kind", "bucket", "n").groupBy("of")
+    held = written(states.groupBy("batch").cogroup(per_batch(words)).applyInArrow(lambda s, t: spelled(s, t, alphabet), STATE_DDL), "symbols")
+    discard(first)
     discard(words)
-    counts = spelled.filter("level is not null").groupBy("level", "key").agg(F.sum("n").alias("n"))
-    tree = grown(counts, depth, min_count, gain)
-    texts = spelled.filter("level is null").select(
-        "doc_id", "held_out", "n_tokens", "n_known", "base_score", F.col("inside").alias("score"), "symbols"
+
+    def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from Walk(pa.Table.from_batches([batch.slice(i, 1)]), {}, smoothing, min_count).asked(bits)
+
+    def further(state: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(Walk(state, answers(told), smoothing, min_count).asked(bits), schema=ASKED)
+
+    def ending(state: pa.Table, told: pa.Table) -> pa.Table:
+        walk = Walk(state, answers(told), smoothing, min_count)
+        return walk.scores()
+
+    told = written(tally(held.mapInArrow(opening, ASKED_DDL)), "told")
+    for _ in smoothing:
+        more = written(tally(held.groupBy("batch").cogroup(per_batch(told)).applyInArrow(further, ASKED_DDL)), "told")
+        told = told.unionByName(more)
+    found = held.groupBy("batch").cogroup(per_batch(told)).applyInArrow(ending, SCORES_DDL)
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(alphabet.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
-    found = scored(texts, tree, depth, first + len(common), shard_rows)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

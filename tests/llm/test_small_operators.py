@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, graph, lines, main_text, mixing, secret_scan, simhash, substrings, suffix_tree, topk, toxicity
+from plumbline.llm import decontamination, graph, lines, main_text, mixing, secret_scan, simhash, substrings, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [
@@ -58,7 +58,6 @@ def test_document_operators_take_awkward_rows(spark, make):
     labels = spark.createDataFrame([(5, 1), (1, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     assert secret_scan.secret_digest(given).count() == n
     assert simhash.near_duplicates(given).count() == n
-    assert suffix_tree.language_scores(given).count() == n
     assert decontamination.contamination(given, bench).count() == n
     assert toxicity.toxicity(given, labels).count() == n
     assert mixing.mix(given).count() == n
@@ -253,39 +252,6 @@ def test_substring_repeats(spark):
         assert all(p["text"] == text[p["start"] : p["end"]] for p in kept[doc_id])
 
 
-def test_suffix_tree_learns_contexts(spark):
-    rows = [(i, "the cat sat on the mat and " + " ".join(random.Random(i).choices(NAMES, k=20)), "en", "s", 0) for i in range(200)]
-    import math
-    from collections import Counter
-
-    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
-    tokens = {r[0]: [*r[1].split(), None] for r in rows}
-    c = Counter(t for d, ts in tokens.items() if not held(d) for t in ts)
-    n, v = sum(c.values()), len(c)
-    better = 0.0
-    for shard in (4_000_000, 500):
-        for r in suffix_tree.language_scores(docs(spark, rows), shard_rows=shard).collect():
-            ts = tokens[r["doc_id"]]
-            assert r["held_out"] == held(r["doc_id"]) and r["n_tokens"] == len(ts) and r["train_tokens"] == n
-            assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts))
-            assert r["n_known"] == sum(c[t] > 0 for t in ts)
-            better += (r["score"] - r["base_score"]) * r["held_out"]
-    assert better > 0
-    one, many = ({r["doc_id"]: r["score"] for r in suffix_tree.language_scores(docs(spark, rows), shard_rows=s).collect()} for s in (4_000_000, 500))
-    assert one == pytest.approx(many)
-
-
-def test_suffix_tree_distributions_sum_to_one():
-    import numpy as np
-
-    keys = np.array([1, 2, 3], dtype=np.int64)
-    level1 = (np.array([1, 2], dtype=np.int64) | (2 << 16), np.array([3, 1]))
-    shard = suffix_tree.Shard(np.array([0, 0, 0, 1, 1]), np.concatenate([keys, level1[0]]), np.array([5, 3, 2, *level1[1]]), 1, 6)
-    for before in (1, 2):
-        key = np.arange(6, dtype=np.int64) | (before << 16)
-        assert (10 ** shard.log10(np.ones(6, dtype=np.int64), key)).sum() == pytest.approx(1)
-
-
 def test_counterfactuals_lower_the_weight_of_identity_terms():
     rng = random.Random(2)
     rows = []
