@@ -37,11 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, fold, python_rows, text_of, written
+from plumbline.llm.common import discard, fold, python_rows, release, text_of, written
 
 END_WORD = b"\n"
 #: Hashes of the start of a text and of the classes by count.
 START = np.uint64(xxhash.xxh64_intdigest(b"start", 1))
+#: The low bits of a context's hash are 0, which saves a quarter of what is shuffled.
+TAIL = np.uint64(12)
 CLASS = np.array([xxhash.xxh64_intdigest(b"class %d" % k, 1) for k in range(64)], dtype=np.uint64)
 WORDS = 0  # the exchange of word counts; 2 * level is that of symbols behind contexts, 2 * level + 1 that of contexts
 
@@ -88,7 +90,7 @@ def after(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         for _ in range(2):
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> TAIL << TAIL
 
 
 def asking(batch: int, kind: int, keys: np.ndarray, n: np.ndarray, won: np.ndarray | None, bits: int) -> pa.RecordBatch:
@@ -252,27 +254,30 @@ def spelled(state: pa.Table, told: pa.Table, alphabet: Alphabet) -> pa.Table:
     """The batch with its texts as symbols instead of words, and with what needs no context."""
     row = {c: state.column(c)[0].as_py() for c in ("batch", "doc_ids", "held", "sizes", "tokens", "table")}
     keys, ids, c = unpacked_keys(row["table"][0]), unpacked(row["tokens"], np.int32), answers(told)[WORDS]
-    symbol, less, share, less_share, inside = alphabet.symbols(keys, c)
+    inside = alphabet.symbols(keys, c)[4]
     starts = np.cumsum([0, *row["sizes"][:-1]])
     base = np.log10((c + 1) / (alphabet.tokens + alphabet.words + 1))
     per_doc = [np.add.reduceat(x[ids], starts) for x in ((c > 0).astype(np.int64), base, inside)]
-    # Words of a class differ no more: one entry for each pair of symbols.
-    pair = after(symbol, less)
-    _, first, to = np.unique(pair, return_index=True, return_inverse=True)
-    table = [packed(x[first]) for x in (symbol, less, share, less_share)]
-    out = [[row["batch"]], [row["doc_ids"]], [row["held"]], [row["sizes"]], *([x.tolist()] for x in per_doc), [packed(to.astype(np.int32)[ids])], [table]]
+    # Words of a class differ no more: one entry stands for all of one count. Frequent entries have small indexes.
+    own = c > alphabet.frequent
+    _, first, to = np.unique(np.where(own, keys, c.astype(np.uint64)), return_index=True, return_inverse=True)
+    order = np.argsort(-np.bincount(to[ids], minlength=len(first)), kind="stable")
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    table = [packed(x[first][order]) for x in (np.where(own, keys, np.uint64(0)), c.astype(np.uint64))]
+    out = [[row["batch"]], [row["doc_ids"]], [row["held"]], [row["sizes"]], *([x.tolist()] for x in per_doc), [packed(place[to][ids])], [table]]
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, STATE, strict=True)], schema=STATE)
 
 
 class Walk:
     """A batch's way down the tree, as far as the corpus has answered; it ends with questions or with scores."""
 
-    def __init__(self, state: pa.Table, told: dict[int, np.ndarray], smoothing: Sequence[float], min_count: int) -> None:
+    def __init__(self, state: pa.Table, told: dict[int, np.ndarray], alphabet: Alphabet, smoothing: Sequence[float], min_count: int) -> None:
         self.row = {c: state.column(c)[0].as_py() for c in STATE.names}
         self.told, self.smoothing, self.min_count = told, smoothing, min_count
         tokens = unpacked(self.row["tokens"], np.int32)
-        symbol, less = (unpacked(x, np.uint64) for x in self.row["table"][:2])
-        share, less_share = (unpacked(x, np.float64) for x in self.row["table"][2:])
+        keys, c = (unpacked(x, np.uint64) for x in self.row["table"])
+        symbol, less, share, less_share, _ = alphabet.symbols(keys, c.astype(np.float64))
         self.symbol, self.less, self.p, self.less_p = symbol[tokens], less[tokens], share[tokens], less_share[tokens]
         sizes = np.array(self.row["sizes"], dtype=np.int64)
         self.starts = np.cumsum(sizes) - sizes
@@ -365,23 +370,25 @@ def language_scores(
     held = written(states.groupBy("batch").cogroup(per_batch(words)).applyInArrow(lambda s, t: spelled(s, t, alphabet), STATE_DDL), "symbols")
     discard(first)
     discard(words)
+    del first, asked, states, words
+    release(spark)
 
     def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from Walk(pa.Table.from_batches([batch.slice(i, 1)]), {}, smoothing, min_count).asked(bits)
+                yield from Walk(pa.Table.from_batches([batch.slice(i, 1)]), {}, alphabet, smoothing, min_count).asked(bits)
 
     def further(state: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(Walk(state, answers(told), smoothing, min_count).asked(bits), schema=ASKED)
+        return pa.Table.from_batches(Walk(state, answers(told), alphabet, smoothing, min_count).asked(bits), schema=ASKED)
 
     def ending(state: pa.Table, told: pa.Table) -> pa.Table:
-        walk = Walk(state, answers(told), smoothing, min_count)
-        return walk.scores()
+        return Walk(state, answers(told), alphabet, smoothing, min_count).scores()
 
     told = written(tally(held.mapInArrow(opening, ASKED_DDL)), "told")
     for _ in smoothing:
         more = written(tally(held.groupBy("batch").cogroup(per_batch(told)).applyInArrow(further, ASKED_DDL)), "told")
         told = told.unionByName(more)
+        release(spark)
     found = held.groupBy("batch").cogroup(per_batch(told)).applyInArrow(ending, SCORES_DDL)
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(alphabet.tokens).cast("long").alias("train_tokens"), "base_score", "score"
