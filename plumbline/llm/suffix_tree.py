@@ -11,7 +11,8 @@ The tree predicts symbols from contexts of up to ``depth`` symbols. Level by lev
 seen ``min_count`` times or more, and retained where its next-symbol distribution diverges from that of its longest
 retained suffix: leaving each occurrence out in turn, predicting it by the context must win ``gain`` nats. A retained
 context's distribution is (n + m * p) / (N + m), with p that of its longest retained suffix, N its count, n that with
-the symbol, and m the level's ``smoothing``; the longest retained context of a position gives its probability.
+the symbol, and m the level's ``smoothing``; the longest retained context of a position gives its probability. Behind two symbols or more
+only those next symbols count that were seen twice or more behind the context one symbol shorter; N counts the same.
 
 Texts are cut into batches of about ``batch_bytes``, a longer text being one of its own. A batch is one row: its texts as
 one sequence. Whatever must be counted over the corpus (words, symbols behind contexts, contexts) is reduced to the
@@ -45,6 +46,8 @@ START = np.uint64(xxhash.xxh64_intdigest(b"start", 1))
 #: The low bits of a context's hash are 0, which saves a quarter of what is shuffled.
 TAIL = np.uint64(12)
 CLASS = np.array([xxhash.xxh64_intdigest(b"class %d" % k, 1) for k in range(64)], dtype=np.uint64)
+#: A symbol counts behind a context if it was seen so often behind the context that is one symbol shorter.
+FEW = 2
 WORDS = 0  # the exchange of word counts; 2 * level is that of symbols behind contexts, 2 * level + 1 that of contexts
 
 STATE = pa.schema(
@@ -128,29 +131,16 @@ class Batch:
         self.docs.append((doc_id, out, len(tokens)))
         self.bytes += len(raw)
 
-    def records(self, number: int, bits: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
-        """The batch's state and what it asks of the corpus: the counts of its words."""
+    def state(self, number: int) -> pa.RecordBatch:
         digest = xxhash.xxh64_intdigest
         keys, to = np.unique(np.fromiter((digest(w) for w in self.words), dtype=np.uint64, count=len(self.words)), return_inverse=True)
         ids = to.astype(np.int32)[np.concatenate(self.ids)]
-        doc_ids, held, sizes = zip(*self.docs, strict=True)
-        learned = ids[~np.repeat(held, sizes)]
-        state = [[number], [list(doc_ids)], [list(held)], [list(sizes)], [None], [None], [None], [packed(ids)], [[packed_keys(keys)]]]
-        yield (
-            pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(state, STATE, strict=True)], schema=STATE),
-            asking(number, WORDS, keys, np.bincount(learned, minlength=len(keys)), None, bits),
-        )
+        state = [[number], *([list(x)] for x in zip(*self.docs, strict=True)), [None], [None], [None], [packed(ids)], [[packed_keys(keys)]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(state, STATE, strict=True)], schema=STATE)
 
 
-def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int, bits: int) -> DataFrame:
-    """Rows of STATE, and rows of ASKED beside them."""
-    both = pa.schema([*STATE, *(pa.field(f"ask_{f.name}", f.type) for f in ASKED)])
-    ddl = STATE_DDL + ", " + ", ".join(f"ask_{c}" for c in ASKED_DDL.split(", "))
-
-    def joined(state: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for rows, before, behind in ((state, [], ASKED), (asked, STATE, [])):
-            n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in before), *rows.columns, *(pa.nulls(n, f.type) for f in behind)], schema=both)
+def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int) -> DataFrame:
+    """One row of STATE for every batch of texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -159,16 +149,26 @@ def batched(docs: DataFrame, held_out: int, folds: int, batch_bytes: int, bits:
             for row in rows:
                 held.add(*row)
                 if held.bytes >= batch_bytes:
-                    for parts in held.records(number, bits):
-                        yield from joined(*parts)
+                    yield held.state(number)
                     held, number = Batch(), number + 1
         if held.docs:
-            for parts in held.records(number, bits):
-                yield from joined(*parts)
+            yield held.state(number)
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == held_out).alias("held_out"), text_of().alias("text")
-    ).mapInArrow(scan, ddl)
+    ).mapInArrow(scan, STATE_DDL)
+
+
+def asked_words(states: DataFrame, bits: int) -> DataFrame:
+    """The first question: how often each word of a batch occurs in training texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in rows.select(["batch", "held", "sizes", "tokens", "table"]).to_pylist():
+                keys, ids = unpacked_keys(row["table"][0]), unpacked(row["tokens"], np.int32)
+                yield asking(row["batch"], WORDS, keys, np.bincount(ids[~np.repeat(row["held"], row["sizes"])], minlength=len(keys)), None, bits)
+
+    return states.mapInArrow(ask, ASKED_DDL)
 
 
 def tallied(asked: DataFrame, frequent: int, smoothing: Sequence[float], min_count: int, gain: float) -> DataFrame:
@@ -291,19 +291,26 @@ class Walk:
         context[self.starts] = START
         keys, of = np.unique(context, return_inverse=True)
         at = np.arange(len(of))
+        n_scored = n_less = np.full(len(of), FEW)
         for level in range(1, len(self.smoothing) + 1):
-            # keys[of] are the contexts at the positions ``at``.
+            # keys[of] are the contexts at the positions ``at``, n_scored and n_less the counts behind the shorter context.
+            m = self.smoothing[level - 1]
             learned = self.learned[at]
-            scored = after(keys[of], self.symbol[at])
-            differs = learned & (self.less[at] != self.symbol[at])
-            events, to = np.unique(np.r_[scored, after(keys[of[differs]], self.less[at[differs]])], return_inverse=True)
-            less_to = to[: len(at)].copy()
-            less_to[differs] = to[len(at) :]
+            asks = n_scored >= FEW
+            counts = learned & (n_less >= FEW)
+            differs = counts & (self.less[at] != self.symbol[at])
+            same = counts & ~differs
+            scored, other = after(keys[of[asks]], self.symbol[at[asks]]), after(keys[of[differs]], self.less[at[differs]])
+            events, to = np.unique(np.r_[scored, other], return_inverse=True)
+            to_scored, to_less = np.full(len(at), -1), np.full(len(at), -1)
+            to_scored[asks] = to[: len(scored)]
+            to_less[same] = to_scored[same]
+            to_less[differs] = to[len(scored) :]
             if 2 * level not in self.told:
-                self.questions.append((2 * level, events, np.bincount(less_to[learned], minlength=len(events)), None))
+                self.questions.append((2 * level, events, np.bincount(to_less[counts], minlength=len(events)), None))
                 return False
-            n = self.told[2 * level]
-            n_scored, n_less, m = n[to[: len(at)]], n[less_to], self.smoothing[level - 1]
+            n = np.r_[self.told[2 * level], 0.0]
+            n_scored, n_less = n[to_scored], n[to_less]
             if 2 * level + 1 in self.told:
                 total = self.told[2 * level + 1][of]
                 kept = total > 0
@@ -311,16 +318,19 @@ class Walk:
                 self.p[here] = (n_scored[kept] + m * self.p[here]) / (total[kept] + m)
                 self.less_p[here] = np.where(self.learned[here], (n_less[kept] + m * self.less_p[here]) / (total[kept] + m), self.less_p[here])
             elif 2 * level + 1 not in [q[0] for q in self.questions]:
-                p = self.less_p[at[learned]]
-                won = np.log((n_less[learned] - 1 + m * p) / p)
-                seen = of[learned]
+                p = self.less_p[at[counts]]
+                won = np.log((n_less[counts] - 1 + m * p) / p)
+                seen = of[counts]
                 self.questions.append((2 * level + 1, keys, np.bincount(seen, minlength=len(keys)), np.bincount(seen, weights=won, minlength=len(keys))))
             # A context one symbol longer: what stood at the position before, if it was seen often enough.
             often = np.zeros(len(self.symbol), dtype=bool)
             often[at] = n_scored >= self.min_count
             which = np.zeros(len(self.symbol), dtype=np.int64)
-            which[at] = to[: len(at)]
+            which[at] = to_scored
+            behind = np.zeros((2, len(self.symbol)))
+            behind[:, at] = n_scored, n_less
             at = np.flatnonzero(np.r_[False, often[:-1]] & (self.place >= level))
+            n_scored, n_less = behind[:, at]
             chosen = which[at - 1]
             used = np.flatnonzero(np.bincount(chosen, minlength=len(events)))
             new = np.zeros(len(events), dtype=np.int64)
@@ -346,31 +356,30 @@ def language_scores(
     min_count: int = 8,
     gain: float = 4.0,
     batch_bytes: int = 12 << 20,
+    bucket_tokens: int = 4_000_000,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    The tree is as deep as ``smoothing`` has levels.
+    The tree is as deep as ``smoothing`` has levels. A bucket gets the keys of about ``bucket_tokens`` tokens.
     """
     if frequent < 1 or min_count < 2:
         raise ValueError("frequent must be 1 at least, min_count 2")
     spark = docs.sparkSession
-    # A few buckets for each task of a shuffle.
-    bits = (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    first = written(batched(docs, held_out, folds, batch_bytes, bits), "batches")
-    asked = first.filter("batch is null").select(*(F.col(f"ask_{c}").alias(c) for c in ASKED.names))
+    states = written(batched(docs, held_out, folds, batch_bytes), "batches")
+    tokens = states.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    bits = (tokens // bucket_tokens).bit_length()
     tally = lambda rows: tallied(rows, frequent, smoothing, min_count, gain)
-    words = written(tally(asked), "word-counts")
+    words = written(tally(asked_words(states, bits)), "word-counts")
     histogram = {
         r["count"]: (r["words"], r["mass"])
         for r in words.filter("batch is null").groupBy("count").agg(F.sum("words").alias("words"), F.sum("mass").alias("mass")).collect()
     }
     alphabet = Alphabet(histogram, frequent)
-    states = first.filter("batch is not null").select(*STATE.names)
     per_batch = lambda df: df.filter("batch is not null").select(F.col("batch").alias("of"), "kind", "bucket", "n").groupBy("of")
     held = written(states.groupBy("batch").cogroup(per_batch(words)).applyInArrow(lambda s, t: spelled(s, t, alphabet), STATE_DDL), "symbols")
-    discard(first)
+    discard(states)
     discard(words)
-    del first, asked, states, words
+    del states, words
     release(spark)
 
     def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

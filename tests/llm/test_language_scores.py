@@ -69,7 +69,8 @@ def slow_scores(rows, frequent, smoothing, min_count, gain):
         for seq, other, learned in seqs:
             for i in range(level, len(seq)):
                 context = tuple(seq[i - level : i])
-                if learned and (allowed is None or context in allowed):
+                often = level == 1 or counts[context[1:]][other[i]] >= 2
+                if learned and often and (allowed is None or context in allowed):
                     counts[context][other[i]] += 1
                     seen[context] += 1
         verdicts = {}
