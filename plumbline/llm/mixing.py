@@ -1,26 +1,29 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order that a digest of the id fixes, repeated at most ``repeats``
-times. A document's virtual finish time is the number of words its source has served with it, divided by the source's
-target. Queues are served together in order of finish time until the budget is used up; the document that a queue is
-serving at that moment is cut there, so each source ends within one word of its target.
+times. A document is served in packets of ``packet`` words, its last one shorter; ``packet`` is the ``packets``-th part
+of the budget, so only documents that are large against the whole mix are cut into several. A packet's virtual finish
+time is the number of words that its source has served with it, divided by the source's target. All packets of all
+sources are sorted by finish time, and the mix ends where their running total reaches the budget: what lies before is
+taken, the packet at that place in part. A source so ends within a few packets of its target.
 
 Targets share the budget by weight, and none exceeds ``repeats`` times its source's size: what a source can't take is
 shared by weight among the others until none is above.
 
 Order is exact without one sorted partition: shuffled order and virtual time are both cut into ``BINS`` ranges of equal
-width, sums of whole ranges give the offsets, and rows are sorted inside a range. A hot source spreads over all ranges.
+width, sums of whole ranges give the offsets, and rows are sorted inside a range. Each source serves the same number of
+words in every range of time, so ranges are of equal size, and a hot source spreads over all of them.
 
 A null text, or one without words, has size 0 and takes nothing. A null source is a source of its own, after all
-others. Repeated rows are separate documents; rows that also agree in id and size are interchangeable. An empty table
-gives an empty result. Other input columns are ignored.
+others. Documents without an id are shuffled by their text. Repeated rows are separate documents; rows that also agree
+in id and size are interchangeable. An empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import WORD, text_of, written
@@ -29,17 +32,18 @@ from plumbline.llm.common import WORD, text_of, written
 BINS = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of every document."""
+def sized(docs: DataFrame, seed: str) -> DataFrame:
+    """doc_id, source, the number of words and the shuffled order's key of every document."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text_of().cast("binary"))), F.lit(f":{seed}")).cast("binary")).alias("key"),
     )
 
 
 def targets(sources: DataFrame, weights: Sequence[int], repeats: int) -> DataFrame:
-    """source, source_size and target from (source, source_size).
+    """source, place (from 1, in code point order), source_size and target from (source, source_size).
 
     One row per source in one task: sources in code point order take the ``weights`` in turn. With the sources sorted
     by how soon they fill up, the first k are full exactly if the level that the rest would reach lies above their own.
@@ -52,7 +56,8 @@ def targets(sources: DataFrame, weights: Sequence[int], repeats: int) -> DataFra
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.col("total") - F.col("full")) / F.col("open")
     return (
-        sources.withColumn("weight", weight.cast("long"))
+        sources.withColumn("place", F.row_number().over(one))
+        .withColumn("weight", weight.cast("long"))
         .withColumn("cap", F.col("source_size") * F.lit(repeats).cast("long"))
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0).cast("long")))
@@ -62,80 +67,94 @@ def targets(sources: DataFrame, weights: Sequence[int], repeats: int) -> DataFra
         .withColumn("level", F.max(F.when(~F.col("fills"), level)).over(every))
         .select(
             "source",
+            "place",
             "source_size",
             F.when(F.col("fills"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"),
         )
     )
 
 
-def shuffle_key(seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-
-
 def mix(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", budget: int | None = None
+    docs: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    repeats: int = 3,
+    seed: str = "mix",
+    budget: int | None = None,
+    packets: int = 1 << 17,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and first_finish, the virtual time of its first copy.
+    """One row per document: doc_id, size, source_size, target, taken, and first_finish, when its first packet is served.
 
     ``budget`` is the number of words to take, by default all sizes together. taken counts repeats.
     """
-    rows = written(
-        sized(docs).withColumn("key", shuffle_key(seed)).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")),
-        "sized",
-    )
+    rows = written(sized(docs, seed).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sized")
     per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bin.select("source", "bin", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0).cast("long")).alias("bin_start"))
     sources = per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     goal = targets(sources, weights, repeats)
-    if budget is not None:
-        total = goal.agg(F.sum("source_size")).first()[0] or 0
-        goal = goal.withColumn("target", F.col("target") * min(1.0, budget / max(1, total)))
+    one = sources.agg(F.sum("source_size").alias("total"), F.count("*").alias("n")).first()
+    total = one["total"] or 0
+    budget = total if budget is None else min(budget, total)
+    packet = max(1, -(-budget // packets))
+    if budget < total:
+        goal = goal.withColumn("target", F.col("target") * (budget / total))
     known = (
         offsets.alias("o")
         .join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")))
-        .select(F.col("o.source").alias("bin_source"), F.col("o.bin").alias("bin_no"), "bin_start", "source_size", "target")
+        .select(F.col("o.source").alias("bin_source"), F.col("o.bin").alias("bin_no"), "bin_start", "place", "source_size", "target")
     )
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("bin") == F.col("bin_no")))
     within = Window.partitionBy("bin_source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = written(
         placed.withColumn("served", F.col("bin_start") + F.sum("size").over(within)).select(
-            "doc_id", "source", "key", "size", "source_size", "target", "served"
+            "doc_id", "place", "size", "source_size", "target", "served"
         ),
         "queued",
     )
-    # A document of 0 words has no place in a queue of words; a document behind the cut is not served at all.
-    waits = (F.col("size") > 0) & (F.col("served") - F.col("size") < F.floor("target"))
-    plan = schedule(queued.filter(waits), repeats, budget)
-    per_row = ("source", "served", "doc_id", "size", "source_size", "target")
-    taken = plan.groupBy(*per_row).agg(F.sum("words").alias("taken"), F.min("finish").alias("first_finish"))
-    idle = queued.filter(~waits).select(*per_row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("first_finish"))
-    return taken.unionByName(idle).select("doc_id", "size", "source_size", "target", "taken", "first_finish")
+    plan = schedule(queued, repeats, budget, packet, one["n"])
+    # Documents of no words, and those that never come up, take nothing.
+    every = plan.select("doc_id", "place", "served", "size", "source_size", "target", "words", "finish").unionByName(
+        queued.withColumn("words", F.lit(0).cast("long")).withColumn("finish", F.lit(None).cast("double"))
+    )
+    # Within a source ``served`` tells documents of some words apart; of those without, equal rows are counted.
+    per_row = every.groupBy("place", "served", "doc_id", "size", "source_size", "target").agg(
+        F.sum("words").alias("taken"), F.min("finish").alias("first_finish"), F.count_if(F.col("finish").isNull()).alias("n")
+    )
+    return per_row.select(
+        "doc_id", "size", "source_size", "target", "taken", "first_finish", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")
+    ).drop("copy")
 
 
-def schedule(queued: DataFrame, repeats: int, budget: int | None = None) -> DataFrame:
-    """The mix itself: one row per copy that is served, with its virtual finish time, words, and place among all words.
+def schedule(queued: DataFrame, repeats: int, budget: int, packet: int, sources: int) -> DataFrame:
+    """The mix itself: one row per packet that is served, with its virtual finish time, and the words that are taken of it.
 
-    Copies are range-sorted by finish time over all sources, and cut where the running total reaches the budget.
+    Packets are range-sorted by finish time over all sources, and cut where the running total reaches the budget.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy")
-    end = F.col("served") + F.col("copy").cast("long") * F.col("source_size")
-    left = F.floor("target").cast("long") - (F.col("end") - F.col("size"))
+    begin = F.col("served") - F.col("size") + F.col("copy").cast("long") * F.col("source_size")
+    # When all sources have got their targets no words are left but those of one packet each, so nothing further behind
+    # a target can come up: leaving it out spares rows and changes nothing.
+    behind = F.col("target") + packet * (sources + 1)
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / packet).cast("long"))
     rows = (
-        queued.select("*", copies)
-        .withColumn("end", end)
-        .withColumn("words", F.least(F.col("size"), left))
-        .filter("words > 0")
-        .withColumn("finish", F.least(F.col("end") / F.col("target"), F.lit(1.0)))
-        .withColumn("slot", F.least(F.floor(F.col("finish") * BINS), F.lit(BINS - 1)).cast("int"))
+        queued.filter("size > 0")
+        .select("*", copies)
+        .withColumn("begin", begin)
+        .filter(F.col("begin") < behind)
+        .select("*", F.explode(pieces).alias("piece"))
+        .withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("piece") * packet))
+        .withColumn("end", F.col("begin") + F.col("piece") * packet + F.col("words"))
+        .withColumn("finish", F.col("end") / F.col("target"))
+        .withColumn("slot", F.least(F.floor(F.col("finish") * BINS), F.lit(BINS)).cast("int"))
     )
     sums = rows.groupBy("slot").agg(F.sum("words").alias("slot_words"))
     ahead = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("slot", F.coalesce(F.sum("slot_words").over(ahead), F.lit(0).cast("long")).alias("slot_start"))
-    inside = Window.partitionBy("slot").orderBy("finish", "source", "key", "doc_id", "served", "copy")
-    placed = rows.join(starts, "slot").withColumn(
-        "place", F.col("slot_start") + F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy("slot").orderBy("finish", "place", "end").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("slot_start") + F.sum("words").over(inside)
+    return (
+        rows.join(starts, "slot")
+        .withColumn("total", total)
+        .withColumn("words", F.least(F.col("words"), budget - F.col("total") + F.col("words")))
+        .filter("words > 0")
     )
-    if budget is not None:
-        placed = placed.withColumn("words", F.least(F.col("words"), budget - F.col("place") + F.col("words")))
-    return placed.filter("words > 0").drop("end", "slot", "slot_start")

@@ -2,19 +2,24 @@
 
 MIXING = r"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS key FROM documents),
+        md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':mix') AS key FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
     w AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
     f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
     l AS (SELECT *, (total - filled)::DOUBLE / rest AS level FROM f),
     m AS (SELECT *, level * weight >= cap AS fills, max(CASE WHEN level * weight < cap THEN level END) OVER () AS top FROM l),
-    t AS (SELECT source, source_size, CASE WHEN fills THEN cap::DOUBLE ELSE top * weight END AS target FROM m),
-    q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS served
+    t AS (SELECT source, n, source_size, CASE WHEN fills THEN cap::DOUBLE ELSE top * weight END AS target FROM m),
+    q AS (SELECT d.doc_id, d.size, n, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS served
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    r AS (SELECT *, (greatest(0, least(size, floor(target)::BIGINT - served + size)) + greatest(0, least(size, floor(target)::BIGINT - served - source_size + size))
-        + greatest(0, least(size, floor(target)::BIGINT - served - 2 * source_size + size)))::BIGINT AS taken FROM q)
-    SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN least(served / target, 1.0) END AS first_finish FROM r
+    b AS (SELECT coalesce(sum(size), 0)::BIGINT AS budget, greatest(1, ceil(coalesce(sum(size), 0) / 131072))::BIGINT AS packet FROM d),
+    c AS (SELECT *, served - size + copy * source_size AS begins FROM q, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0),
+    p AS (SELECT *, least(packet, size - piece * packet) AS words FROM (SELECT *, unnest(range(0, ((size - 1) // packet + 1)::BIGINT)) AS piece FROM c, b)),
+    z AS (SELECT *, begins + piece * packet + words AS ends, (begins + piece * packet + words) / target AS finish FROM p),
+    g AS (SELECT *, sum(words) OVER (ORDER BY finish, n, ends ROWS UNBOUNDED PRECEDING) AS running FROM z),
+    k AS (SELECT n, served, sum(least(words, budget - running + words)) AS taken, min(finish) AS first_finish FROM g WHERE running - words < budget GROUP BY n, served)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_finish
+    FROM q LEFT JOIN k ON q.n = k.n AND q.served = k.served AND q.size > 0
 """
 
 LINES = r"""
