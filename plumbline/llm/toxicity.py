@@ -2,15 +2,17 @@
 
 Features of a text are its distinct words and their prefixes of 4 to 6 bytes, which meet inflected forms that no label
 has seen. Logistic regression is fitted on the driver to a sample of labelled rows that is bounded by parameter
-(``sample`` rows of each class, in the order of a digest of their id). For every training text that names a group,
-copies are made in which the identity term is swapped for each other term of its set; the squared change of the score is added to
-the loss, so that the model can't lean on who is mentioned. Features without a significant difference between the
+(``sample`` rows of each class in the order of a digest of their id, and of these as many as ``sample_bytes`` of features
+allow). For every training text that names a group, each swap of the identity term for another term of its set is a
+counterfactual, kept as the two terms; the squared change of the score is added to the loss, so that the model can't
+lean on who is mentioned. Features without a significant difference between the
 classes take no part, which keeps long texts from gathering noise.
 
 Only rows whose fold differs from ``held_out`` are learned from, and label, language, source and id are no features.
 A null or empty text scores like a text without any known feature. Without labels of both classes the score is the
 smoothed share of toxic labels. Repeated rows score alike, one row each; a label given twice counts once, toxic if one
-says so, and null labels count for nothing. Other columns are ignored.
+says so, and null labels count for nothing. A label without a document counts in the shares of the classes only. Of
+documents that share a labelled id the text that sorts first is learned from. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_rows, fold, python_rows, text_of
@@ -43,7 +45,7 @@ PREFIXES = (4, 5, 6)
 #: Bytes of UTF-8: ASCII letters and all bytes above 0x7F stay, the rest separates words.
 LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 SWAPS = {t.encode(): [o.encode() for o in group if o != t] for group in IDENTITY for t in group}
-FEATURES = pa.schema([("toxic", pa.int32()), ("pair", pa.bool_()), ("features", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary()), ("swaps", pa.list_(pa.binary()))])
 
 
 def words_in(text: str) -> set[bytes]:
@@ -69,8 +71,11 @@ def learned_labels(labels: DataFrame, held_out: int, folds: int) -> DataFrame:
     return known.filter(fold("doc_id", folds) != held_out)
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, held_out: int, folds: int, sample: int) -> DataFrame:
-    """Feature buckets of the sampled training texts (pair false) and, for each swapped copy, of it (pair true, behind its text)."""
+def sample_features(docs: DataFrame, labels: DataFrame, held_out: int, folds: int, sample: int, sample_bytes: int) -> DataFrame:
+    """toxic, features and swaps of the sampled training texts: feature buckets of the text, and of the terms it can swap.
+
+    A swap is the features of a term behind those of the other, which are as many as the first number says.
+    """
     known = learned_labels(labels, held_out, folds)
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(
@@ -80,16 +85,25 @@ def sample_features(docs: DataFrame, labels: DataFrame, held_out: int, folds: in
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in python_rows(batches):
             out = []
-            for toxic, text in rows:
+            for doc_id, toxic, text in rows:
                 words = words_in(text)
-                out.append((toxic, False, _packed(words)))
-                for term in sorted(words & SWAPS.keys()):
-                    out += [(toxic, True, _packed(words - {term} | {other})) for other in SWAPS[term]]
+                swaps = [swapped(term, other) for term in sorted(words & SWAPS.keys()) for other in SWAPS[term] if other not in words]
+                out.append((doc_id, toxic, _packed(words), swaps))
             yield arrow_rows(out, FEATURES)
 
-    # At most 2 * sample rows of two numbers are broadcast.
+    # At most 2 * sample rows of two numbers are broadcast; repeated ids meet before their texts are shuffled.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(scan, "toxic int, pair boolean, features binary")
+    single = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    told = single.mapInArrow(scan, "doc_id long, toxic int, features binary, swaps array<binary>")
+    # At most ``sample`` rows of each class meet here.
+    size = F.length("features") + F.aggregate("swaps", F.lit(0), lambda n, x: n + F.length(x))
+    ahead = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return told.withColumn("ahead", F.sum(size).over(ahead)).filter(F.col("ahead").isNull() | (F.col("ahead") + size <= sample_bytes)).drop("ahead")
+
+
+def swapped(term: bytes, other: bytes) -> bytes:
+    own = features_of(term)
+    return np.array([len(own), *own, *features_of(other)], dtype=np.int32).tobytes()
 
 
 class Model:
@@ -121,16 +135,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(rows: list[tuple[int, bool, bytes]], shares: tuple[float, float], swap_weight: float, l2: float, steps: int, z: float) -> Model:
-    """Logistic regression on sampled rows; a swapped copy follows its text. ``shares``: labels of class 0 and 1 in all."""
-    texts, labels, swaps = [], [], []
-    for toxic, pair, packed in rows:
-        ids = np.frombuffer(packed, dtype=np.int32)
-        if pair:
-            swaps.append((len(texts) - 1, ids))
-        else:
-            texts.append(ids)
-            labels.append(toxic)
+def fit(rows: list[tuple[int, bytes, list[bytes]]], shares: tuple[float, float], swap_weight: float, l2: float, steps: int, z: float) -> Model:
+    """Logistic regression on (toxic, features, swaps). ``shares``: numbers of labels of class 0 and 1."""
+    texts = [np.frombuffer(features, dtype=np.int32) for _, features, _ in rows]
+    labels = [toxic for toxic, _, _ in rows]
+    swaps = [np.frombuffer(x, dtype=np.int32) for _, _, found in rows for x in found]
     y = np.array(labels, dtype=np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
@@ -153,7 +162,7 @@ def fit(rows: list[tuple[int, bool, bytes]], shares: tuple[float, float], swap_w
     held = [c[c >= 0] for c in (column[t] for t in texts)]
     row = np.repeat(np.arange(len(held)), [len(h) for h in held])
     col = np.concatenate(held).astype(np.int64)
-    apart = [(column[ids], column[texts[n]]) for n, ids in swaps]
+    apart = [(column[x[1 + x[0] :]], column[x[1 : 1 + x[0]]]) for x in swaps]
     pair_row = np.repeat(np.arange(len(apart)), [len(u) + len(v) for u, v in apart]) if apart else np.zeros(0, dtype=np.int64)
     pair_col = np.concatenate([np.concatenate(uv) for uv in apart]).astype(np.int64) if apart else np.zeros(0, dtype=np.int64)
     sign = np.concatenate([np.r_[np.ones(len(u)), -np.ones(len(v))] for u, v in apart]) if apart else np.zeros(0)
@@ -181,28 +190,19 @@ def train(
     held_out: int = 2,
     folds: int = 4,
     sample: int = 4000,
+    sample_bytes: int = 16 << 20,
     swap_weight: float = 1.0,
     l2: float = 1e-4,
     steps: int = 300,
     z: float = 3.0,
 ) -> Model:
-    """The classifier, from at most ``sample`` labelled rows of each class."""
-    told = sample_features(docs, labels, held_out, folds, sample).toArrow()
-    rows = list(zip(*(told.column(c).to_pylist() for c in ("toxic", "pair", "features")), strict=True))
+    """The classifier, from at most ``sample`` labelled rows of each class and ``sample_bytes`` of their features."""
+    told = sample_features(docs, labels, held_out, folds, sample, sample_bytes).toArrow()
+    # In an order that doesn't depend on partitions, so that reruns add in the same order.
+    rows = sorted(zip(*(told.column(c).to_pylist() for c in ("toxic", "features", "swaps")), strict=True))
     del told
     counts = {r["toxic"]: r["n"] for r in learned_labels(labels, held_out, folds).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    return fit(_ordered(rows), (counts.get(0, 0), counts.get(1, 0)), swap_weight, l2, steps, z)
-
-
-def _ordered(rows: list[tuple[int, bool, bytes]]) -> list[tuple[int, bool, bytes]]:
-    """Texts with their copies in an order that doesn't depend on partitions, so that reruns add in the same order."""
-    groups: list[list[tuple[int, bool, bytes]]] = []
-    for r in rows:
-        if r[1]:
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-    return [r for g in sorted(groups, key=lambda g: (g[0][2], g[0][0])) for r in g]
+    return fit(rows, (counts.get(0, 0), counts.get(1, 0)), swap_weight, l2, steps, z)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int = 2, folds: int = 4) -> DataFrame:

@@ -258,9 +258,8 @@ def test_counterfactuals_lower_the_weight_of_identity_terms():
     for i in range(400):
         toxic = i % 4 == 0
         words = set(rng.choices([n.encode() for n in NAMES], k=20)) | ({b"idiot"} if toxic else set()) | ({b"muslim"} if rng.random() < (0.7 if toxic else 0.05) else set())
-        rows.append((int(toxic), False, toxicity._packed(words)))
-        if b"muslim" in words:
-            rows += [(int(toxic), True, toxicity._packed(words - {b"muslim"} | {o})) for o in toxicity.SWAPS[b"muslim"]]
+        swaps = [toxicity.swapped(b"muslim", o) for o in toxicity.SWAPS[b"muslim"]] if b"muslim" in words else []
+        rows.append((int(toxic), toxicity._packed(words), swaps))
     plain = toxicity.fit(rows, (300, 100), 0.0, 3e-4, 300, 3.0)
     fair = toxicity.fit(rows, (300, 100), 5.0, 3e-4, 300, 3.0)
     assert fair.score("a muslim teacher") < plain.score("a muslim teacher")
@@ -395,6 +394,24 @@ def test_substring_repeats_match_brute_force(spark):
     assert sorted(got) == sorted(want) and want
 
 
+def test_held_out_labels_change_no_score(spark, sf):
+    given, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.fold("doc_id", 4) == 2
+    flipped = labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert labels.filter(out).count() > 20
+    one, other = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(given, x).collect()} for x in (labels, flipped))
+    assert one == other
+
+
+def test_training_takes_a_bounded_sample(spark):
+    rows = [(i, f"text{i} " * 40 + "muslim", "en", "s", 0) for i in range(30)] + [(1, "text1 again", "en", "s", 0)] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    every = toxicity.sample_features(docs(spark, rows), labels, 2, 4, 100, 1 << 20).collect()
+    assert len({r["doc_id"] for r in every}) == len(every) <= 30 and all(len(r["swaps"]) == 5 for r in every if r["doc_id"] != 1)
+    assert 0 < toxicity.sample_features(docs(spark, rows), labels, 2, 4, 100, 700).count() < len(every)
+    assert toxicity.sample_features(docs(spark, rows), labels, 2, 4, 3, 1 << 20).count() <= 6
+
+
 def test_class_shares_leave_out_held_out_labels(spark, monkeypatch):
     rows = [(i, "some words here", "en", "s", 0) for i in range(40)]
     out = {r["doc_id"] for r in docs(spark, rows).filter(toxicity.fold("doc_id", 4) == 2).collect()}
