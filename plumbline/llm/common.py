@@ -56,6 +56,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The text as it is, and all other columns in one named row, where no name can clash with those of an operator."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def restored(columns: list[str]) -> list[Column]:
+    """The columns that carried() put away, in their order."""
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id as text, modulo ``parts``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")

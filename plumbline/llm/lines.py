@@ -1,17 +1,18 @@
 """Line dedup over content-defined chunks of lines, by DataFrame functions alone.
 
-Every line has a 32-bit hash of its digest. A rolling hash over three line hashes places chunk boundaries: line i ends
-a chunk if the rolling hash is 0 modulo ``modulus`` and that of line i - 1 is not, so boundaries depend on nearby lines
-only, shift with them when lines are inserted or removed, and no inner chunk has fewer than two lines. Chunks of two or
-more lines that occur again anywhere are removed, but for the first occurrence by (doc_id, text digest, chunk number).
+Every line has a 28-bit hash of its digest. A rolling hash over two line hashes places chunk boundaries: a line ends a
+chunk where the rolling hash is a local minimum. So boundaries depend on nearby lines only, shift with them when lines
+are inserted or removed, and no inner chunk has fewer than two lines; the mean is three. Chunks of two or more lines
+that occur again anywhere are removed, but for the first occurrence by (doc_id, text digest, chunk number). Of a
+passage that stands among other lines, what lies outside its own boundaries stays: the shorter, the more.
 
 Chunks meet by digest first: counts are combined before the shuffle. Only chunks whose digest repeats carry their text,
 and a chunk is removed only if its bytes equal those of the first chunk of its digest; the join has one row per digest
 on the other side, so it can be split where a chunk is very common.
 
 Null text stays null and empty text empty; both have no chunks. A null doc_id ranks first. Rows that agree in doc_id and
-text are one document: they are no repeats of each other and get the same result. All columns come back; text is what
-stays, and n_chars, if there is one, its length.
+text are one document: they are no repeats of each other and get the same result. All columns come back, whatever their
+names; text is what stays, and n_chars, if there is one, its length.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import carried, restored, written
 
-#: The rolling hash is ((a * BASE + b) * BASE + c) mod PRIME over three line hashes.
+#: The rolling hash is (a * BASE + b) mod PRIME over two line hashes.
 BASE, PRIME = 1_000_003, 2_147_483_647
 
 
@@ -29,38 +30,34 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def _at(array: Column, i: Column) -> Column:
-    """Element i, from 0; 0 before the start."""
-    return F.when(i >= 0, F.get(array, i)).otherwise(F.lit(0).cast("long"))
+def with_chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` with chunks, an array of (chunk from 0, lines, body), null for null and empty texts.
 
-
-def with_chunks(docs: DataFrame, modulus: int = 4) -> DataFrame:
-    """``docs`` with _chunks, an array of (chunk from 0, lines, body), null for null and empty texts."""
-    base, prime = F.lit(BASE).cast("long"), F.lit(PRIME).cast("long")
-    h, r, e = F.col("_hashes"), F.col("_rolled"), F.col("_ends")
+    ``docs`` must have no other columns of the names text, lines, hashes, rolled, ends and chunks.
+    """
+    h, r, e = F.col("hashes"), F.col("rolled"), F.col("ends")
     last = F.size(r) - 1
-    rolled = F.transform(
-        h, lambda x, i: ((_at(h, i - 2) * base % prime + _at(h, i - 1)) * base % prime + x) % prime % modulus == 0
-    )
-    inner = lambda x, i: x & (i > 0) & (i < last - 1) & ((i == 1) | ~F.get(r, i - 1))
-    ends = F.filter(F.transform(r, lambda x, i: F.when(inner(x, i) | (i == last), i)), lambda i: i.isNotNull())
-    before = lambda n: F.when(n > 0, F.get(e, n - 1)).otherwise(F.lit(-1))
+    before = lambda i: F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0).cast("long"))
+    rolled = F.transform(h, lambda x, i: (before(i) * F.lit(BASE).cast("long") + x) % F.lit(PRIME).cast("long"))
+    lowest = lambda x, i: (i > 0) & (i < last - 1) & (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
+    ends = F.filter(F.transform(r, lambda x, i: F.when(lowest(x, i) | (i == last), i)), lambda i: i.isNotNull())
+    behind = lambda n: F.when(n > 0, F.get(e, n - 1)).otherwise(F.lit(-1))
     pieces = F.transform(
         e,
         lambda end, n: F.struct(
             n.alias("chunk"),
-            (end - before(n)).alias("lines"),
-            F.array_join(F.slice("_lines", before(n) + 2, end - before(n)), "\n").alias("body"),
+            (end - behind(n)).alias("lines"),
+            F.array_join(F.slice("lines", behind(n) + 2, end - behind(n)), "\n").alias("body"),
         ),
     )
     # Each array is used several times by the next step, so that the optimizer keeps the steps apart.
     return (
-        docs.withColumn("_lines", F.split(F.nullif(F.col("text").cast("string"), F.lit("")), "\n", -1))
-        .withColumn("_hashes", F.transform("_lines", line_hash))
-        .withColumn("_rolled", rolled)
-        .withColumn("_ends", ends)
-        .withColumn("_chunks", pieces)
-        .drop("_lines", "_hashes", "_rolled", "_ends")
+        docs.withColumn("lines", F.split(F.nullif(F.col("text").cast("string"), F.lit("")), "\n", -1))
+        .withColumn("hashes", F.transform("lines", line_hash))
+        .withColumn("rolled", rolled)
+        .withColumn("ends", ends)
+        .withColumn("chunks", pieces)
+        .drop("lines", "hashes", "rolled", "ends")
     )
 
 
@@ -68,70 +65,71 @@ def own_key() -> Column:
     return F.md5(F.col("text").cast("string").cast("binary"))
 
 
-def _same(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Join by document. Both joins of dedup_chunks shuffle the documents alike, so one exchange of texts serves them."""
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_key"))
-    return docs.join(other.hint("merge"), same, how)
+def _same(held: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join by document. Both joins of kept_lines() shuffle the documents alike, so one exchange of texts serves them."""
+    same = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_key").eqNullSafe(F.col("key"))
+    return held.join(other.hint("merge"), same, how)
 
 
-def candidates(docs: DataFrame, modulus: int = 4) -> DataFrame:
-    """_id, _key and the array _marks of (chunk, digest, is_first), for documents with chunks whose digest repeats."""
-    chunks = with_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), modulus)
-    place = F.struct("doc_id", "doc_key", "chunk")
+def candidates(held: DataFrame) -> DataFrame:
+    """id, key and the array marks of (chunk, digest, is_first), for documents with chunks whose digest repeats."""
+    chunks = with_chunks(held.select(F.col("own_id").alias("id"), F.col("own_key").alias("key"), "text"))
+    place = F.struct("id", "key", "chunk")
     # An outer generator: for others the optimizer pushes a filter on the array, and so its whole making, below the steps.
     keyed = (
-        chunks.select("doc_id", own_key().alias("doc_key"), F.inline_outer("_chunks"))
+        chunks.select("id", "key", F.inline_outer("chunks"))
         .filter("lines > 1")
-        .select("doc_id", "doc_key", "chunk", F.xxhash64("body", "lines").alias("digest"))
+        .select("id", "key", "chunk", F.xxhash64("body", "lines").alias("digest"))
     )
     keyed = written(keyed, "chunk-digests")
     # Rows that agree in doc_id and text have equal places, so the first and last place tell whether a chunk repeats.
     seen = keyed.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = written(seen.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "repeated-digests")
     mark = F.struct("chunk", "digest", place.eqNullSafe(F.col("first")).alias("is_first"))
-    marked = keyed.join(seen.hint("merge"), "digest").groupBy("doc_id", "doc_key").agg(F.collect_set(mark).alias("_marks"))
-    return written(marked.withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}), "candidate-chunks")
+    marked = keyed.join(seen.hint("merge"), "digest").groupBy("id", "key").agg(F.collect_set(mark).alias("marks"))
+    return written(marked, "candidate-chunks")
 
 
-def dedup_chunks(docs: DataFrame, modulus: int = 4) -> DataFrame:
-    """``docs`` with the text that stays, and _total and _removed, the numbers of lines before and removed."""
-    held = docs.withColumn("_own", own_key())
-    every = [F.col(f"`{c}`") for c in docs.columns]
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """row (see carried()), the text that stays, and total and removed, the numbers of lines before and removed."""
+    held = carried(docs).select("*", F.col("row.doc_id").cast("long").alias("own_id"), own_key().alias("own_key"))
     bodies = (
-        with_chunks(_same(held, candidates(docs, modulus), "inner"), modulus)
-        .select(*every, "_id", "_key", "_chunks", F.explode_outer("_marks").alias("_mark"))
-        .select("_id", "_key", "_mark.*", F.get("_chunks", F.col("_mark.chunk"))["body"].alias("body"))
+        with_chunks(_same(held.drop("row"), candidates(held), "inner"))
+        .select("id", "key", "chunks", F.explode_outer("marks").alias("mark"))
+        .select("id", "key", "mark.*", F.get("chunks", F.col("mark.chunk"))["body"].alias("body"))
     )
     firsts = bodies.filter("is_first").groupBy("digest").agg(F.first("body").alias("first_body"))
     gone = (
         bodies.filter("not is_first")
         .join(firsts.hint("merge"), "digest")
         .filter(F.col("body") == F.col("first_body"))
-        .groupBy("_id", "_key")
-        .agg(F.collect_set("chunk").alias("_gone"))
+        .groupBy("id", "key")
+        .agg(F.collect_set("chunk").alias("gone"))
     )
-    joined = with_chunks(_same(held, gone, "left"), modulus)
-    stays = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["chunk"]))
+    joined = with_chunks(_same(held, gone, "left"))
+    stays = F.filter("chunks", lambda c: ~F.array_contains("gone", c["chunk"]))
     count = lambda chunks: F.aggregate(chunks, F.lit(0), lambda n, c: n + c["lines"])
-    lost = F.col("_gone").isNotNull()
-    text = F.when(lost, F.array_join(F.transform(stays, lambda c: c["body"]), "\n")).otherwise(F.col("text").cast("string"))
-    out = joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")),
-        text.alias("text"),
-        F.coalesce(count("_chunks"), F.lit(0)).cast("long").alias("_total"),
-        F.when(lost, count(F.filter("_chunks", lambda c: F.array_contains("_gone", c["chunk"])))).otherwise(0).cast("long").alias("_removed"),
+    lost = F.col("gone").isNotNull()
+    return joined.select(
+        "row",
+        F.when(lost, F.array_join(F.transform(stays, lambda c: c["body"]), "\n")).otherwise(F.col("text").cast("string")).alias("text"),
+        F.coalesce(count("chunks"), F.lit(0)).cast("long").alias("total"),
+        F.when(lost, count(F.filter("chunks", lambda c: F.array_contains("gone", c["chunk"])))).otherwise(0).cast("long").alias("removed"),
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns, "_total", "_removed")
 
 
-def line_digest(docs: DataFrame, modulus: int = 4) -> DataFrame:
+def dedup_chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that stays."""
+    length = lambda c: F.char_length("text").cast("long").alias(c)
+    columns = [length(c) if c == "n_chars" else held for c, held in zip(docs.columns, restored(docs.columns), strict=True)]
+    return kept_lines(docs).select(*columns)
+
+
+def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the text that stays, per document."""
-    kept = dedup_chunks(docs.select("doc_id", "text"), modulus)
-    return kept.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_total").alias("n_lines"),
-        F.col("_removed").alias("n_removed"),
+    return kept_lines(docs.select("doc_id", "text")).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.col("total").alias("n_lines"),
+        F.col("removed").alias("n_removed"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
     )

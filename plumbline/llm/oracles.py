@@ -26,9 +26,9 @@ LINES = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     lines AS (SELECT r, i - 1 AS i, line, len(string_split(text, chr(10))) AS n, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
         FROM (SELECT r, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs WHERE text <> '')),
-    rolled AS (SELECT *, ((lag(h, 2, 0) OVER o * 1000003 % 2147483647 + lag(h, 1, 0) OVER o) * 1000003 % 2147483647 + h) % 2147483647 % 4 = 0 AS x
-        FROM lines WINDOW o AS (PARTITION BY r ORDER BY i)),
-    ended AS (SELECT *, (x AND i > 0 AND i < n - 2 AND (i = 1 OR NOT lag(x, 1, false) OVER (PARTITION BY r ORDER BY i))) OR i = n - 1 AS stop FROM rolled),
+    rolled AS (SELECT *, (lag(h, 1, 0) OVER (PARTITION BY r ORDER BY i) * 1000003 + h) % 2147483647 AS x FROM lines),
+    ended AS (SELECT *, (i > 0 AND i < n - 2 AND x < lag(x) OVER o AND x <= lead(x) OVER o) OR i = n - 1 AS stop
+        FROM rolled WINDOW o AS (PARTITION BY r ORDER BY i)),
     numbered AS (SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended),
     chunks AS (SELECT r, chunk, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY r, chunk),
     placed AS (SELECT c.*, doc_id, lpad(doc_id::VARCHAR, 20, '0') || md5(text) || lpad(chunk::VARCHAR, 10, '0') AS place FROM chunks c JOIN docs d ON c.r = d.r),

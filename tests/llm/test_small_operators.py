@@ -61,7 +61,7 @@ def test_document_operators_take_awkward_rows(spark, make):
     assert decontamination.contamination(given, bench).count() == n
     assert toxicity.toxicity(given, labels).count() == n
     assert mixing.mix(given).count() == n
-    assert lines.dedup_chunks(given).select(*given.columns).count() == n
+    assert lines.dedup_chunks(given).columns == given.columns and lines.dedup_chunks(given).count() == n
     assert substrings.repeated_spans(given).count() == 0
     kept = substrings.without_repeats(given)
     assert kept.columns == [*given.columns, "kept"] and kept.count() == n
@@ -127,11 +127,27 @@ def test_line_chunks_are_shift_resistant_and_lossless(spark):
     rows = [(1, "\n".join(body), "en", "s", 0), (2, "\n".join(["new line", *body]), "en", "s", 0), (3, "\n".join(reversed(body)), "en", "s", 0)]
     chunks = lines.with_chunks(docs(spark, rows)).collect()
     for r in chunks:
-        assert "\n".join(c["body"] for c in r["_chunks"]) == r["text"]
-        assert all(c["lines"] > 1 for c in r["_chunks"][:-1])
+        assert "\n".join(c["body"] for c in r["chunks"]) == r["text"]
+        assert all(c["lines"] > 1 for c in r["chunks"])
     got = {r["doc_id"]: r for r in lines.dedup_chunks(docs(spark, rows)).collect()}
-    assert got[1]["_removed"] == 0 and got[1]["text"] == rows[0][1] and got[3]["_removed"] == 0
-    assert got[2]["_removed"] >= 30 and got[2]["n_chars"] == len(got[2]["text"])
+    removed = {r["doc_id"]: r["n_removed"] for r in lines.line_digest(docs(spark, rows)).collect()}
+    assert removed[1] == 0 and got[1]["text"] == rows[0][1] and removed[3] == 0
+    assert removed[2] >= 30 and got[2]["n_chars"] == len(got[2]["text"])
+
+
+def test_share_of_short_passages_that_goes(spark):
+    """Passages among other lines: how much of them the chunk boundaries let meet, by length."""
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choices(NAMES, k=7))
+    rows, lengths = [], (4, 8, 20)
+    for n in lengths:
+        for _ in range(60):
+            passage = [line() for _ in range(n)]
+            for _ in range(2):
+                rows.append((len(rows), "\n".join([*(line() for _ in range(6)), *passage, *(line() for _ in range(5))]), f"{n}", "s", 0))
+    gone = {r["doc_id"]: r["n_removed"] for r in lines.line_digest(docs(spark, rows)).collect()}
+    share = {n: sum(gone[r[0]] for r in rows if r[2] == f"{n}") / (60 * n) for n in lengths}
+    assert share[4] > 0.05 and share[8] > 0.35 and share[20] > 0.7, share
 
 
 def test_line_dedup_keeps_the_first_of_copies(spark):
