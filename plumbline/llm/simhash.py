@@ -11,7 +11,7 @@ references, spread over the fingerprint space, sharpen the coordinate test. Equa
 
 A bucket of more than ``dense`` fingerprints is not paired. There every fingerprint is joined to its 64 neighbours at
 one bit and itself: two fingerprints within two bits share a neighbour, and all that share one are within two bits, so
-a star per neighbour has the same components.
+a star per neighbour has the same components. With a radius of one bit they are joined to those neighbours themselves.
 
 Words are runs of other than ASCII white space, with A-Z in lower case; shingles are ``width`` consecutive words,
 repeats included; a shorter text is one shingle; a text without words, or null, has fingerprint zero. Repeated rows are
@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_rows, discard, python_rows, text_of, written
+from plumbline.llm.common import arrow_rows, carried, discard, python_rows, restored, text_of, written
 from plumbline.llm.graph import components
 
 GROUPS, AGREE = 6, 4
@@ -132,9 +132,13 @@ def links(prints: DataFrame, radius: int = 2, dense: int = 1000) -> DataFrame:
         .filter(distance(F.col("a"), F.col("b")) <= radius)
         .select("a", "b")
     )
-    if radius < 2 or sizes.filter(F.col("n") > dense).isEmpty():
+    if radius == 0 or sizes.filter(F.col("n") > dense).isEmpty():
         return pairs.distinct()
     many = held.join(sizes.filter(F.col("n") > dense), "key", "left_semi").select("fp").distinct()
+    if radius == 1:
+        flipped = F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))).alias("b")
+        beside = many.select(F.col("fp").alias("a"), flipped).filter("a < b").join(many.withColumnRenamed("fp", "b"), "b", "left_semi")
+        return pairs.unionByName(beside.select("a", "b")).distinct()
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
     around = many.select("fp", F.explode(near).alias("mid"))
     stars = around.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
@@ -142,10 +146,15 @@ def links(prints: DataFrame, radius: int = 2, dense: int = 1000) -> DataFrame:
     return pairs.unionByName(spokes).distinct()
 
 
+def rooted(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, least and root of every distinct fingerprint of ``held``."""
+    roots = components(edges)
+    return held.join(roots, held["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def named(prints: DataFrame, held: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``prints``; ``held`` has each fp once with its least id."""
-    roots = components(edges)
-    placed = held.join(roots, held["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = rooted(held, edges)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -167,21 +176,26 @@ def shingle_set(text: str, width: int) -> bytes:
     return distinct_shingles(shingle_hashes(text, width))
 
 
+def text_key() -> Column:
+    """With the id it tells rows apart: those that agree in both have the same text."""
+    return F.xxhash64(text_of())
+
+
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp, the shingle set of every document, and own, a digest of both, in one pass."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("own", pa.int64()), ("shingles", pa.binary())])
+    """doc_id, key, fp, the shingle set of every document, and own, a digest of the last two, in one pass."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("own", pa.int64()), ("shingles", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in python_rows(batches):
             out = []
-            for doc_id, text in rows:
+            for doc_id, key, text in rows:
                 hashes = shingle_hashes(text, width)
                 fp, held = folded(hashes), distinct_shingles(hashes)
-                out.append((doc_id, signed(fp), signed(xxhash.xxh64_intdigest(held, fp)), held))
+                out.append((doc_id, key, signed(fp), signed(xxhash.xxh64_intdigest(held, fp)), held))
             yield arrow_rows(out, schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.mapInArrow(scan, "doc_id long, fp long, own long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), text_of().alias("text"))
+    return texts.mapInArrow(scan, "doc_id long, key long, fp long, own long, shingles binary")
 
 
 def common_shingles(sets: DataFrame, sample: int = 5_000, most: int = 100_000) -> np.ndarray:
@@ -248,8 +262,14 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_set", "b_set").mapInArrow(check, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns: int = 3) -> DataFrame:
-    """Like near_duplicates(), for copies with more changes: components of texts whose shingle sets are similar.
+def near_copies(docs: DataFrame, **how) -> DataFrame:
+    """Like near_duplicates(), for copies with more changes: components of texts whose shingle sets are similar."""
+    prints, held, linked = similar_texts(docs, **how)
+    return named(prints.select("doc_id", "fp"), held, linked)
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The shingled() rows, their distinct fingerprints with the least id of each, and links between those.
 
     Fingerprints within two bits are linked as they are. Beyond, all pairs of sets with a Jaccard similarity of
     ``similarity`` or more are linked: they share a shingle of their prefixes(). Sets of a shingle are first compared
@@ -278,7 +298,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns:
         else:
             pairs = all_pairs(shared_still, similarity)
         linked = linked.unionByName(similar(written(pairs, "pairs"), sets, similarity))
-    return named(prints.select("doc_id", "fp"), held, linked)
+    return prints, held, linked
 
 
 def some_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -306,9 +326,20 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their near_copies() component, one row of each id; rows without id stay."""
-    kept = near_copies(docs, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    own = F.col("doc_id").cast("long")
-    once = Window.partitionBy(own).orderBy("text")
-    named = docs.filter("doc_id is not null").join(kept, own == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(once))
-    return named.filter("_n = 1").drop("_n").unionByName(docs.filter("doc_id is null"))
+    """Of every component of near_copies() the row of the smallest doc_id, and of rows that share it that of the least text key.
+
+    Rows without an id rank behind all others. Of rows that agree in id and text the one that sorts first stays; where a
+    column has a type that can't be sorted, any of them.
+    """
+    prints, held, linked = similar_texts(docs, **how)
+    placed = rooted(held, linked).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    best = prints.select("doc_id", "key", "fp").join(placed, "fp").groupBy("root").agg(F.min(rank).alias("best"))
+    kept = written(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key")), "kept")
+    rows = carried(docs).select("*", F.col("row.doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
+    one = F.struct("row", "text")
+    sortable = "map<" not in rows.schema.simpleString() and "variant" not in rows.schema.simpleString()
+    # Equal rows meet before the shuffle; the join needs no other.
+    single = rows.groupBy("own_id", "own_key").agg((F.min(one) if sortable else F.first(one)).alias("one"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
+    return single.join(kept, same, "left_semi").select("one.*").select(*restored(docs.columns))

@@ -32,7 +32,8 @@ def docs(spark, rows=None, schema=DOCS):
 def clashing(spark, rows=None):
     """Extra columns whose names the operators use themselves."""
     extra = docs(spark, rows)
-    for name in ("digest", "start", "chunk", "key", "fp", "size", "score", "bin", "_x", "words"):
+    names = "digest start chunk chunks key fp size score bin _x words row own own_id own_key kept_id kept_key one a.b _n _own _spans _text _key _cut _id hits shown root text_key lines hashes rolled ends marks gone total removed token label"
+    for name in names.split():
         extra = extra.withColumn(name, F.lit("clash"))
     return extra
 
@@ -197,6 +198,32 @@ def test_one_of_each_keeps_one_row_per_component(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()) == [1, 8]
 
 
+def test_one_of_each_keeps_other_texts_of_the_same_id(spark):
+    """Ids that repeat, or are missing, with texts that are no copies of each other."""
+    texts = ["one text about this and that", "a second one with other words in it", "a third that shares nothing at all"]
+    rows = [(7, texts[0], "en", "s", 0), (7, texts[1], "en", "s", 0), (7, texts[1], "de", "t", 1), (None, texts[2], "en", "s", 0), (None, texts[2], "en", "s", 0), (None, texts[0], "en", "s", 0)]
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in simhash.one_of_each(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(False, 7, texts[0]), (False, 7, texts[1]), (True, None, texts[2])], key=str)
+
+
+@pytest.mark.parametrize("dense", [1000, 2])
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_links_of_every_radius(spark, radius, dense):
+    fps = [0, 1, 3, 7, 8, 9, 16, 1 << 63, (1 << 63) + 1, 12345678901]
+    given = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(fps)], "fp long, least long")
+    roots = {r["node"]: r["root"] for r in graph.components(simhash.links(given, radius, dense)).distinct().collect()}
+    groups = {frozenset(f for f in fps if roots.get(simhash.signed(f), simhash.signed(f)) == r) for r in {roots.get(simhash.signed(f), simhash.signed(f)) for f in fps}}
+    want = [{f} for f in fps]
+    for a in fps:
+        for b in fps:
+            if bin(a ^ b).count("1") <= radius:
+                x, y = (next(g for g in want if z in g) for z in (a, b))
+                if x is not y:
+                    want.remove(y)
+                    x |= y
+    assert groups == {frozenset(g) for g in want}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502)], "a long, b long")
     roots = {(r["node"], r["root"]) for r in graph.components(edges).collect()}
