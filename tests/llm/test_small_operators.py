@@ -68,7 +68,10 @@ def test_document_operators_take_awkward_rows(spark, make):
     assert kept.columns == [*given.columns, "kept"] and kept.count() == n
     assert toxicity.not_toxic(given, labels).columns == given.columns
     assert simhash.one_of_each(given).columns == given.columns
-    assert decontamination.without_contaminated(given, bench).columns == given.columns
+    for most in (1 << 20, 0):
+        assert decontamination.contamination(given, bench, broadcast_bytes=most).count() == n
+        assert decontamination.without_contaminated(given, bench, broadcast_bytes=most).columns == given.columns
+        assert decontamination.without_contaminated(given, bench.limit(0), broadcast_bytes=most).count() == n
 
 
 def test_secret_spans():
@@ -268,19 +271,19 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontamination_matches_brute_force(spark, block):
+@pytest.mark.parametrize(("most", "power"), [(1 << 20, 27), (0, 20), (0, 16)])
+def test_decontamination_matches_brute_force(spark, most, power):
     rows = corpus(11, 40)
     items = [(i, " ".join(rows[i][1].split()[3 : 3 + n])) for i, n in enumerate((5, 13, 14, 20, 40, 2))] + [(None, "w1, W2"), (3, "changed"), (7, None), (8, "!!")]
     rows += [(100, "x " * 500 + items[3][1], "en", "s", 0), (100, rows[0][1], "en", "s", 0), (101, None, "en", "s", 0)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in decontamination.contamination(docs(spark, rows), bench, block_bytes=block).collect())
+    got = sorted(tuple(r) for r in decontamination.contamination(docs(spark, rows), bench, broadcast_bytes=most, power=power).collect())
     want = []
     for doc_id, text, *_ in rows:
         n, hit, found = brute_hits(text, items)
         want.append((doc_id, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
     assert got == sorted(want)
-    stay = sorted(r["doc_id"] for r in decontamination.without_contaminated(docs(spark, rows), bench, block_bytes=block).collect())
+    stay = sorted(r["doc_id"] for r in decontamination.without_contaminated(docs(spark, rows), bench, broadcast_bytes=most, power=power).collect())
     assert stay == sorted(w[0] for w in want if not w[5])
 
 
