@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a token-efficiency test for strings that no pattern knows.
 
-Random strings cost a subword vocabulary many tokens: a candidate (a run of the characters that keys are made of, with
-both letters and digits) whose characters per token fall below ``ratio`` is reported as kind ``dense``. Digests of usual
-lengths, UUIDs, plain numbers, addresses, versions and identifiers made of words are known and left out. Spans that a
-pattern reports stay whatever the test says; a candidate that touches one adds nothing.
+Random strings cost a subword vocabulary many tokens: a candidate (a run of 16 or more of the characters that keys are
+made of, with letters among them) whose characters per token fall below ``ratio`` is reported as kind ``dense``. Digests
+of usual lengths, UUIDs, plain numbers, addresses, versions and identifiers made of words are known and left out; a word
+of small letters alone is one of those only up to ``WORD_LETTERS``, longer ones are for the ratio to decide. Spans that
+a pattern reports stay whatever the test says; a candidate that touches one adds nothing.
 
 Null text counts as empty and gives no spans. Positions are code points, ends are exclusive. Every row gives one row,
 repeated rows included; other input columns are not looked at.
@@ -31,9 +32,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A word, camel case words, or capitals, with up to four digits behind.
-PART = r"(?:(?:[A-Z]?+[a-z]{2,}+)+|[A-Za-z]|[A-Z]+)?[0-9]{0,4}"
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The longest run of small letters that counts as a word by itself.
+WORD_LETTERS = 19
+#: A word of up to WORD_LETTERS letters, camel case words, or capitals, with up to four digits behind.
+PART = r"(?:(?:[A-Z]?+[a-z]{2,19}+(?![a-z]))+|[A-Za-z]|[A-Z]{1,15}+)?[0-9]{0,4}"
 #: Known digests, UUIDs, numbers and dates, and identifiers or paths whose parts are words.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -66,13 +69,22 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def dense_spans(text: str, known: list[tuple[int, int, str]], vocabulary: str, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates with few characters per token that touch none of the ``known`` spans."""
+    """Candidates with few characters per token that touch none of the ``known`` spans, which are sorted by start."""
     found = []
+    covered: list[tuple[int, int]] = []
+    for a, b, _ in known:
+        if covered and a <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+        else:
+            covered.append((a, b))
+    at = 0
     for m in CANDIDATE.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or KNOWN.fullmatch(run):
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if at < len(covered) and covered[at][0] < end:
             continue
-        if any(a < end and start < b for a, b, _ in known):
+        if not any(c.isalpha() for c in run) or KNOWN.fullmatch(run):
             continue
         if len(run) < ratio * len(encoder(vocabulary).encode_ordinary(run)):
             found.append((start, end, "dense"))
