@@ -1,20 +1,30 @@
-"""Main text of web pages from parser events: text-to-tag ratios, smoothed, choose the content region.
-
-A streaming standard-library parser turns a page into blocks: the text between two block-level tags, with the number of
-tags inside it. The logarithm of text characters per tag of each block is smoothed with a Gaussian; blocks above the threshold form the
-content cluster. The element that holds most of the cluster's text, at the deepest level that still holds ``share`` of
-it, is the main region, and an ``article`` or ``main`` around or inside it is preferred. All blocks of that region are
-kept, short ones too; what stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments inside or outside of it is not.
+"""Main text of web pages from parser events: text-to-tag ratios, smoothed and clustered, choose the content region.
+
+A streaming standard-library parser turns a page into blocks, its lines: the text between two block-level tags, with the
+number of tags inside. The logarithm of characters per tag of each block is smoothed with a Gaussian over the blocks of
+the page, and a threshold halfway between the two means of the ratios (two clusters, fitted by turns) tells content
+blocks from others. Runs of neighbouring content blocks are the content clusters; the region is the deepest element
+around all clusters that hold a quarter of the largest one's text or more, or the ``article`` or ``main`` element that
+holds more than half of all content text.
+
+Of the region everything stays, short blocks too, but for
+* menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, as elements or names say:
+  a class, id or role all of whose parts are words of boilerplate and layout, with one of boilerplate among them;
+* elements whose name only holds such a word (like side-effects), if less than half of their text is in blocks whose own
+  ratio reaches the threshold; ids of paragraphs and headings are anchors and say nothing;
+* if the region is no ``article`` or ``main``: containers without a content block or heading before the first content
+  block or behind the last one.
 
 Null html counts as empty. An empty page, or one without text, has empty text. Unclosed and stray tags are tolerated;
-``<br>`` is white space inside its block. Every row gives one row; other columns are not looked at.
+``<br>`` is white space inside its block. Time and memory grow in proportion to the page, however deep it is nested.
+Every row gives one row, repeated rows too; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,39 +43,70 @@ INLINE = frozenset(
 SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video".split())
 BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
 CONTENT = frozenset(("article", "main"))
-#: Words of class, id and role attributes that mark boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|"
-    r"consent|notice|notices|alert|gdpr|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|"
-    r"footer|comment|comments|disqus|respond|reply|replies|related|recommended|share|sharing|social|newsletter|"
-    r"subscribe|signup|popup|modal|overlay|widget|toolbar|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+CLOSES = frozenset("p li dt dd tr td th option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text rather than other parts of a page.
+LINES = HEADINGS | frozenset("p li dt dd tr td th pre blockquote figcaption caption address summary".split())
+#: Words of class, id and role attributes that mark boilerplate,
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices "
+    "alert gdpr sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply "
+    "replies related recommended share sharing social newsletter subscribe signup popup modal overlay widget widgets toolbar pagination pager "
+    "complementary contentinfo search".split()
+)
+#: those of them that also do on an article or main element,
+OF_ARTICLES = frozenset("ad ads advert adverts advertisement sponsored promo comment comments respond reply replies related recommended".split())
+#: those that an id inside of an article or main element marks,
+INSIDE = OF_ARTICLES | frozenset("disqus cookie cookies newsletter sidebar".split())
+#: those that mark nothing inside of one, where it has a head of its own,
+HEADS = frozenset(("header", "masthead"))
+#: and words of layout that may stand beside them.
+LAYOUT = frozenset(
+    "area articles bar block bottom box btn button buttons center class col column container content desktop entry fixed form frame global google "
+    "group holder icons id inner item items left link links list main mobile module news outer page panel post posts primary region right row "
+    "secondary section site slot space sticky stories tag text title top unit wrap wrapper zone".split()
 )
-#: Of these words, those that also mark an article or main element, or that don't mark anything inside one.
-OTHER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comment|comments|respond|reply|replies|related|recommended)(?:$|[\s_-])", re.IGNORECASE)
-OWN = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.IGNORECASE)
+PARTS = re.compile(r"[^\W_]+")
 SPACE = re.compile(r"\s+")
-CLOSES = frozenset("p li dt dd tr td th option".split())
+HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
+#: Logarithm of a ratio between ratios that doesn't tell content from anything else.
+ALIKE = math.log(1.5)
+
+
 class Node:
-    """An element on the way from the root to a block."""
+    """An element that is or was open."""
+
+    __slots__ = ("name", "parent", "at", "out", "doubtful", "inside")
+
+    def __init__(self, name: str, parent: Node | None, at: int, out: bool, doubtful: bool) -> None:
+        self.name, self.parent, self.at, self.out, self.doubtful = name, parent, at, out, doubtful
+        self.inside = name in CONTENT or (parent is not None and parent.inside)
 
-    __slots__ = ("name", "parent", "out", "depth", "content")
 
-    def __init__(self, name: str, parent: Node | None, out: bool) -> None:
-        self.name, self.parent, self.out = name, parent, out
-        self.depth = parent.depth + 1 if parent else 0
-        self.content = name in CONTENT
+def told(value: str, marks: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a name of the attribute value marks boilerplate, and whether one only holds such a word."""
+    sure = maybe = False
+    for name in value.lower().split():
+        parts = [p for p in PARTS.findall(name) if not p.isdigit()]
+        if not marks.isdisjoint(parts):
+            if all(p in MARKS or p in LAYOUT for p in parts):
+                sure = True
+            else:
+                maybe = True
+    return sure, maybe
 
 
 class Blocks(HTMLParser):
-    """Collects (node, text, tags) for every block of a page."""
+    """Collects (node, text, tags) for every block of a page, and its elements in the order in which they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.node = Node("", None, False)
+        self.node = Node("", None, 0, False, False)
+        self.nodes = [self.node]
+        self.open: Counter[str] = Counter()
         self.found: list[tuple[Node, str, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -76,45 +117,57 @@ class Blocks(HTMLParser):
             self.found.append((self.node, text, self.tags))
         self.parts, self.tags = [], 0
 
+    def push(self, tag: str, sure: bool, maybe: bool) -> None:
+        self.node = Node(tag, self.node, len(self.nodes), self.node.out or sure, maybe)
+        self.nodes.append(self.node)
+        self.open[tag] += 1
+
+    def pop(self) -> None:
+        self.open[self.node.name] -= 1
+        self.node = self.node.parent
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
             self.tags += 1
             if tag == "br":
                 self.parts.append(" ")
-            if tag in VOID or not any(k in ("class", "id", "role") for k, v in attrs):
-                return
-            if not self.marks(tag, attrs):
+            if tag in VOID:
                 return
+            if self.marks(tag, attrs)[0]:
+                self.flush()
+                self.push(tag, True, False)
+            elif self.open[tag]:
+                # Inside of a marked one of its name; else its end would be taken for the other's.
+                self.push(tag, False, False)
+            return
         self.flush()
         if tag in VOID:
             return
         self.tags += 1
         if tag in CLOSES and self.node.name == tag:
-            self.node = self.node.parent
-        self.node = Node(tag, self.node, self.node.out or self.marks(tag, attrs))
+            self.pop()
+        self.push(tag, *self.marks(tag, attrs))
 
-    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = self.within(CONTENT)
+    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        inside = self.node.inside
         if tag in SILENT or tag in BOILERPLATE or (tag == "header" and not inside):
-            return True
+            return True, False
         if tag in ("body", "html"):
-            return False
+            return False, False
+        doubt = False
         for k, v in attrs:
-            if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                return True
-            if k in ("class", "id", "role", "aria-label") and v:
-                told = OWN.sub("", v) if inside else v
-                if (OTHER if tag in CONTENT else MARKED).search(told):
-                    return True
-        return False
-
-    def within(self, names: frozenset[str]) -> bool:
-        node = self.node
-        while node:
-            if node.name in names:
-                return True
-            node = node.parent
-        return False
+            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and HIDDEN.search(v)):
+                return True, False
+            if not v or k not in ("class", "id", "role", "aria-label") or (k == "id" and tag in LINES):
+                continue
+            sure, maybe = told(v, OF_ARTICLES if tag in CONTENT else MARKS - HEADS if inside else MARKS)
+            if sure and k == "id" and inside:
+                sure = told(v, INSIDE)[0]
+                maybe = True
+            if sure:
+                return True, False
+            doubt = doubt or (maybe and tag not in LINES and tag not in CONTENT)
+        return False, doubt
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,14 +175,14 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.node
-        while node and node.name != tag:
-            node = node.parent
-        if tag in INLINE and not (node and node.out):
+        if not self.open[tag]:
+            if tag not in INLINE:
+                self.flush()
             return
         self.flush()
-        if node and node.parent:
-            self.node = node.parent
+        while self.node.name != tag:
+            self.pop()
+        self.pop()
 
     def handle_data(self, data: str) -> None:
         if self.node.name not in SILENT:
@@ -156,47 +209,114 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def content_blocks(blocks: list[tuple[Node, str, int]], sigma: float, share: float) -> list[str]:
+def threshold(values: list[float]) -> float:
+    """Halfway between the means of the two clusters of ``values``; not above any if the clusters are less than ``ALIKE`` apart."""
+    low, high = min(values), max(values)
+    for _ in range(50):
+        cut = (low + high) / 2
+        under = [v for v in values if v < cut]
+        over = [v for v in values if v >= cut]
+        if not under:
+            return min(values)
+        means = sum(under) / len(under), sum(over) / len(over)
+        if means == (low, high):
+            break
+        low, high = means
+    return (low + high) / 2 if high - low >= ALIKE else min(values)
+
+
+def sums(nodes: list[Node], own: dict[int, int]) -> list[int]:
+    """For every element the sum of ``own`` over itself and all inside."""
+    out = [0] * len(nodes)
+    for at, n in own.items():
+        out[at] = n
+    for node in reversed(nodes):
+        if node.parent:
+            out[node.parent.at] += out[node.at]
+    return out
+
+
+def content_blocks(blocks: list[tuple[Node, str, int]], nodes: list[Node], sigma: float, part: float) -> list[str]:
     """Texts of the main region."""
     kept = [b for b in blocks if not b[0].out]
     if not kept:
         return []
     # Logarithms keep one very long block from raising the threshold above all others.
-    ratios = smoothed([math.log1p(len(text) / max(1, tags)) for _, text, tags in kept], sigma)
-    mean = sum(ratios) / len(ratios)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    cluster = [(node, len(text)) for (node, text, _), r in zip(kept, ratios, strict=True) if r >= mean - spread]
-    mass: dict[Node, int] = {}
-    for node, size in cluster:
-        while node:
-            mass[node] = mass.get(node, 0) + size
-            node = node.parent
-    total = sum(size for _, size in cluster)
-    holders = [n for n, m in mass.items() if m >= share * total and n.name not in CLOSES]
-    marked = [n for n, m in mass.items() if n.content and m >= 0.5 * total]
-    region = max(marked or holders, key=lambda n: n.depth)
-    out = []
-    for node, text, _ in kept:
-        while node and node is not region:
-            node = node.parent
-        if node:
-            out.append(text)
-    return out
-
-
-def main_text(html: str, sigma: float = 1.5, share: float = 0.8) -> str:
-    """The main text of one page, its blocks joined by line breaks."""
+    own = [math.log1p(len(text) / max(1, tags)) for _, text, tags in kept]
+    ratios = smoothed(own, sigma)
+    cut = threshold(ratios)
+    content = [r >= cut for r in ratios]
+
+    # Elements with a doubtful name stay if their own lines look like content.
+    size, dense = Counter(), Counter()
+    for (node, text, _), r in zip(kept, own, strict=True):
+        size[node.at] += len(text)
+        dense[node.at] += len(text) * (r >= cut)
+    size, dense = sums(nodes, size), sums(nodes, dense)
+    gone = [False] * len(nodes)
+    for node in nodes[1:]:
+        gone[node.at] = gone[node.parent.at] or (node.doubtful and 2 * dense[node.at] < size[node.at])
+
+    # Clusters of neighbouring content blocks, by their text.
+    runs: list[list[int]] = []
+    for i, good in enumerate(content):
+        if good and not gone[kept[i][0].at]:
+            if runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    if not runs:
+        return [text for node, text, _ in kept if not gone[node.at]]
+    mass = [sum(len(kept[i][1]) for i in run) for run in runs]
+    core = [i for run, m in zip(runs, mass, strict=True) if m >= part * max(mass) for i in run]
+    text_in = Counter()
+    for run in runs:
+        for i in run:
+            text_in[kept[i][0].at] += len(kept[i][1])
+    text_in = sums(nodes, text_in)
+    marked = [n for n in nodes if n.name in CONTENT and 2 * text_in[n.at] > sum(mass)]
+    if marked:
+        region = marked[-1]
+    else:
+        count = sums(nodes, Counter(kept[i][0].at for i in core))
+        region = next(n for n in reversed(nodes) if count[n.at] == len(core))
+        while region.name in LINES or region.name in INLINE:
+            region = region.parent
+
+    # Parts of other regions that lie before or behind all content.
+    first, last = runs[0][0], runs[-1][-1]
+    heads = sums(nodes, Counter(node.at for node, _, _ in kept if node.name in HEADINGS))
+    in_region, idle = [False] * len(nodes), [False] * len(nodes)
+    for node in nodes[region.at :]:
+        if node is region:
+            in_region[node.at] = True
+        elif node.parent and in_region[node.parent.at]:
+            in_region[node.at] = True
+            bare = node.name not in LINES and node.name not in INLINE and not text_in[node.at] and not heads[node.at]
+            idle[node.at] = idle[node.parent.at] or (bare and region.name not in CONTENT)
+    return [
+        text
+        for i, (node, text, _) in enumerate(kept)
+        if in_region[node.at] and not gone[node.at] and not (idle[node.at] and not first <= i <= last)
+    ]
+
+
+def main_text(html: str, sigma: float = 1.0, part: float = 0.25) -> str:
+    """The main text of one page, its blocks joined by line breaks.
+
+    Clusters with ``part`` of the largest one's text or more make the region.
+    """
     parser = Blocks()
     parser.feed(html)
-    return "\n".join(content_blocks(parser.done(), sigma, share))
+    return "\n".join(content_blocks(parser.done(), parser.nodes, sigma, part))
 
 
-def extract_main_text(pages: DataFrame, sigma: float = 1.5, share: float = 0.8) -> DataFrame:
+def extract_main_text(pages: DataFrame, sigma: float = 1.0, part: float = 0.25) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, in one pass without a shuffle."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in python_rows(batches):
-            yield arrow_rows([(page_id, url, main_text(html, sigma, share)) for page_id, url, html in rows], TEXTS)
+            yield arrow_rows([(page_id, url, main_text(html, sigma, part)) for page_id, url, html in rows], TEXTS)
 
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     return (

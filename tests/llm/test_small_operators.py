@@ -541,3 +541,58 @@ def test_random_strings_are_dense_and_words_are_not():
     # Many candidates and many known spans are swept once.
     text = 'token="abcdef0123456789" ' * 30_000
     assert not secret_scan.dense_spans(text, secret_scan.pattern_spans(text), secret_scan.VOCABULARY, 2.0)
+
+
+PROSE = [f"Paragraph {i} of the story runs on for quite a while, with many words and no markup inside of it at all." for i in range(6)]
+
+
+def flat_page():
+    """No element or name says what is what; only the ratios do."""
+    menu = "<div>" + " ".join(f"<a href='/{i}'>Go {i}</a>" for i in range(12)) + "</div>"
+    links = "<div><ul>" + "".join(f"<li><a href='/{i}'><b>More</b> {i}</a></li>" for i in range(15)) + "</ul></div>"
+    body = "<h1>Title</h1><p>Lead.</p>" + "".join(f"<p>{p}</p>" for p in PROSE[:3]) + "<p>Short one.</p>" + "".join(f"<p>{p}</p>" for p in PROSE[3:])
+    want = "\n".join(["Title", "Lead.", *PROSE[:3], "Short one.", *PROSE[3:]])
+    return f"<html><body><div>{menu}<div>{body}</div>{links}</div></body></html>", want
+
+
+def test_ratios_choose_the_region_of_a_flat_page(monkeypatch):
+    page, want = flat_page()
+    assert main_text.main_text(page) == want
+    monkeypatch.setattr(main_text, "smoothed", lambda values, sigma: [1.0] * len(values))
+    assert main_text.main_text(page) != want
+
+
+def test_names_inside_an_article_that_only_hold_a_word_of_boilerplate():
+    page = (
+        f"<body><article><h1>Drug</h1><p>{PROSE[0]}</p><section id='side-effects'><h2 id='search-methods'>Effects</h2><p>{PROSE[1]}</p><p id='search-methods'>{PROSE[2]}</p></section>"
+        f"<div class='comment-policy-study'><p>{PROSE[3]}</p></div><div class='promo-teaser'>Buy</div><div class='ad'>{PROSE[4]}</div><div id='comments'><p>{PROSE[5]}</p></div></article></body>"
+    )
+    assert main_text.main_text(page) == "\n".join(["Drug", PROSE[0], "Effects", PROSE[1], PROSE[2], PROSE[3]])
+
+
+def test_marked_inline_elements_end_where_they_end():
+    page = f"<article><p>{PROSE[0]} <span class='ad'>Buy <span>this</span> now</span></p><p>{PROSE[1]}</p></article>"
+    assert main_text.main_text(page) == f"{PROSE[0]}\n{PROSE[1]}"
+
+
+def test_pages_nested_very_deep_take_no_longer():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        text = main_text.main_text("<div>" * n + PROSE[0] + "</p></span>" * n)
+        assert text == PROSE[0]
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(50_000) < 5
+    assert main_text.main_text("".join(f"<div>{PROSE[0]}" for _ in range(20_000))).count("\n") == 19_999
+
+
+def test_pages_of_every_kind(spark):
+    rows = [(1, "u", PAGE, 1, "t"), (1, "u", PAGE, 1, "t"), (None, None, None, None, None), (2, "u", "text " * 100_000, 2, "x"), (3, "v", "<<<>&&#0;&bogus;<p", 3, "y")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string").withColumn("a.b", F.lit(1))
+    got = main_text.extract_main_text(given)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 5
+    assert {len(r["text"]) for r in got.filter("page_id = 2").collect()} == {499_999}
+    assert main_text.extract_main_text(given.limit(0)).count() == 0
