@@ -6,7 +6,9 @@ pivot table holds the distances of each lifted vector to the pivots, ``pivots``
 id. By the triangle inequality no distance is smaller than the largest difference of two table rows, which bounds the
 score from above.
 
-Vectors go to the cell of their nearest pivot, and cells of more than ``block`` vectors to several blocks. A query first
+Vectors go to the cell of their nearest pivot, and cells of more than ``block`` vectors to several blocks, cut by the
+distance to that pivot, so that the blocks of a cell differ in their ranges; where more than ``block`` lie at about one
+distance they are dealt out evenly. A query first
 searches the block it lies in; its k-th score there rules out every block whose ranges of pivot distances can't reach
 it. In a block, candidates lie in groups of neighbours by pivot distance; every query takes the groups in the order of
 their bounds and stops when the next bound is below its k-th score. Nothing is approximate: bounds are widened by more
@@ -129,6 +131,21 @@ def search(q_ids, q, c_ids, c, floor, points, top, k, group=256):
     return best
 
 
+def dealt(table: DataFrame, block: int) -> DataFrame:
+    """``table`` with blk, the block of each row: ranges of the distance to the nearest pivot, the full ones dealt out by turn."""
+    near = F.array_min("table")
+    sizes = table.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each pivot
+    ranges = max((-(-r["n"] // block) for r in sizes), default=1)
+    # Quantiles of each cell, a number for each range; a value that fills several of them stays in one.
+    cuts = table.groupBy("cell").agg(F.percentile_approx(near, [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("cuts"))
+    ranged = table.join(F.broadcast(cuts), "cell").withColumn("slice", F.size(F.filter("cuts", lambda c: c < near)) if ranges > 1 else F.lit(0))
+    full = ranged.groupBy("cell", "slice").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    known = full.select(F.col("cell").alias("of_cell"), F.col("slice").alias("of_slice"), "parts")
+    one = ranged.join(F.broadcast(known), (F.col("cell") == F.col("of_cell")) & (F.col("slice") == F.col("of_slice")))
+    blk = (F.col("cell").cast("long") * (1 << 20) + F.col("slice")) * (1 << 20) + F.pmod(F.hash("vec_id", "turn"), F.col("parts"))
+    return one.select(*table.columns, blk.alias("blk"))
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, pivots: int = 16, block: int = 16000, chunk: int = 2000, part: int = 50_000) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of every vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -150,14 +167,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
                 norms = np.einsum("ij,ij->i", x, x)
                 table = distances(norms, np.sqrt(np.maximum(top * top - norms, 0)), x, points, top)
                 cell = table.argmin(axis=1).astype(np.int32)
+                turn = np.arange(len(cell), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(list(table)), pa.array(cell)], names=["vec_id", "v", "table", "cell"]
+                    [batch.column(0), batch.column(1), pa.array(list(table)), pa.array(cell), pa.array(turn)], names=["vec_id", "v", "table", "cell", "turn"]
                 )
 
-    table = written(held.mapInArrow(tabled, "vec_id long, v array<double>, table array<double>, cell int"), "pivot-table")
-    sizes = {r["cell"]: r["n"] for r in table.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = F.element_at(F.create_map(*(F.lit(int(x)) for c, n in sizes.items() for x in (c, -(-n // block)))), F.col("cell"))
-    placed = table.withColumn("blk", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), parts))
+    table = written(held.mapInArrow(tabled, "vec_id long, v array<double>, table array<double>, cell int, turn int"), "pivot-table")
+    placed = dealt(table, block)
 
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     homes = pa.schema([*found, ("floor", pa.float64()), ("v", pa.list_(pa.float64())), ("blk", pa.int64())])

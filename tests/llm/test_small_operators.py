@@ -250,12 +250,23 @@ def test_top_k_is_exact(spark):
         q = min(v for j, v in whole.values() if j == i)
         scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole.values() if j != i)
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:20])]
+    given = given.withColumns({n: F.lit("clash") for n in ("v", "blk", "cell", "cuts", "slice", "a.b", "score")})
     for block, chunk, part in ((16000, 2000, 50_000), (30, 5, 3)):
         got = topk.top_k(given, block=block, chunk=chunk, part=part).collect()
         assert sorted(map(tuple, got)) == want
     assert topk.top_k(given.limit(0)).count() == 0
 
 
+def test_blocks_of_a_cell_differ_in_distance(spark):
+    rng = random.Random(6)
+    rows = [(i, [0.0], [abs(rng.gauss(3, 1))], 0, i % 7) for i in range(900)] + [(1000, [0.0], [9.0], 0, i % 7) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>, table array<double>, cell int, turn int")
+    got = topk.dealt(table, 100).groupBy("blk").agg(F.count("*").alias("n"), F.min(F.col("table")[0]).alias("low"), F.max(F.col("table")[0]).alias("high")).orderBy("low").collect()
+    assert sum(r["n"] for r in got) == 1200 and max(r["n"] for r in got) < 250
+    apart = [r for r in got if r["low"] < 9]
+    assert len(apart) >= 6 and all(a["high"] <= b["low"] for a, b in zip(apart, apart[1:]))
+
+
 def brute_hits(text, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
