@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_rows, carried, discard, python_rows, restored, text_of, written
+from plumbline.llm.common import arrow_rows, carried, discard, python_rows, release, restored, text_of, written
 from plumbline.llm.graph import components
 
 GROUPS, AGREE = 6, 4
@@ -273,12 +273,17 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turn
 
     Fingerprints within two bits are linked as they are. Beyond, all pairs of sets with a Jaccard similarity of
     ``similarity`` or more are linked: they share a shingle of their prefixes(). Sets of a shingle are first compared
-    with one or two of their shingle only, in some ``turns``; then all pairs whose components still differ are, which
-    changes no component and spares most pairs of large groups. A shingle's pairs are split by their components.
+    with a few of their shingle only, two in each of some ``turns``; then all pairs whose components still differ are,
+    which changes no component and spares most pairs of large groups. A shingle's pairs are split by their components.
     """
-    prints = written(shingled(docs, width), "prints")
+    spark = docs.sparkSession
+    full = written(shingled(docs, width), "shingled")
+    sets = written(full.select("own", "fp", "shingles").dropDuplicates(["own"]), "sets")
+    prints = written(full.select("doc_id", "key", "fp"), "prints")
+    discard(full)
+    del full
+    release(spark)
     held = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    sets = written(prints.select("own", "fp", "shingles").dropDuplicates(["own"]), "sets")
     first = written(prefixes(sets, similarity, common_shingles(sets)), "prefixes")
     often = first.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     # Sets of one band differ by less than a fifth in size.
@@ -286,29 +291,35 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turn
     shared = first.join(often, "token").join(sets.select("own", "fp"), "own").select("token", "own", "n", "at", "fp", band.alias("band"))
     shared = written(shared, "shared")
     discard(first)
+    del first, often
+    release(spark)
     linked = written(links(held, 2), "close")
-    for turn in range(turns + 1):
+    for few in (True, False):
         roots = written(components(linked).distinct(), "roots")
         linked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         placed = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "own", "n", "at", "band", F.coalesce("root", "fp").alias("root"))
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        shared_still = written(placed.join(mixed.select("token"), "token"), "open")
-        if turn < turns:
-            pairs = some_pairs(shared_still, turn)
-        else:
-            pairs = all_pairs(shared_still, similarity)
-        linked = linked.unionByName(similar(written(pairs, "pairs"), sets, similarity))
+        still = written(placed.join(mixed.select("token"), "token"), "open")
+        pairs = written(some_pairs(still, turns) if few else all_pairs(still, similarity), "pairs")
+        linked = written(linked.unionByName(similar(pairs, sets, similarity)), "similar")
+        discard(still)
+        discard(pairs)
+        del placed, mixed, still, pairs
+        release(spark)
+    discard(sets)
+    discard(shared)
     return prints, held, linked
 
 
-def some_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """For every set at most two of its shingles' and band's sets of another component."""
-    pick = F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "root")
-    ends = rows.groupBy("token", "band").agg(F.min(pick).alias("low"), F.max(pick).alias("high"))
+def some_pairs(rows: DataFrame, turns: int) -> DataFrame:
+    """For every set, in each turn, at most two of its shingles' and band's sets of another component."""
+    picks = [F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "root") for turn in range(turns)]
+    ends = rows.groupBy("token", "band").agg(*(f(p).alias(f"{f.__name__}{t}") for t, p in enumerate(picks) for f in (F.min, F.max)))
     both = rows.join(ends, ["token", "band"])
+    chosen = [f"{f.__name__}{t}" for t in range(turns) for f in (F.min, F.max)]
     other = lambda c: F.when(F.col(f"{c}.root") != F.col("root"), F.col(c))
-    best = both.groupBy("own").agg(F.min(other("low")).alias("low"), F.max(other("high")).alias("high"))
-    partner = best.select("own", F.explode(F.array("low.own", "high.own")).alias("other")).filter("other is not null")
+    best = both.groupBy("own").agg(*((F.min if c.startswith("min") else F.max)(other(c)).alias(c) for c in chosen))
+    partner = best.select("own", F.explode(F.array(*(F.col(f"{c}.own") for c in chosen))).alias("other")).filter("other is not null")
     return partner.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
