@@ -20,6 +20,7 @@ documents of their own. A null id is never the smallest id of a component unless
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -268,7 +269,7 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
     return named(prints.select("doc_id", "fp"), held, linked)
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turns: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The shingled() rows, their distinct fingerprints with the least id of each, and links between those.
 
     Fingerprints within two bits are linked as they are. Beyond, all pairs of sets with a Jaccard similarity of
@@ -324,16 +325,33 @@ def some_pairs(rows: DataFrame, turns: int) -> DataFrame:
 
 
 def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of sets of different components that share a shingle, but for those that can't be similar enough."""
-    kinds = rows.select("token", "root").distinct()
-    apart = kinds.withColumnRenamed("root", "a_root").join(kinds.withColumnRenamed("root", "b_root"), "token").filter("a_root < b_root")
-    side = lambda c: rows.select("token", *(F.col(n).alias(f"{c}_{n}") for n in ("root", "own", "n", "at")))
-    both = apart.join(side("a"), ["token", "a_root"]).join(side("b"), ["token", "b_root"])
-    # The first shingle that two sets share has all others behind it in both.
-    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    """All pairs of sets of different components that share a shingle, but for those that can't be similar enough.
+
+    The first shingle that two similar sets share has all others behind it in both, so what is left from there on (rest)
+    must be enough in both. Sets of a shingle, component and band of sizes are first judged together, by their smallest
+    size and largest rest; only where these allow a similar pair they are taken one by one.
+    """
+    share = similarity / (1 + similarity)
+    width = 1.12
+    reach = math.ceil(-math.log(similarity) / math.log(width))
+    held = rows.select("token", "own", "n", "root", (F.col("n") - F.col("at")).alias("rest")).withColumn(
+        "band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(width))).cast("int")
+    )
+    kinds = held.groupBy("token", "band", "root").agg(F.min("n").alias("least"), F.max("rest").alias("rest"))
+    side = lambda df, c: df.select("token", *(F.col(n).alias(f"{c}_{n}") for n in df.columns if n != "token"))
+    enough = lambda a, b, m, n: F.least(a, b) >= share * (F.col(m) + F.col(n)) - 1e-6
+    bands = F.explode(F.sequence(F.col("a_band") - reach, F.col("a_band") + reach)).alias("b_band")
+    apart = (
+        side(kinds, "a")
+        .select("*", bands)
+        .join(side(kinds, "b"), ["token", "b_band"])
+        .filter((F.col("a_root") < F.col("b_root")) & enough("a_rest", "b_rest", "a_least", "b_least"))
+        .select("token", "a_band", "a_root", "b_band", "b_root", F.col("b_least").alias("least"), F.col("b_rest").alias("most"))
+    )
+    one = apart.join(side(held, "a"), ["token", "a_band", "a_root"]).filter(enough("a_rest", "most", "a_n", "least"))
+    both = one.join(side(held, "b"), ["token", "b_band", "b_root"]).filter(enough("a_rest", "b_rest", "a_n", "b_n"))
     sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
-    return both.filter(enough & sizes).select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b")).distinct()
+    return both.filter(sizes).select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
