@@ -97,9 +97,11 @@ class Engine:
             "docs": extract.docs_of(parsed),
             "reference_spans": extract.spans_of(parsed, self.editable or None).drop("module"),
         }
-        self.store.upsert_paths(tables, stale)
-        self.store.replace({"export_table": self.resolved_exports()})
-        self.store.refresh_counters(self.spark.createDataFrame([(r, *files.root_fingerprint(r)) for r in self.roots], "root string, root_fingerprint string, root_marker string"))
+        # Readers see the new rows, exports and counters together.
+        with self.store.transaction():
+            self.store.upsert_paths(tables, stale)
+            self.store.replace({"export_table": self.resolved_exports()})
+            self.store.refresh_counters(self.spark.createDataFrame([(r, *files.root_fingerprint(r)) for r in self.roots], "root string, root_fingerprint string, root_marker string"))
         self.generation += 1
 
     def apply_events(self, events: DataFrame) -> None:

@@ -1,7 +1,8 @@
 """A Bloom filter of a file's identifiers: 65,536 bits, six probes, no false negatives.
 
 Built where a file is parsed. A probe is a literal's six bit positions, so the test is a JVM expression. A filter of
-another length answers "maybe": a store that was cut short must not hide a file.
+another length answers "maybe": a store that was cut short must not hide a file. Filters hold names of ASCII letters
+only; for any other name the answer is always "maybe".
 """
 
 from __future__ import annotations
@@ -47,11 +48,13 @@ def built(names: Iterable[str]) -> bytes:
 
 
 def may_contain(held: bytes, name: str) -> bool:
-    return len(held) != BYTES or all(held[b >> 3] >> (b & 7) & 1 for b in bits(name))
+    return len(held) != BYTES or not name.isascii() or all(held[b >> 3] >> (b & 7) & 1 for b in bits(name))
 
 
 def may_contain_expr(held: Column, name: str) -> Column:
     """The same test inside the JVM."""
+    if not name.isascii():
+        return F.lit(True)
     hit = F.lit(True)
     for b in bits(name):
         byte = F.conv(F.hex(F.substring(held, (b >> 3) + 1, 1)), 16, 10).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text that stands for missing documentation, and limits of what is shown.
-PLACEHOLDERS = ("no documentation available", "undocumented", "todo", "tbd", "n/a")
+PLACEHOLDERS = ("no documentation available",)
 MAX_LINES, MAX_BYTES, MAX_MESSAGE = 24, 2400, 500
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 

@@ -69,38 +69,33 @@ def import_resolution_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.follow_imports(imports, symbols, ["s_k"]).filter("s_k is not null").select("import_id", F.col("s_k").alias("target_id"))
 
 
-EDGES = "SELECT DISTINCT l_partkey % 97 AS importer, l_suppkey % 97 AS source FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 1"
-
-
 @query(
     "star_reexport_fixpoint",
-    f"""
-    WITH RECURSIVE edges AS (SELECT importer, source FROM ({EDGES}) WHERE importer <> source),
-    exports AS (SELECT s_suppkey % 97 AS module, 'x' || (s_suppkey % 7) AS name FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1, 2),
+    """
+    WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey AS importer, l_suppkey AS source FROM lineitem WHERE l_partkey <> l_suppkey),
+    exports AS (SELECT s_suppkey AS module, 'x' || s_nationkey AS name FROM supplier),
     walk AS (SELECT module, name, 0 AS depth FROM exports
       UNION SELECT importer, name, depth + 1 FROM walk JOIN edges ON module = source WHERE depth < 8)
     SELECT DISTINCT module, name FROM walk
     """,
 )
 def star_reexport_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 50 = 1")
-    edges = lines.select((F.col("l_partkey") % 97).alias("importer"), (F.col("l_suppkey") % 97).alias("source")).distinct().filter("importer <> source")
-    key = F.col("s_suppkey")
-    exports = table(spark, sf_dir, "supplier").filter(key % 5 == 0).select(
-        (key % 97).alias("module"), F.concat(F.lit("x"), (key % 7).cast("string")).alias("name")
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lines.select(F.col("l_partkey").alias("importer"), F.col("l_suppkey").alias("source")).distinct().filter("importer <> source")
+    held = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("module"), F.concat(F.lit("x"), F.col("s_nationkey").cast("string")).alias("name"), F.col("s_suppkey").alias("origin")
     )
-    held = exports.distinct().withColumn("origin", F.col("module"))
     return joins.spread_exports(held, edges).select("module", "name")
 
 
-@query("star_edges", "SELECT DISTINCT 'm' || (l_partkey % 50) AS importer, 'pkg' || (l_suppkey % 20) AS source FROM lineitem WHERE l_quantity > 45")
+@query("star_edges", "SELECT DISTINCT 'm' || l_partkey AS importer, 'pkg' || l_suppkey AS source FROM lineitem WHERE l_quantity > 45")
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     name = F.when(F.col("l_quantity") > 45, "*").otherwise("thing")
     return joins.star_edges(
         lines.select(
-            F.concat(F.lit("m"), (F.col("l_partkey") % 50).cast("string")).alias("module"),
-            F.concat(F.lit("pkg"), (F.col("l_suppkey") % 20).cast("string"), F.lit("::"), name).alias("import_from"),
+            F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("module"),
+            F.concat(F.lit("pkg"), F.col("l_suppkey").cast("string"), F.lit("::"), name).alias("import_from"),
         )
     )
 
@@ -156,9 +151,9 @@ def alias_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_diff",
     """
-    WITH cut AS (SELECT DISTINCT user_id, ts, event_type, event_id, event_id < 5000 AS old FROM events),
-    o AS (SELECT user_id, max_by(event_type, event_id) AS f FROM cut WHERE old AND user_id % 7 <> 0 GROUP BY 1),
-    n AS (SELECT user_id, max_by(event_type, event_id) AS f FROM cut WHERE NOT old AND user_id % 5 <> 0 GROUP BY 1)
+    WITH days AS (SELECT user_id, event_type, event_id, ts::DATE AS day, min(ts::DATE) OVER () AS first, max(ts::DATE) OVER () AS last FROM events),
+    o AS (SELECT user_id, max_by(event_type, event_id) AS f FROM days WHERE day = first GROUP BY 1),
+    n AS (SELECT user_id, max_by(event_type, event_id) AS f FROM days WHERE day = last GROUP BY 1)
     SELECT coalesce(o.user_id, n.user_id) AS path, CASE WHEN o.user_id IS NULL THEN 'insert' WHEN n.user_id IS NULL THEN 'delete'
       WHEN o.f = n.f THEN 'unchanged' ELSE 'update' END AS op FROM o FULL JOIN n ON o.user_id = n.user_id
     """,
@@ -168,7 +163,9 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = table(spark, sf_dir, "events")
     state = lambda rows: rows.groupBy(F.col("user_id").alias("path")).agg(F.max_by("event_type", "event_id").alias("fingerprint"))
-    return diff(state(events.filter("event_id < 5000 and user_id % 7 <> 0")), state(events.filter("event_id >= 5000 and user_id % 5 <> 0")))
+    day = F.to_date("ts")
+    ends = events.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+    return diff(state(events.filter(day == F.lit(ends["first"]))), state(events.filter(day == F.lit(ends["last"]))))
 
 
 @query(

@@ -1,8 +1,9 @@
 """A store of tables as versioned Parquet folders with a pointer, and what is done to it.
 
-Parquet has no updates. A write makes a new version of a table beside the old one and then moves the pointer, a small
-file that is replaced as a whole; readers resolve the pointer once, so they see one version throughout. All paths go
-through Hadoop's file systems, so a store can lie wherever Spark can write.
+Parquet has no updates. A change makes new versions of tables beside the old ones and then adds a pointer, a small file
+of the next number that names the version of every table. Readers take the newest; a change that began from an older
+one fails, as its number is taken. Versions stay for a while, so that lazy answers still read. All paths go through
+Hadoop's file systems, so a store can lie wherever Spark can write.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce, wraps
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,40 +44,115 @@ KEYS = {
 PER_PATH = ("files", "symbols", "docs", "reference_spans")
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed the store meanwhile; read again and repeat."""
+
+
+def whole(change: Callable) -> Callable:
+    """What a change reads and writes is one transaction."""
+
+    @wraps(change)
+    def together(self: Store, *args, **kwargs):
+        with self.transaction():
+            return change(self, *args, **kwargs)
+
+    return together
+
+
 class Store:
-    """Tables below one folder."""
+    """Tables below one folder, in versions; a numbered pointer names the version of each."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, keep_seconds: float = 86_400) -> None:
+        self.spark, self.folder, self.keep_seconds = spark, folder.rstrip("/"), keep_seconds
+        self._open: dict[str, str] | None = None
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.folder}/_pointer")
+    def _latest(self) -> int:
+        """The number of the newest pointer; 0 if there is none."""
+        fs, p = self._fs(self.folder)
         if not fs.exists(p):
+            return 0
+        names = (f.getPath().getName() for f in fs.listStatus(p))
+        return max((int(n.removeprefix("_pointer-")) for n in names if n.startswith("_pointer-") and n[9:].isdigit()), default=0)
+
+    def _pointer(self) -> dict[str, str]:
+        if self._open is not None:
+            return dict(self._open)
+        return self._load(self._latest())
+
+    def _load(self, number: int) -> dict[str, str]:
+        if not number:
             return {}
+        fs, p = self._fs(f"{self.folder}/_pointer-{number}")
         stream = fs.open(p)
         try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["tables"]
         finally:
             stream.close()
 
-    def _move(self, names: dict[str, str]) -> None:
-        """Replace the pointer: written beside it, then renamed over it."""
-        fs, new = self._fs(f"{self.folder}/_pointer-{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(names, sort_keys=True).encode()))
-        out.close()
-        _, old = self._fs(f"{self.folder}/_pointer")
-        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri() if old.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        gateway = self.spark.sparkContext._gateway
-        flags = gateway.new_array(options, 1)
-        flags[0] = options.OVERWRITE
-        context.rename(new, old, flags)
+    def _commit(self, base: int, names: dict[str, str]) -> None:
+        """The next pointer after ``base``, if no other writer has made one meanwhile.
 
+        It is written beside and renamed to its number, which fails where the number is taken.
+        """
+        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+        fs, draft = self._fs(f"{self.folder}/_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps({"tables": names}, sort_keys=True).encode()))
+        out.close()
+        _, new = self._fs(f"{self.folder}/_pointer-{base + 1}")
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        flags = self.spark.sparkContext._gateway.new_array(options, 1)
+        flags[0] = options.NONE
+        try:
+            context.rename(draft, new, flags)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"another writer has changed {self.folder} since version {base}") from e
+            raise
+
+    @contextmanager
+    def transaction(self) -> Iterator[Store]:
+        """Several changes that readers see together, or not at all if one of them fails or another writer was faster."""
+        if self._open is not None:
+            yield self
+            return
+        base = self._latest()
+        held = self._load(base)
+        self._open = dict(held)
+        try:
+            try:
+                yield self
+            finally:
+                names, self._open = self._open, None
+            if names != held:
+                self._commit(base, names)
+        except BaseException:
+            for at in set(names.values()) - set(held.values()):
+                fs, p = self._fs(f"{self.folder}/{at}")
+                fs.delete(p, True)
+            raise
+        if names != held:
+            self._retire()
+
+    def _retire(self) -> None:
+        """Delete versions that no pointer younger than ``keep_seconds`` names, and the pointers themselves."""
+        fs, p = self._fs(self.folder)
+        found = sorted((int(f.getPath().getName()[9:]), f.getModificationTime() / 1000) for f in fs.listStatus(p) if f.getPath().getName().startswith("_pointer-"))
+        # A pointer was current until its successor came.
+        until = {n: later for (n, _), (_, later) in zip(found, found[1:], strict=False)}
+        old = [n for n, end in until.items() if end < time.time() - self.keep_seconds]
+        named = {at for n, _ in found if n not in old for at in self._load(n).values()}
+        for n in old:
+            for at in set(self._load(n).values()) - named:
+                fs.delete(self._fs(f"{self.folder}/{at}")[1], True)
+            fs.delete(self._fs(f"{self.folder}/_pointer-{n}")[1], False)
+
+    @whole
     def create(self) -> None:
         """Every table that is missing, empty."""
         held = self._pointer()
@@ -88,21 +166,18 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{at}") if name in SCHEMAS else self.spark.read.parquet(f"{self.folder}/{at}")
 
     def replace(self, tables: dict[str, DataFrame], sort: Sequence[str] = ("name",)) -> None:
-        """New versions of several tables, visible together. Rows are sorted within files, so that statistics prune."""
-        names = self._pointer()
-        old = []
-        for name, df in tables.items():
-            at = f"{name}/{uuid.uuid4().hex}"
-            keys = [c for c in sort if c in df.columns]
-            (df.sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.folder}/{at}")
-            if name in names:
-                old.append(names[name])
-            names[name] = at
-        self._move(names)
-        for at in old:
-            fs, p = self._fs(f"{self.folder}/{at}")
-            fs.delete(p, True)
-
+        """New versions of several tables, visible together. Rows are sorted within files, so that statistics prune.
+
+        Older versions stay for ``keep_seconds``, so that answers that were asked for before still read.
+        """
+        with self.transaction():
+            for name, df in tables.items():
+                at = f"{name}/{uuid.uuid4().hex}"
+                keys = [c for c in sort if c in df.columns]
+                (df.sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.folder}/{at}")
+                self._open[name] = at
+
+    @whole
     def upsert_paths(self, tables: dict[str, DataFrame], paths: DataFrame) -> None:
         """Rows of ``paths`` go from every per-path table, and the given rows come in their place."""
         gone = paths.select("path").distinct()
@@ -112,11 +187,13 @@ class Store:
             new[name] = kept.select(*kept.columns).unionByName(tables[name], allowMissingColumns=True) if name in tables else kept
         self.replace(new)
 
+    @whole
     def delete_roots(self, roots: DataFrame) -> None:
         """Everything at or below the roots goes from the per-path tables."""
         hit = lambda df: df.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("root")).join(roots.select("root"), "root", "left_semi")
         self.replace({name: (t := self.read(name)).join(hit(t).select("path").distinct(), "path", "left_anti") for name in PER_PATH})
 
+    @whole
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Rows replace those of the same key."""
         keys = list(KEYS[name])
@@ -127,6 +204,7 @@ class Store:
         said = F.length(F.trim(F.coalesce("docstring", F.lit("")))) + F.length(F.trim(F.coalesce("summary", F.lit(""))))
         self.upsert("runtime_docs", last_wins(rows.filter((F.length(F.trim("symbol")) > 0) & (said > 0)), ["symbol"], "updated_at"))
 
+    @whole
     def seed_from(self, peer: Store, root: str, filter_bytes: int = 8192) -> bool:
         """One root's rows from another store, if both know it by the same fingerprint and all its filters are whole."""
         mine, theirs = (s.read("index_root_metadata").filter(F.col("root") == root).select("root_fingerprint").first() for s in (self, peer))
@@ -145,11 +223,13 @@ class Store:
         counts = told("file_count", self.read("files")).join(told("symbol_count", self.read("symbols")), "root")
         return counts.join(told("doc_count", docs), "root")
 
+    @whole
     def refresh_counters(self, fingerprints: DataFrame) -> None:
         """Counters and fingerprints (root, root_fingerprint, root_marker) of the given roots anew."""
         counted = self.count_roots(fingerprints).join(fingerprints, "root").withColumn("updated_at", F.lit(int(time.time())))
         self.upsert("index_root_metadata", counted)
 
+    @whole
     def move_counters(self, column: str, deltas: DataFrame) -> None:
         """One counter of every root moved by (root, delta), never below 0."""
         old = self.read("index_root_metadata")

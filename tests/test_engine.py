@@ -168,3 +168,43 @@ def test_seeding_from_a_peer(engine, spark, tree):
     rows = spark.createDataFrame([("s", "n", "m", "k", "d", "sum", None, None, 3), (" ", "n", "m", "k", "d", "sum", None, None, 3), ("t", "n", "m", "k", "d", "", "", None, 3)], other.read("runtime_docs").schema)
     other.write_back_docs(rows)
     assert names(other.read("runtime_docs"), "symbol") == ["s"]
+
+
+def test_answers_from_before_a_change_still_read(spark, tmp_path):
+    from plumbline.sources.store import Conflict, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.create()
+    row = lambda path: spark.createDataFrame([(path, "m", "1", None)], "path string, module string, fingerprint string, identifier_filter binary")
+    store.upsert_paths({"files": row("a")}, row("a"))
+    before = store.read("files")
+    store.upsert_paths({"files": row("b")}, row("b"))
+    assert [r["path"] for r in before.collect()] == ["a"] and store.read("files").count() == 2
+
+    # A change that fails leaves nothing; one that another writer overtakes says so.
+    with pytest.raises(ZeroDivisionError):
+        with store.transaction():
+            store.upsert_paths({"files": row("c")}, row("c"))
+            1 / 0
+    assert store.read("files").count() == 2
+    other = Store(spark, store.folder)
+    with pytest.raises(Conflict):
+        with store.transaction():
+            store.upsert_paths({"files": row("c")}, row("c"))
+            other.upsert_paths({"files": row("d")}, row("d"))
+    assert sorted(r["path"] for r in store.read("files").collect()) == ["a", "b", "d"]
+
+    # Old versions go when their time is over.
+    Store(spark, store.folder, keep_seconds=0).upsert_paths({"files": row("e")}, row("e"))
+    assert sum(1 for p in (tmp_path / "s" / "files").iterdir()) == 1 and store.read("files").count() == 4
+
+
+def test_filters_let_other_letters_through(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import bloom
+
+    held = bloom.built(["plain"])
+    assert bloom.may_contain(held, "été") and bloom.may_contain(held, "plain") and not bloom.may_contain(held, "absent_name")
+    one = spark.range(1).select(F.lit(held).alias("f"))
+    assert one.select(bloom.may_contain_expr(F.col("f"), "été"), bloom.may_contain_expr(F.col("f"), "absent_name")).first()[:] == (True, False)
