@@ -168,13 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, dense: int
     return named(prints, held, links(held, radius, dense))
 
 
-def distinct_shingles(hashes: np.ndarray) -> bytes:
-    return np.unique(hashes.astype(np.uint32)).tobytes()
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, width).astype(np.uint32))
 
 
-def shingle_set(text: str, width: int) -> bytes:
-    """The sorted distinct 32-bit hashes of a text's shingles."""
-    return distinct_shingles(shingle_hashes(text, width))
+def packed_set(held: np.ndarray) -> bytes:
+    """A sorted set by differences, byte plane by byte plane: the high planes are mostly 0 and take no room on disk."""
+    return np.diff(held, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_set(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def text_key() -> Column:
@@ -191,7 +197,7 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
             out = []
             for doc_id, key, text in rows:
                 hashes = shingle_hashes(text, width)
-                fp, held = folded(hashes), distinct_shingles(hashes)
+                fp, held = folded(hashes), packed_set(np.unique(hashes.astype(np.uint32)))
                 out.append((doc_id, key, signed(fp), signed(xxhash.xxh64_intdigest(held, fp)), held))
             yield arrow_rows(out, schema)
 
@@ -208,7 +214,7 @@ def common_shingles(sets: DataFrame, sample: int = 5_000, most: int = 100_000) -
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column(0)]
+            held = [unpacked_set(x.as_py()).view(np.int32) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else [], pa.int32())], names=["token"])
 
     some = sets.filter(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).select("shingles").mapInArrow(tokens, "token int")
@@ -228,7 +234,7 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
         for batch in batches:
             tokens, owns, sizes, places = [], [], [], []
             for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = np.frombuffer(raw.as_py(), dtype=np.uint32)
+                held = unpacked_set(raw.as_py())
                 if not len(held):
                     continue
                 ranks = np.zeros(len(held), dtype=np.int64)
@@ -253,7 +259,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(z.as_py(), dtype=np.uint32) for z in (x, y))
+                u, v = (unpacked_set(z.as_py()) for z in (x, y))
                 both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= similarity * max(len(u), len(v)) else 0
                 keep.append(both >= similarity * max(1, len(u) + len(v) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
