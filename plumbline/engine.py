@@ -250,7 +250,7 @@ class Engine:
             said(self.store.read("docs").filter(F.col("name") == name), "workspace", order[1]),
             said(runtime, "runtime", order[2]),
             said(borrowed, "factory", 3),
-            self.spark.createDataFrame([(name, text.PLACEHOLDERS[0], "placeholder", 9)], "name string, docstring string, origin string, _order int"),
+            self.spark.createDataFrame([(name, "no documentation available", "placeholder", 9)], "name string, docstring string, origin string, _order int"),
         ]
         return rows.best_per_key(reduce(DataFrame.unionByName, parts), ["name"], ["_order", "docstring"]).drop("_order").withColumn("summary", text.summary(F.col("docstring")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text that stands for missing documentation, and limits of what is shown.
-PLACEHOLDERS = ("no documentation available",)
+PLACEHOLDER = "Runtime documentation worker can provide"
 MAX_LINES, MAX_BYTES, MAX_MESSAGE = 24, 2400, 500
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -57,9 +57,8 @@ def kind_of(text: Column, kinds: tuple[str, ...] = ("class", "function", "method
 
 
 def is_specific(doc: Column) -> Column:
-    """Documentation that says something."""
-    bare = F.lower(F.regexp_replace(F.trim(doc), r"[.\s]+$", ""))
-    return F.coalesce((bare != "") & ~bare.isin(*PLACEHOLDERS), F.lit(False))
+    """Documentation that says something: not blank, and without the text that stands for missing documentation."""
+    return F.coalesce(doc.rlike(r"\S") & ~doc.contains(PLACEHOLDER), F.lit(False))
 
 
 def summary(doc: Column) -> Column:

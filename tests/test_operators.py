@@ -59,7 +59,8 @@ def test_text_expressions(spark):
     assert one(text.shortened(F.lit(long))).count("\n") == 24 and one(text.shortened(F.lit("short"))) == "short"
     assert one(text.hover(F.lit("d"), F.lit("m"), F.lit(""))) == "**d**\n_m_"
     assert one(text.redacted(F.lit("at /home/me/x  and /Users/you/y"), "/work")) == "at ~/x and ~/y"
-    assert not one(text.is_specific(F.lit(" TODO. "))) and one(text.is_specific(F.lit("Makes rings.")))
+    assert one(text.is_specific(F.lit("TODO"))) and not one(text.is_specific(F.lit(" \n\t "))) and not one(text.is_specific(F.lit(f"{text.PLACEHOLDER} more.")))
+    assert one(text.is_specific(F.lit("Makes rings.")))
     assert one(text.is_method(F.lit("method"), F.lit("f"), F.lit("f(self, x)"))) and not one(text.is_method(F.lit("method"), F.lit("__f__"), F.lit("__f__(self)")))
     assert one(text.detail_owner(F.lit("Method K.f"))) == "K" and one(text.detail_owner(F.lit("Class K"))) is None and one(text.kind_of(F.lit("Odd"))) == "variable"
     assert one(text.in_subtree(F.lit("a.b"), "a")) and not one(text.in_subtree(F.lit("ab"), "a")) and one(text.between_siblings(F.lit("/r/x"), "/r")) and not one(text.between_siblings(F.lit("/r0"), "/r"))
