@@ -22,42 +22,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' target weights; null and empty texts take nothing."""
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text; null texts have none."""
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup of all documents: lines before and removed, and the digest of what stays; null texts have no lines."""
     return line_digest(_table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labels outside the held-out fold; empty texts score too."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of every twentieth vector, exactly; null and non-finite vectors take no part."""
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and unigram scores of every document; a null text is one end."""
     return language_scores(_table(spark, sf_dir, "documents"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html has none."""
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that repeat an earlier document, over all documents; null and empty texts have none."""
     return repeats_query(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document; null texts have no words."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
