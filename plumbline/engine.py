@@ -58,7 +58,6 @@ class Engine:
         self.store = Store(spark, f"{folder}/{files.namespace('1', roots, excludes, with_cython)}")
         self.generation = 0
         self.timings: dict[str, float] = {}
-        self._texts: DataFrame | None = None
 
     # Build and refresh
 
@@ -296,7 +295,7 @@ class Engine:
 
     def incoming_calls(self, name: str, target: DataFrame) -> DataFrame:
         """Callers of a definition: references that are calls, inside which symbol."""
-        found = self.references(name, target, with_declaration=False).select("path", "start_line", "start_character")
+        found = self.references(name, target, with_declaration=False).select("path", "start_line", "start_character").checkpoint()
         texts = self.texts(self.listing().join(found.select("path").distinct(), "path", "left_semi"))
         calls = extract.calls(texts).join(found, ["path", "start_line", "start_character"], "left_semi")
         return incoming_calls(calls, extract.outline(texts))
@@ -355,6 +354,21 @@ class Engine:
         return {p: parts[p]() for p in wanted}
 
 
+class TextsEngine(Engine):
+    """An index of the texts of a table (path, fingerprint, text), all below one root, instead of files on disk."""
+
+    def __init__(self, spark: SparkSession, folder: str, texts: DataFrame, root: str, editable: Sequence[str] = ()) -> None:
+        super().__init__(spark, folder, [root], editable)
+        self.held = texts.select("path", F.lit(root).alias("root"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), "fingerprint", "text")
+
+    def listing(self) -> DataFrame:
+        return self.held.drop("text")
+
+    def texts(self, listed: DataFrame | None = None) -> DataFrame:
+        held = self.held if listed is None else self.held.join(listed.select("path"), "path", "left_semi")
+        return held.withColumn("module", text.module_of_path(F.col("path"), F.col("root")))
+
+
 def tables_of(engine: Engine) -> dict[str, DataFrame]:
     """All per-path tables, for export or comparison."""
     return {name: engine.store.read(name) for name in PER_PATH}

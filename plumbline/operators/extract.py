@@ -234,3 +234,60 @@ def loads(texts: DataFrame) -> DataFrame:
             yield path, posixpath.normpath(posixpath.join(posixpath.dirname(path), target)), code.line_of(at)
 
     return each_text(texts.select("path", "text"), "path string, target string, load_line int", rows)
+
+
+def _at_places(places: DataFrame, columns: str, told: Callable[[source.Code, int], Iterator[tuple]]) -> DataFrame:
+    """Rows of ``told(code, offset)`` behind the path, for every (path, text, line, column)."""
+
+    def rows(path, text, line, column):
+        code = source.Code(text)
+        for row in told(code, code.offset(line, column)):
+            yield (path, *row)
+
+    return each_text(places.select("path", "text", "line", "column"), f"path string, {columns}", rows)
+
+
+def call_contexts(places: DataFrame) -> DataFrame:
+    """path, callee and index of the argument of the innermost call that is open at each place."""
+    return _at_places(places, "callee string, argument int", lambda code, at: filter(None, [source.call_at(code, at)]))
+
+
+def words(places: DataFrame, dotted: bool = False) -> DataFrame:
+    """path and the word at each place, or the dotted name up to there; none where no word is."""
+    return _at_places(places, "word string", lambda code, at: ((w,) for w in [source.word_at(code, at, dotted)] if w))
+
+
+def highlights(places: DataFrame) -> DataFrame:
+    """All places in code of the word at each place."""
+
+    def told(code: source.Code, at: int) -> Iterator[tuple]:
+        word = source.word_at(code, at)
+        return (_place(code, a, a + len(word)) for a in source.highlights(code, at))
+
+    return _at_places(places, POS, told)
+
+
+def selections(places: DataFrame) -> DataFrame:
+    """path, rank and range: what a selection at each place grows to, the least first."""
+    return _at_places(places, f"rank int, {POS}", lambda code, at: ((n, *_place(code, a, b)) for n, (a, b) in enumerate(source.selections(code, at))))
+
+
+def parameter_spans(signatures: DataFrame) -> DataFrame:
+    """module, name, rank, start and stop (UTF-16) of every parameter of (module, name, signature)."""
+
+    def rows(module, name, signature):
+        for n, (a, b) in enumerate(source.parameter_spans(signature)):
+            yield module, name, n, a, b
+
+    return each_text(signatures.select("module", "name", "signature").filter("signature is not null"), "module string, name string, rank int, start int, stop int", rows)
+
+
+def fixes(texts: DataFrame) -> DataFrame:
+    """path, title, range and replacement of the quick fixes that a text's diagnostics have."""
+
+    def rows(path, text):
+        code = source.Code(text)
+        for title, a, b, new in source.quick_fixes(source.diagnostics(text, path)):
+            yield path, title, *_place(code, a, b), new
+
+    return each_text(texts.select("path", "text"), f"path string, title string, {POS}, replacement string", rows)

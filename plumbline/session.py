@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,15 @@ def reach(spark: SparkSession) -> SparkSession:
     if here not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode without it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        named = context.getCheckpointDir()
+    return f"{named.rstrip('/')}/plumbline"
