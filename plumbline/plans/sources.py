@@ -145,9 +145,16 @@ def code_lines_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.code_share(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("k", "doc_id")
 
 
-@query("source_semantic_spans")
+@query(
+    "source_semantic_spans",
+    f"""
+    WITH {ORDERED} SELECT '/lib/parts/' || b || '.py' AS path, g.label, (4 * i + g.line)::INTEGER AS start_line, g.c::INTEGER AS start_character FROM parts,
+      (VALUES ('keyword', 0, 0), ('function', 0, 4), ('string', 1, 4), ('keyword', 2, 4)) g(label, line, c)
+    UNION ALL SELECT '/lib/parts/' || b || '.py', 'comment', 4 * i + 2, 16 + length(coalesce('part_' || before, 'start')) FROM parts
+    """,
+)
 def source_semantic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.semantic_spans(sources(spark, sf_dir))
+    return extract.semantic_spans(sources(spark, sf_dir)).select("path", "label", "start_line", "start_character")
 
 
 @query(
@@ -159,16 +166,31 @@ def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.diagnostics(texts).select("path", "start_line", "label")
 
 
-@query("source_rewritten")
+@query(
+    "source_rewritten",
+    f"""
+    WITH {ORDERED}, blocks AS (SELECT b, k, 'def part_' || k || '(self, x):' || chr(10) || '    ""\"Makes a ' || n || '.""\"' || chr(10)
+      || '    return ' || coalesce('part_' || before, 'start') || '(x**2)  # part_0 is no call' || chr(10) || chr(10) AS block FROM parts)
+    SELECT '/lib/parts/' || b || '.py' AS path, md5(string_agg(block, '' ORDER BY k)) AS digest, count(*) AS n_edits FROM blocks GROUP BY b
+    """,
+)
 def source_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.rewritten(sources(spark, sf_dir).withColumn("text", F.replace("text", F.lit("(x)"), F.lit("(x^2)"))))
+    """Every call's caret becomes a power; the rest of the text stays as it is."""
+    found = extract.rewritten(sources(spark, sf_dir).withColumn("text", F.replace("text", F.lit("(x)"), F.lit("(x^2)"))))
+    return found.select("path", F.md5("generated").alias("digest"), F.size("edits").cast("long").alias("n_edits"))
 
 
-@query("source_bindings")
+@query(
+    "source_bindings",
+    f"""
+    WITH {ORDERED} SELECT '/lib/parts/' || b || '.py' AS path, 'part_' || k AS name, '' AS scope, 'module' AS scope_kind, (4 * i)::INTEGER AS line, false AS is_parameter FROM parts
+    UNION ALL SELECT '/lib/parts/' || b || '.py', g.name, 'part_' || k, 'function', 4 * i, true FROM parts, (VALUES ('self'), ('x')) g(name)
+    """,
+)
 def source_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.bindings(sources(spark, sf_dir))
 
 
-@query("source_summaries")
+@query("source_summaries", f"WITH {ORDERED} SELECT 'parts.' || b AS module, 'part_' || k AS name, 'function' AS kind FROM parts")
 def source_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.summaries(sources(spark, sf_dir))
+    return extract.summaries(sources(spark, sf_dir)).select("module", F.inline("symbols"))
