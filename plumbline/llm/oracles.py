@@ -65,3 +65,49 @@ DECONTAMINATION = f"""
         sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
+
+
+def _merkle(levels: int = 8, tops: int = 3) -> str:
+    """Runs of 8, unrolled: up to 8 ** levels leaves a language and 8 ** tops languages."""
+    shown = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b:
+        list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    head = " || ".join(shown)
+    text = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({head} || {text.format("text")}) AS leaf, sha256({head} || {text.format("changed")}) AS changed
+            FROM (SELECT *, CASE WHEN {crc} % 3 = 0 THEN {lower} ELSE text END AS changed FROM documents))""",
+        """t0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, leaf AS digest FROM d)""",
+    ]
+
+    def climb(name: str, first: str, steps: int) -> None:
+        below = first
+        for k in range(steps):
+            parts.append(f"{name}r{k} AS (SELECT tree, idx // 8 AS up, n, list(digest ORDER BY idx) AS run FROM {below} GROUP BY tree, idx // 8, n)")
+            parts.append(f"""{name}{k + 1} AS (SELECT tree, up AS idx, (n + 7) // 8 AS n,
+                CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM {name}r{k})""")
+            below = f"{name}{k + 1}"
+
+    def fold(name: str, rows: str, steps: int, out: str) -> None:
+        below = rows
+        for k in range(steps):
+            at = f"((f.at // {8**k}) % 8)"
+            left, right = f"array_to_string(run[1:{at}], '')", f"array_to_string(run[{at} + 2:], '')"
+            parts.append(f"""{out}{k} AS (SELECT f.* EXCLUDE (proof, folded), CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+                CASE WHEN r.n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded
+                FROM {below} f JOIN {name}r{k} r ON r.tree = f.up_tree AND r.up = f.at // {8 ** (k + 1)})""")
+            below = f"{out}{k}"
+
+    climb("t", "t0", levels)
+    parts.append(f"u0 AS (SELECT '' AS tree, tree AS of_tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t{levels})")
+    climb("u", "u0", tops)
+    parts.append("f AS (SELECT doc_id, leaf, tree, tree AS up_tree, idx AS at, '' AS proof, changed AS folded FROM t0)")
+    fold("t", "f", levels, "f")
+    parts.append(f"""g AS (SELECT doc_id, leaf, u0.digest AS subroot, '' AS up_tree, u0.idx AS at, proof, folded FROM f{levels - 1} JOIN u0 ON of_tree = f{levels - 1}.tree)""")
+    fold("u", "g", tops, "g")
+    return f"""WITH {", ".join(parts)}
+    SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM g{tops - 1}, u{tops}"""
+
+
+MERKLE = _merkle()

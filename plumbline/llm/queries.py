@@ -8,6 +8,7 @@ from plumbline.llm import oracles
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.main_text import extract_main_text
 from plumbline.llm.lines import line_digest
+from plumbline.llm.merkle import merkle_manifest
 from plumbline.llm.mixing import mix
 from plumbline.llm.secret_scan import secret_digest
 from plumbline.llm.simhash import near_duplicates
@@ -71,6 +72,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle proof of every document, checked on a copy in which some texts are changed; null ids stay as they are."""
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op3_lines": oracles.LINES,
     "op6_topk": oracles.TOP_K,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op13_merkle": oracles.MERKLE,
 }
