@@ -66,6 +66,22 @@ DECONTAMINATION = f"""
     FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+IMPACTS = f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+    whole AS (SELECT count(*) FILTER (len(w) > 0) AS all_docs, coalesce(sum(len(w)), 0)::BIGINT AS all_terms FROM docs),
+    items AS (SELECT q, item_id, t, count(*) AS repeats FROM
+        (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY q, item_id, t),
+    held AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM docs)
+        WHERE t IN (SELECT t FROM items) GROUP BY r, doc_id, n, t),
+    weights AS (SELECT t, floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM held GROUP BY t), whole),
+    impacts AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_docs) // all_terms))) AS impact FROM held JOIN weights USING (t), whole),
+    scores AS (SELECT q, item_id, r, doc_id, sum(repeats * impact)::BIGINT AS score FROM items JOIN impacts USING (t) GROUP BY q, item_id, r, doc_id)
+    SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 20
+"""
+
 
 def _merkle(levels: int = 8, tops: int = 3) -> str:
     """Runs of 8, unrolled: up to 8 ** levels leaves a language and 8 ** tops languages."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import oracles
 from plumbline.llm.decontamination import contamination
+from plumbline.llm.impacts import ranked_search
 from plumbline.llm.main_text import extract_main_text
 from plumbline.llm.lines import line_digest
 from plumbline.llm.merkle import merkle_manifest
@@ -72,6 +73,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item by the impacts of its terms; null texts have none."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Merkle proof of every document, checked on a copy in which some texts are changed; null ids stay as they are."""
     return merkle_manifest(_table(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
+    "op12_impacts": op12_impacts,
     "op13_merkle": op13_merkle,
 }
 
@@ -96,5 +103,6 @@ ORACLES: dict[str, str] = {
     "op3_lines": oracles.LINES,
     "op6_topk": oracles.TOP_K,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_impacts": oracles.IMPACTS,
     "op13_merkle": oracles.MERKLE,
 }
