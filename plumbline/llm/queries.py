@@ -11,6 +11,7 @@ from plumbline.llm.main_text import extract_main_text
 from plumbline.llm.lines import line_digest
 from plumbline.llm.merkle import merkle_manifest
 from plumbline.llm.mixing import mix
+from plumbline.llm.partitions import nearest
 from plumbline.llm.secret_scan import secret_digest
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.substrings import repeats_query
@@ -73,6 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 nearest candidates of every twentieth vector; null, zero and non-finite vectors take no part."""
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item by the impacts of its terms; null texts have none."""
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
+    "op11_partitions": op11_partitions,
     "op12_impacts": op12_impacts,
     "op13_merkle": op13_merkle,
 }
