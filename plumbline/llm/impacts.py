@@ -317,4 +317,4 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, segment: int =
     if out is not None:
         return out
     names = T.StructType([T.StructField("item_id", kind)])
-    return docs.sparkSession.createDataFrame([], names).selectExpr("item_id", "int(null) rank", "long(null) doc_id", "long(null) score")
+    return docs.sparkSession.createDataFrame([], names).selectExpr("item_id", "cast(null as int) rank", "cast(null as long) doc_id", "cast(null as long) score")
