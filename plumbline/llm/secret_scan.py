@@ -32,17 +32,19 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: The longest run of small letters that counts as a word by itself.
 WORD_LETTERS = 19
-#: A word of up to WORD_LETTERS letters, camel case words, or capitals, with up to four digits behind.
-PART = r"(?:(?:[A-Z]?+[a-z]{2,19}+(?![a-z]))+|[A-Za-z]|[A-Z]{1,15}+)?[0-9]{0,4}"
+#: A word of up to WORD_LETTERS letters, camel case words, one small letter, or capitals, with up to four digits behind. No
+#: text matches in two ways, and a run of separators is taken whole, so a text that fails does so in linear time.
+PART = r"(?:(?:[A-Z]?+[a-z]{2,19}+(?![a-z]))+|[a-z]|[A-Z]{1,15}+)?[0-9]{0,4}"
 #: Known digests, UUIDs, numbers and dates, and identifiers or paths whose parts are words.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
-    rf"|{PART}(?:[/_=+-]+{PART})*)"
+    rf"|{PART}(?:[/_=+-]++{PART})*)"
 )
 SPANS = pa.schema([("doc_id", pa.int64()), ("kinds", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
@@ -86,7 +88,10 @@ def dense_spans(text: str, known: list[tuple[int, int, str]], vocabulary: str, r
             continue
         if not any(c.isalpha() for c in run) or KNOWN.fullmatch(run):
             continue
-        if len(run) < ratio * len(encoder(vocabulary).encode_ordinary(run)):
+        # Rules glued to a key, long runs of few tokens, don't make up for it.
+        core = run.strip("+/_=-")
+        core = core if len(core) >= SHORTEST else run
+        if len(core) < ratio * len(encoder(vocabulary).encode_ordinary(core)):
             found.append((start, end, "dense"))
     return found
 

@@ -562,6 +562,19 @@ def test_random_strings_are_dense_and_words_are_not():
     assert not secret_scan.dense_spans(text, secret_scan.pattern_spans(text), secret_scan.VOCABULARY, 2.0)
 
 
+@pytest.mark.parametrize("separator", "-=_/+")
+def test_runs_of_separators_take_no_time(separator):
+    import time
+
+    key, rule = "xQ9zL2mV7pRt4KwY8", separator * 10_000
+    secret_scan.dense_spans(key, [], secret_scan.VOCABULARY, 2.0)
+    for text in (rule + key, key + rule, (separator * 2).join(["A", "ab", "c1"] * 3000) + separator + key * 3):
+        began = time.perf_counter()
+        found = secret_scan.dense_spans(text, [], secret_scan.VOCABULARY, 2.0)
+        assert time.perf_counter() - began < 0.1
+        assert [(a, b) for a, b, _ in found] == [(0, len(text))] or len(text) > 20_000
+
+
 PROSE = [f"Paragraph {i} of the story runs on for quite a while, with many words and no markup inside of it at all." for i in range(6)]
 
 
@@ -581,6 +594,99 @@ def test_ratios_choose_the_region_of_a_flat_page(monkeypatch):
     assert main_text.main_text(page) != want
 
 
+STREETS = (
+    "the of river stone market council evening report travels carefully between several older houses while nobody noticed change weather garden "
+    "history letters answer people morning village"
+).split()
+
+
+def sentence(rng, low, high):
+    return " ".join(rng.choices(STREETS, k=rng.randint(low, high))).capitalize() + "."
+
+
+def links(rng, n, tag):
+    items = [f"<a href='/{rng.randrange(999)}'>{' '.join(rng.choices(STREETS, k=rng.randint(1, 3)))}</a>" for _ in range(n)]
+    if tag == "p":
+        return f"<p>{' | '.join(items)}</p>"
+    inner = "li" if tag == "ul" else "div"
+    return f"<{tag}>{''.join(f'<{inner}>{x}</{inner}>' for x in items)}</{tag}>"
+
+
+def plain_page(seed):
+    """A page in which no element and no name says what the article is, and the text of its article."""
+    rng = random.Random(seed)
+    want = [" ".join(rng.choices(STREETS, k=rng.randint(3, 7))).capitalize()]
+    body = [f"<h1>{want[0]}</h1>"]
+    for i in range(rng.randint(4, 12)):
+        kind = rng.random()
+        if kind < 0.12:
+            want.append(sentence(rng, 2, 5))
+            body.append(f"<p>{want[-1]}</p>")
+            continue
+        if kind < 0.22 and i:
+            want.append(" ".join(rng.choices(STREETS, k=3)).capitalize())
+            body.append(f"<h2>{want[-1]}</h2>")
+        parts = [sentence(rng, 8, 20) for _ in range(rng.randint(2, 5))]
+        want.append(" ".join(parts))
+        if rng.random() < 0.4:
+            parts[0] = f"<a href='/x'>{parts[0]}</a>" if rng.random() < 0.5 else f"<b>{parts[0]}</b>"
+        tag = "p" if rng.random() < 0.8 else "div"
+        body.append(f"<{tag}>{' '.join(parts)}</{tag}>")
+    menu, more = links(rng, rng.randint(5, 14), rng.choice(["ul", "div", "p"])), links(rng, rng.randint(5, 20), rng.choice(["ul", "div"]))
+    foot = f"<div><div>{rng.choice(['Copyright 2024', 'All rights kept'])}</div>{links(rng, rng.randint(2, 5), 'p')}</div>"
+    main = "".join(body)
+    shapes = [
+        f"<div>{menu}</div><div>{main}</div><div>{more}</div>{foot}",
+        f"<div>{menu}<div>{main}</div>{more}</div>{foot}",
+        f"<table><tr><td>{menu}</td><td>{main}</td><td>{more}</td></tr></table>{foot}",
+        f"<section>{menu}</section><section><div>{main}</div></section><section>{more}</section>{foot}",
+    ]
+    return f"<html><head><title>t</title></head><body>{rng.choice(shapes)}</body></html>", "\n".join(want)
+
+
+def test_pages_without_articles_or_names(monkeypatch):
+    pages = [plain_page(seed) for seed in range(100)]
+    right = [main_text.main_text(page) == want for page, want in pages]
+    assert sum(right) >= 90
+    monkeypatch.setattr(main_text, "smoothed", lambda values, sigma: [1.0] * len(values))
+    assert sum(main_text.main_text(page) == want for page, want in pages) < sum(right) - 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><h1>H</h1><p>{0}</p><p>{1}</p></body></html>",
+        "<html><head><meta charset=u><title>T<body><h1>H</h1><p>{0}<p>{1}",
+        "<html><head><noscript><body><h1>H</h1><p>{0}<p>{1}",
+        "<body><form action=/><div><a href=/>m</a> <a href=/>n</a></div><h1>H</h1><p>{0}</p><p>{1}</p><button>Go</button></form></body>",
+        "<body><form><nav><a>x</a></nav><article><h1>H</h1><p>{0}</p><p>{1}</p></article><footer>f</footer></form>",
+        "<body><aside>ad<article><h1>H</h1><p>{0}</p><p>{1}</p></article></body>",
+        "<body><article><fieldset><h1>H</h1><p>{0}</p><p>{1}</p></fieldset></article></body>",
+        "<body><div class='search wrapper'><h1>H</h1><p>{0}</p><p>{1}</p></div></body>",
+        "<body><h1>H</h1><p>{0}</p><p>{1}</p><div class=comments><p>{2}{3}{4}</p></div></body>",
+        "<body><h1>H</h1><p>{0}</p><p>{1}</p><a hre",
+        "<body><h1>H</h1><p title='a>b' class=\"x'y\">{0}</p><p lang='en>{1}</p>",
+        "<body><h1>H</h1><script>if (a<b) '<!--'</script><p>{0}</p><!-- a > b --><p>{1}</p>",
+    ],
+)
+def test_elements_that_wrap_a_page_or_never_end(page):
+    assert main_text.main_text(page.format(*PROSE)) == "\n".join(["H", *PROSE[:2]])
+
+
+def test_a_comment_that_never_ends_is_text():
+    assert main_text.main_text(f"<p>{PROSE[0]}<!-- and <p>{PROSE[1]}") == f"{PROSE[0]} and\n{PROSE[1]}"
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", '<a x="', '<a ">"', "<a x='>", "</", "<!", "<?", "&", "&#", "<script>", "<!-- -", "<title>", "<![CDATA[", "<!DOCTYPE ", "<b>"])
+@pytest.mark.parametrize("tail", ["", ">", "\"'>"])
+def test_unfinished_markup_takes_linear_time(piece, tail):
+    import time
+
+    began = time.perf_counter()
+    main_text.main_text(piece * 40_000 + tail)
+    assert time.perf_counter() - began < 5
+
+
 def test_names_inside_an_article_that_only_hold_a_word_of_boilerplate():
     page = (
         f"<body><article><h1>Drug</h1><p>{PROSE[0]}</p><section id='side-effects'><h2 id='search-methods'>Effects</h2><p>{PROSE[1]}</p><p id='search-methods'>{PROSE[2]}</p></section>"
