@@ -5,7 +5,7 @@ The same functions serve a batch of events and, through ``foreachBatch``, a stre
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,10 @@ OPS = {"created": "changed", "changed": "changed", "deleted": "deleted"}
 EVENTS = "path string, event string, version long"
 
 
-def change_events(raw: DataFrame) -> DataFrame:
-    """path, op and version of client events; unknown event types are dropped."""
-    op = F.element_at(F.create_map(*(F.lit(x) for kv in OPS.items() for x in kv)), F.lower("event"))
-    return raw.select("path", op.alias("op"), "version").filter("op is not null and path is not null")
+def change_events(raw: DataFrame, keep: Sequence[str] = (), more: Mapping[str, str] | None = None) -> DataFrame:
+    """path, op and version (and the columns ``keep``) of client events; event types unknown here and to ``more`` are dropped."""
+    op = F.element_at(F.create_map(*(F.lit(x) for kv in (OPS | dict(more or {})).items() for x in kv)), F.lower("event"))
+    return raw.select("path", op.alias("op"), "version", *keep).filter("op is not null and path is not null")
 
 
 def latest(events: DataFrame) -> DataFrame:
