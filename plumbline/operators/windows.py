@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cells import CELL_ROWS, across, celled, greedy, joined, numbered, within
 from plumbline.operators.rows import best_per_key
 
 
@@ -18,10 +19,11 @@ def rank_and_pick(rows: DataFrame, keys: Sequence[str], module: str, best: Seque
     return best_per_key(rows, keys, [tier, *best])
 
 
-def last_before(points: DataFrame, bindings: DataFrame, key: str, at: str, payload: Sequence[str], tie: str) -> DataFrame:
+def last_before(points: DataFrame, bindings: DataFrame, key: str, at: str, payload: Sequence[str], tie: str, size: int = CELL_ROWS) -> DataFrame:
     """As-of join: for each point the last binding of its key before it (by ``at``, then ``tie``), null if none.
 
-    Both sides are merged and one window per key carries the last binding forward; no join of ranges.
+    Both sides are merged and cut into cells along (key, at); a window in each cell carries the last binding forward, and
+    cells begin with the last one of the cells before. No join of ranges, and no window over a whole key.
     """
     marked = F.struct(*payload)
     types = {f.name: f.dataType for f in points.schema}
@@ -30,9 +32,15 @@ def last_before(points: DataFrame, bindings: DataFrame, key: str, at: str, paylo
     shared = [F.col(c) if c in (key, at, tie) else F.lit(None).cast(types[c]).alias(c) for c in points.columns]
     right = bindings.select(*shared, F.lit(0).alias("_point"), marked.alias("_seen"))
     # Of rows at the same place the point comes first, so it sees only what lies before it.
-    order = Window.partitionBy(key).orderBy(at, F.desc("_point"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    merged = left.unionByName(right).withColumn("_last", F.last("_seen", ignorenulls=True).over(order))
-    return merged.filter("_point = 1").select(*points.columns, *(F.col(f"_last.{p}").alias(f"last_{p}") for p in payload))
+    order = [F.col(at), F.desc("_point"), F.col(tie)]
+    held = celled(left.unionByName(right), [key], order, size)
+    ends = held.filter("_point = 0").groupBy(key, "_cell").agg(F.max(F.struct(at, tie, "_seen")).alias("_end"))
+    # Every cell of a key, so that one without bindings passes on what came before.
+    known = joined(held.select(key, "_cell").distinct(), ends, [key])
+    before = known.withColumn("_before", F.last("_end", ignorenulls=True).over(across([key]))["_seen"]).drop("_end")
+    here = F.last("_seen", ignorenulls=True).over(within([key], order).rowsBetween(Window.unboundedPreceding, 0))
+    merged = joined(held.withColumn("_last", here).filter("_point = 1"), before, [key]).withColumn("_last", F.coalesce("_last", "_before"))
+    return merged.select(*points.columns, *(F.col(f"_last.{p}").alias(f"last_{p}") for p in payload))
 
 
 def visible_binding(bindings: DataFrame, keys: Sequence[str], line: Column, scope: Column) -> DataFrame:
@@ -47,35 +55,31 @@ def visible_binding(bindings: DataFrame, keys: Sequence[str], line: Column, scop
     return best_per_key(bindings.filter(seen), keys, [-depth, (F.col("is_parameter") == F.lit(False)).cast("int"), line - F.col("line"), "path"])
 
 
-def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Per key, spans in order of start, end and id, each kept if it starts at or after the end of the last kept one.
-
-    A skipped span doesn't move the end, so this is an ordered fold, not a running maximum. The fold runs over one
-    key's spans, which its document bounds.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "span_id")))
-    step = lambda acc, s: F.when(s["start"] >= acc["end"], F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
-    start = spans.schema["start"].dataType.simpleString()
-    span_type = f"array<struct<start:{start},end:{spans.schema['end'].dataType.simpleString()},span_id:{spans.schema['span_id'].dataType.simpleString()}>>"
-    low = F.lit(-(2**62)).cast(spans.schema["end"].dataType)
-    zero = F.struct(low.alias("end"), F.array().cast(span_type).alias("kept"))
-    folded = spans.groupBy(key).agg(ordered.alias("_all")).withColumn("_kept", F.aggregate("_all", zero, step)["kept"])
-    return folded.select(key, F.explode("_kept").alias("_s")).select(key, "_s.*")
+def greedy_spans(spans: DataFrame, key: str, size: int = CELL_ROWS) -> DataFrame:
+    """Per key, spans in order of start, end and id, each kept if it starts at or after the end of the last kept one."""
+    return greedy(spans, key, size).select(key, "start", "end", "span_id")
 
 
-def runs(rows: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
+def runs(rows: DataFrame, keys: Sequence[str], line: str, size: int = CELL_ROWS) -> DataFrame:
     """Runs of consecutive lines per key: first, last and their number."""
-    own = Window.partitionBy(*keys).orderBy(line)
-    island = rows.withColumn("_run", F.col(line) - F.row_number().over(own))
+    island = numbered(rows, keys, [line], "_n", size).withColumn("_run", F.col(line) - F.col("_n"))
     return island.groupBy(*keys, "_run").agg(F.min(line).alias("first_line"), F.max(line).alias("last_line"), F.count("*").alias("n_lines")).drop("_run")
 
 
-def value_runs(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+def value_runs(rows: DataFrame, key: str, order: Sequence[str], value: str, size: int = CELL_ROWS) -> DataFrame:
     """Runs of equal values along an order: run number (from 1), value and length, per key."""
-    own = Window.partitionBy(key).orderBy(*order)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(own)) & (F.row_number().over(own) > 1), 0).otherwise(1)
-    numbered = rows.withColumn("_new", new).withColumn("run_no", F.sum("_new").over(own))
-    return numbered.groupBy(key, "run_no", value).agg(F.count("*").alias("n_rows"))
+    held = celled(rows, [key], order, size)
+    own = within([key], order)
+    fresh = F.when(F.row_number().over(own) == 1, 0).when(F.col(value).eqNullSafe(F.lag(value).over(own)), 0).otherwise(1)
+    marked = held.withColumn("_new", fresh)
+    place = F.struct(*order, F.col(value).alias("_v"))
+    ends = marked.groupBy(key, "_cell").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.sum("_new").alias("_inside"))
+    by_cell = Window.partitionBy(key).orderBy("_cell")
+    opens = F.when(F.lag("_cell").over(by_cell).isNull() | ~F.col("_first._v").eqNullSafe(F.lag("_last._v").over(by_cell)), 1).otherwise(0)
+    opened = ends.withColumn("_opens", opens)
+    before = opened.withColumn("_before", F.coalesce(F.sum(F.col("_inside") + F.col("_opens")).over(across([key])), F.lit(0)) + F.col("_opens")).select(key, "_cell", "_before")
+    told = joined(marked.withColumn("_here", F.sum("_new").over(own)), before, [key]).withColumn("run_no", F.col("_before") + F.col("_here"))
+    return told.groupBy(key, "run_no", value).agg(F.count("*").alias("n_rows"))
 
 
 def running_total(rows: DataFrame, bucket: Column, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
