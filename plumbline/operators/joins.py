@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.rows import ancestors, best_per_key
+from plumbline.session import shared_folder
 
 #: Fixed value: how many imports or re-exports are followed at most.
 DEPTH = 8
+#: Rows of a few short columns that may be sent to all executors.
+SMALL = 200_000
 
 
 def with_docs(symbols: DataFrame, docs: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -30,48 +34,57 @@ def split_import(target: Column) -> tuple[Column, Column]:
     return module, F.coalesce(F.get(parts, F.lit(1)), F.element_at(F.split(module, r"\."), -1))
 
 
+def _next_hops(targets: DataFrame, symbols: DataFrame, best: Sequence[Column | str]) -> DataFrame:
+    """For each distinct import target (_f): the best symbol that it names (_row, null if none), its place and its own target."""
+    target, wanted = split_import(F.col("_f"))
+    tail = lambda module: F.element_at(F.split(module, r"\."), -1)
+    held = symbols.select(
+        F.col("name").alias("s_name"), F.col("module").alias("s_module"), F.col("kind").alias("s_kind"), F.col("import_from").alias("s_import_from"),
+        *(F.col(c).alias(f"s_{c}") for c in symbols.columns if c not in ("name", "module", "kind", "import_from")),
+    )
+    asked = targets.withColumns({"_target": target, "_wanted": wanted}).withColumn("_ask_tail", tail(F.col("_target")))
+    match = (
+        (F.col("_wanted") == F.col("s_name"))
+        & (F.col("_ask_tail") == F.col("_tail"))
+        & ((F.col("s_module") == F.col("_target")) | F.col("s_module").endswith(F.concat(F.lit("."), F.col("_target"))))
+    )
+    found = asked.join(held.withColumn("_tail", tail(F.col("s_module"))), match).withColumn("_far", (F.col("s_module") != F.col("_target")).cast("int"))
+    one = best_per_key(found.drop("_ask_tail", "_tail", "_target", "_wanted"), ["_f"], ["_far", *best])
+    row = F.struct(*held.columns).alias("_row")
+    return one.select("_f", row, F.concat_ws("::", "s_module", "s_name").alias("_here"), F.col("s_import_from").alias("_to"))
+
+
 def follow_imports(imports: DataFrame, symbols: DataFrame, best: Sequence[Column | str], depth: int = DEPTH) -> DataFrame:
     """Where each import ends: the columns of ``imports`` (import_id, import_from) and of the symbol that it names.
 
     An import names a symbol if the names are equal and the symbol's module is the import's, or ends with it behind a
-    dot. The best row is taken; if that is an import itself, its own target is followed, up to ``depth`` times and
-    never to a module and name that was seen before. An import that leads nowhere stays as it is: its last row is
-    returned with ``resolved`` false. Every round joins by name and the last module component, so it is an equi-join.
+    dot. The best row (by ``best``, which may name the symbol's columns) is taken; if that is an import itself, its own
+    target is followed, up to ``depth`` times and never past a module and name that was seen before. An import that leads
+    nowhere stays as it is: its last row is returned with ``resolved`` false.
+
+    What a target names does not depend on who asks. So each distinct target meets the symbols once, by an equi-join on
+    name and last module component, and paths over targets are doubled, in as many rounds as the logarithm of ``depth``.
     """
-    target, wanted = split_import(F.col("import_from"))
-    tail = lambda module: F.element_at(F.split(module, r"\."), -1)
-    held = symbols.select(
-        F.col("name").alias("s_name"), F.col("module").alias("s_module"), F.col("kind").alias("s_kind"), F.col("import_from").alias("s_import_from"),
-        *(F.col(c).alias(f"s_{c}") for c in symbols.columns if c not in ("name", "module", "kind", "import_from")),
-    ).withColumn("_tail", tail(F.col("s_module")))
-    open_ = imports.withColumns({"_target": target, "_wanted": wanted, "_seen": F.array().cast("array<string>")})
-    done = None
-    for step in range(depth):
-        asked = open_.withColumn("_ask_tail", tail(F.col("_target")))
-        match = (
-            (F.col("_wanted") == F.col("s_name"))
-            & (F.col("_ask_tail") == F.col("_tail"))
-            & ((F.col("s_module") == F.col("_target")) | F.col("s_module").endswith(F.concat(F.lit("."), F.col("_target"))))
-        )
-        found = asked.join(held, match, "left").drop("_ask_tail", "_tail")
-        exact = (F.col("s_module") != F.col("_target")).cast("int")
-        keys = list(imports.columns)
-        ranked = best_per_key(found, keys, [F.col("s_name").isNull(), exact, *best]).checkpoint()
-        here = F.concat_ws("::", "s_module", "s_name")
-        more = F.col("s_import_from").isNotNull() & ~F.array_contains("_seen", here)
-        if step == depth - 1:
-            more = F.lit(False)
-        ended = ranked.filter(~F.coalesce(more, F.lit(False))).withColumn("resolved", F.col("s_name").isNotNull() & F.col("s_import_from").isNull())
-        ended = ended.drop("_target", "_wanted", "_seen")
-        done = ended if done is None else done.unionByName(ended)
-        if step == depth - 1:
-            break
-        target, wanted = split_import(F.col("s_import_from"))
-        again = ranked.filter(more).withColumns({"_seen": F.concat("_seen", F.array(here)), "_target": target, "_wanted": wanted})
-        open_ = again.select(*keys, "_target", "_wanted", "_seen")
-        if open_.isEmpty():
-            break
-    return done
+    shared_folder(imports.sparkSession)
+    targets = imports.select(F.col("import_from").alias("_f")).unionByName(symbols.select(F.col("import_from").alias("_f"))).filter("_f is not null").distinct()
+    hops = _next_hops(targets, symbols, best).checkpoint()
+    # _path: the targets followed and the symbols found; _to: the target to follow next, null where the path ends.
+    paths = hops.select("_f", F.array(F.struct("_f", "_here")).alias("_path"), "_to")
+    length = 1
+    while length < depth:
+        rest = paths.select(F.col("_f").alias("_to"), F.col("_path").alias("_more"), F.col("_to").alias("_next"))
+        longer = paths.join(rest, "_to", "left")
+        paths = longer.select("_f", F.when(F.col("_more").isNull(), F.col("_path")).otherwise(F.concat("_path", "_more")).alias("_path"), F.col("_next").alias("_to"))
+        length *= 2
+    # The first symbol that was seen before, else the last one.
+    again = F.filter("_path", lambda x, i: F.exists(F.slice(F.col("_path"), F.lit(1), i), lambda y: y["_here"] == x["_here"]))
+    within = paths.withColumn("_path", F.slice("_path", 1, depth))
+    stop = F.coalesce(F.get(again, F.lit(0))["_f"], F.element_at("_path", -1)["_f"])
+    ends = within.select(F.col("_f").alias("_asked"), stop.alias("_stop"))
+    rows = ends.join(hops.select(F.col("_f").alias("_stop"), "_row"), "_stop").select("_asked", "_row")
+    out = imports.join(rows, F.col("import_from") == F.col("_asked"), "left")
+    shown = out.select(*imports.columns, "_row.*")
+    return shown.withColumn("resolved", F.col("s_name").isNotNull() & F.col("s_import_from").isNull())
 
 
 def star_edges(imports: DataFrame) -> DataFrame:
@@ -83,18 +96,31 @@ def star_edges(imports: DataFrame) -> DataFrame:
 def spread_exports(exports: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """exports (module, name, origin) after ``depth`` rounds of re-export along ``edges`` (importer, source).
 
-    A round adds what the sources export and the importer lacks, the least origin first. Only the rows that the last
-    round added are joined again; rounds end when none are new. Each round is written to the checkpoint folder.
+    A round adds what the sources export and the importer lacks, the least origin first. Rounds go only along edges
+    between modules that others import from; they join what the last round added, append it, and end when nothing is
+    new, so a row is written once. All other importers take what they get in one join at the end, from the round that
+    had it first.
     """
-    held = exports.select("module", "name", "origin").checkpoint()
-    fresh = held
-    for _ in range(depth):
-        moved = fresh.join(edges, fresh["module"] == edges["source"]).select(F.col("importer").alias("module"), "name", "origin")
-        new = moved.groupBy("module", "name").agg(F.min("origin").alias("origin")).join(held, ["module", "name"], "left_anti").checkpoint()
-        if new.isEmpty():
+    shared_folder(exports.sparkSession)
+    held = exports.select("module", "name", "origin", F.lit(0).alias("_round")).checkpoint()
+    sources = edges.select(F.col("source").alias("importer")).distinct()
+    inner = edges.join(sources, "importer", "left_semi").select("importer", "source").checkpoint()
+    outer = edges.join(sources, "importer", "left_anti").select("importer", "source")
+    parts, fresh = [held], held
+    for n in range(1, depth + 1):
+        moved = fresh.join(inner, fresh["module"] == inner["source"]).select(F.col("importer").alias("module"), "name", "origin")
+        lacking = moved.groupBy("module", "name").agg(F.min("origin").alias("origin")).join(reduce(DataFrame.unionByName, parts), ["module", "name"], "left_anti")
+        fresh = lacking.withColumn("_round", F.lit(n)).checkpoint()
+        if fresh.isEmpty():
             break
-        held, fresh = held.unionByName(new).checkpoint(), new
-    return held
+        parts.append(fresh)
+    spread = reduce(DataFrame.unionByName, parts)
+    if spread.limit(SMALL + 1).count() <= SMALL:
+        # Sent to edges that already lie with their importer, the rows need not move again to be merged.
+        spread, outer = F.broadcast(spread), outer.repartition("importer")
+    taken = spread.filter(F.col("_round") < depth).join(outer, F.col("module") == F.col("source")).select(F.col("importer").alias("module"), "name", "_round", "origin")
+    best = taken.groupBy("module", "name").agg(F.min(F.struct("_round", "origin")).alias("_best")).select("module", "name", F.col("_best.origin").alias("origin"))
+    return spread.drop("_round").unionByName(best.join(held, ["module", "name"], "left_anti"))
 
 
 def fill_absent(rows: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -143,3 +143,66 @@ def test_catalogue_and_reliable_bindings(spark):
     assert [r["name"] for r in joins.reliable(bindings, spark.createDataFrame([("Point",)], "name string")).collect()] == ["p"]
     modules = spark.createDataFrame([("m", "a", "m.py"), ("m", "a", "m.pyx")], "module string, name string, path string")
     assert rows.merge_modules(modules, ("pyx", "py")).first()["path"] == "m.pyx"
+
+
+def test_imports_end_at_definitions_and_at_the_first_repeat(spark):
+    """Chains of every length up to beyond the limit, cycles with a way in, and targets that name nothing."""
+    from plumbline.operators import joins
+
+    schema = "name string, module string, kind string, import_from string, path string"
+    rows = [(f"n{i}", "p.m", "import", f"m::n{i + 1}", f"/{i}") for i in range(12)] + [("n12", "p.m", "class", None, "/12")]
+    rows += [("a", "p.m", "import", "m::b", "/a"), ("b", "p.m", "import", "m::c", "/b"), ("c", "p.m", "import", "m::b", "/c"), ("lost", "p.m", "import", "m::nowhere", "/l")]
+    rows += [("c", "q.m", "class", None, "/z"), ("a", "q.m", "import", "p.m::n12", "/y")]
+    symbols = spark.createDataFrame(rows, schema)
+    held = {}
+    for r in rows:
+        held.setdefault(r[0], []).append(r)
+
+    def slowly(target):
+        seen, last = [], None
+        for _ in range(8):
+            module, name = target.split("::")
+            fits = [r for r in held.get(name, []) if r[1] == module or r[1].endswith("." + module)]
+            if not fits:
+                return last
+            last = min(fits, key=lambda r: (r[1] != module, r[4]))
+            here = f"{last[1]}::{last[0]}"
+            if last[3] is None or here in seen:
+                return last
+            seen.append(here)
+            target = last[3]
+        return last
+
+    asked = [(i, f"m::{n}") for i, n in enumerate(["n0", "n3", "n5", "n9", "n12", "a", "b", "c", "lost", "nowhere"])] + [(98, "q.m::a"), (99, None)]
+    got = joins.follow_imports(spark.createDataFrame(asked, "import_id int, import_from string"), symbols, ["s_path"]).collect()
+    for r in got:
+        want = slowly(r["import_from"]) if r["import_from"] else None
+        assert r["s_path"] == (want[4] if want else None), r
+        assert r["resolved"] == (want is not None and want[3] is None)
+    assert len(got) == len(asked)
+
+
+def test_exports_spread_in_rounds(spark):
+    import random
+
+    from plumbline.operators import joins
+
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(60), rng.randrange(40)) for _ in range(90)} | {(100 + i, 101 + i) for i in range(12)})
+    exports = sorted({(rng.randrange(40), f"x{rng.randrange(6)}", rng.randrange(1000)) for _ in range(25)} | {(112, "far", 5)})
+    held = {(m, n): o for m, n, o in exports}
+    first = {}
+    for m, n, o in exports:
+        first.setdefault((m, n), []).append(o)
+    fresh = {k: min(v) for k, v in first.items()}
+    for _ in range(8):
+        new = {}
+        for a, b in edges:
+            for (m, n), o in fresh.items():
+                if m == b and (a, n) not in held:
+                    new[(a, n)] = min(o, new.get((a, n), 10**9))
+        held |= new
+        fresh = new
+    got = joins.spread_exports(spark.createDataFrame(exports, "module int, name string, origin int"), spark.createDataFrame(edges, "importer int, source int")).collect()
+    assert {(r["module"], r["name"]) for r in got} == set(held) and (103, "far") not in held and (104, "far") in held
+    assert {(r["module"], r["name"], r["origin"]) for r in got} == {(m, n, o) for (m, n), o in held.items() if (m, n) not in first} | set(exports)
