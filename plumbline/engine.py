@@ -6,6 +6,7 @@ answer's unused parts cost nothing). ``Engine.query`` is the command surface: a
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Sequence
 from functools import reduce
@@ -64,6 +65,10 @@ class Engine:
     def listing(self) -> DataFrame:
         return files.listing(self.spark, self.roots, self.excludes, self.with_cython)
 
+    def listed(self, paths: DataFrame) -> DataFrame:
+        """The listing of some paths alone, as far as they are files of the engine; executors look at them."""
+        return files.listed(paths, self.roots, self.excludes, self.with_cython)
+
     def texts(self, listed: DataFrame | None = None) -> DataFrame:
         """path, module, fingerprint and text of files, read when they are needed."""
         held = files.read_texts(self.listing() if listed is None else listed)
@@ -87,8 +92,10 @@ class Engine:
         return counts
 
     def _refresh(self, listed: DataFrame, stale: DataFrame) -> None:
+        """Parse ``listed`` and put the rows in the place of those of the ``stale`` paths; what other paths have is not touched."""
         parsed = extract.parsed(self.texts(listed)).checkpoint()
-        if parsed.isEmpty() and self.store.read("files").join(stale, "path", "left_semi").isEmpty():
+        before = {name: self.store.read(name, self.store.touched(name, stale)).join(stale.distinct(), "path", "left_semi") for name in ("files", "symbols", "docs")}
+        if parsed.isEmpty() and before["files"].isEmpty():
             return  # only files that can't be read, which the store doesn't have
         tables = {
             "files": extract.files_of(parsed),
@@ -96,19 +103,44 @@ class Engine:
             "docs": extract.docs_of(parsed),
             "reference_spans": extract.spans_of(parsed, self.editable or None).drop("module"),
         }
+        marks = self.root_marks()
         # Readers see the new rows, exports and counters together.
         with self.store.transaction():
+            known = self.store.read("index_root_metadata").select("root")
+            unknown = marks.join(known, "root", "left_anti")
+            counted = unknown.isEmpty()
+            moved = self._moved_counts(before, tables).checkpoint() if counted else None
+            same = all(_same(before[name], tables[name]) for name in ("symbols", "docs"))
             self.store.upsert_paths(tables, stale)
-            self.store.replace({"export_table": self.resolved_exports()})
-            self.store.refresh_counters(self.spark.createDataFrame([(r, *files.root_fingerprint(r)) for r in self.roots], "root string, root_fingerprint string, root_marker string"))
+            if not same:
+                self.store.replace({"export_table": self.resolved_exports()})
+            if counted:
+                self.store.move_all_counters(moved)
+                self.store.mark_roots(marks)
+            else:
+                self.store.refresh_counters(marks)
         self.generation += 1
 
+    def root_marks(self) -> DataFrame:
+        """root, root_fingerprint and root_marker of the engine's roots."""
+        return files.root_marks(self.spark, self.roots)
+
+    def _moved_counts(self, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+        """By how much the rows of some paths move the counters of every root."""
+        roots = self.spark.createDataFrame([(r,) for r in self.roots], "root string")
+        out = roots
+        for counter, name, said in (("file_count", "files", "true"), ("symbol_count", "symbols", "true"), ("doc_count", "docs", "detail <> 'module' and length(trim(docstring)) > 0")):
+            new, old = (rows.count_by_root(held[name].filter(said), roots) for held in (after, before))
+            delta = new.join(old.withColumnRenamed("n", "_old"), "root").select("root", (F.col("n") - F.col("_old")).alias(counter))
+            out = out.join(delta, "root")
+        return out
+
     def apply_events(self, events: DataFrame) -> None:
         """Changed paths are parsed again and deleted ones go; what is unchanged by fingerprint stays."""
         self.store.create()
         newest = changes.latest(changes.change_events(events))
         stale = newest.select("path").distinct()
-        self._refresh(self.listing().join(newest.filter("op = 'changed'").select("path"), "path", "left_semi"), stale)
+        self._refresh(self.listed(newest.filter("op = 'changed'")), stale)
 
     def watch(self, stream: DataFrame, checkpoint: str):
         """Refresh from a stream of (path, event, version)."""
@@ -354,16 +386,37 @@ class Engine:
         return {p: parts[p]() for p in wanted}
 
 
+def _same(old: DataFrame, new: DataFrame) -> bool:
+    """Whether both hold the same rows, as often."""
+    held = new.select(*old.columns)
+    return old.exceptAll(held).isEmpty() and held.exceptAll(old).isEmpty()
+
+
 class TextsEngine(Engine):
-    """An index of the texts of a table (path, fingerprint, text), all below one root, instead of files on disk."""
+    """An index of the texts of a table (path, fingerprint, text), all below one root, instead of files on disk.
+
+    The root is a name: nothing of it is looked up on any machine, and its fingerprint is that of its texts.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, texts: DataFrame, root: str, editable: Sequence[str] = ()) -> None:
-        super().__init__(spark, folder, [root], editable)
+        self.spark, self.roots, self.editable, self.excludes, self.with_cython = spark, [root], list(editable), [], True
+        self.store = Store(spark, f"{folder}/texts-{hashlib.sha256(root.encode()).hexdigest()[:24]}")
+        self.generation = 0
+        self.timings = {}
         self.held = texts.select("path", F.lit(root).alias("root"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime_ns"), "fingerprint", "text")
 
     def listing(self) -> DataFrame:
         return self.held.drop("text")
 
+    def listed(self, paths: DataFrame) -> DataFrame:
+        return self.listing().join(paths.select("path").distinct(), "path", "left_semi")
+
+    def root_marks(self) -> DataFrame:
+        """The number of texts and the sum of their digests, modulo 2^64, whatever their order."""
+        digest = F.conv(F.substring(F.md5(F.concat_ws("\n", "path", "fingerprint")), 1, 15), 16, 10).cast("decimal(20,0)")
+        print_ = F.substring(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string")), 256), 1, 16)
+        return self.held.agg(print_.alias("root_fingerprint")).select(F.lit(self.roots[0]).alias("root"), "root_fingerprint", F.lit("").alias("root_marker"))
+
     def texts(self, listed: DataFrame | None = None) -> DataFrame:
         held = self.held if listed is None else self.held.join(listed.select("path"), "path", "left_semi")
         return held.withColumn("module", text.module_of_path(F.col("path"), F.col("root")))

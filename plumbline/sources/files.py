@@ -1,18 +1,21 @@
 """Source trees as tables: listing, reading, names, fingerprints.
 
-Listing is metadata only and runs on the driver, like Spark's own file index, which can't be used here because it hides
-names that begin with _ or a dot. Contents are read on the executors, a partition of paths at a time, so the folder must
-be reachable from them; bytes that aren't UTF-8 drop the file instead of being replaced.
+Spark's own file index can't be used here because it hides names that begin with _ or a dot. Folders are a frontier, a
+table that executors list level by level with the ignore rules that apply to each folder, so the driver touches no file.
+Contents are read on the executors too, a partition of paths at a time, so the folders must be reachable from them; bytes
+that aren't UTF-8 drop the file instead of being replaced.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import os
 import re
 import subprocess
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import fingerprint
 from plumbline.operators.rows import best_per_key
 from plumbline.operators.search import order_of
+from plumbline.session import shared_folder
 
 #: Extensions in the order in which a module is looked up, and files that mark a root.
 PLAIN, CYTHON = ("py", "sage"), ("pyx", "pxd", "pxi", "spyx")
@@ -49,12 +53,12 @@ def narrowed(root: str, package: str | None) -> str:
 class Ignored:
     """The patterns of the .gitignore files on the way to a folder; the last that matches decides."""
 
-    def __init__(self, base: str, rules: tuple = ()) -> None:
-        self.rules = rules
+    def __init__(self, base: str, rules: Sequence = ()) -> None:
+        self.rules = tuple(map(tuple, rules))
         listed = os.path.join(base, ".gitignore")
         if os.path.isfile(listed):
             with open(listed, encoding="utf-8", errors="replace") as lines:
-                self.rules = (*rules, *((base, line.strip()) for line in lines if line.strip() and not line.startswith("#")))
+                self.rules = (*self.rules, *((base, line.strip()) for line in lines if line.strip() and not line.startswith("#")))
 
     def hides(self, path: str, is_dir: bool) -> bool:
         hidden = False
@@ -70,51 +74,139 @@ class Ignored:
         return hidden
 
 
-def walk(root: str, excludes: Sequence[str] = (), with_cython: bool = False) -> Iterator[tuple[str, int, int]]:
-    """(path, size, mtime_ns) of the indexable files below a root, hidden ones too, ignored ones not."""
+def entries(folder: str, rules: Sequence, excludes: Sequence[str], with_cython: bool) -> Iterator[tuple[str, bool, int, int, tuple]]:
+    """(path, is folder, size, mtime_ns, rules) of what a folder holds that may be indexed; nothing if it can't be read."""
     parts = [e.strip("*").strip("/") for e in excludes]
     allowed = PLAIN + (CYTHON if with_cython else ())
-
-    def visit(folder: str, ignored: Ignored) -> Iterator[tuple[str, int, int]]:
-        ignored = Ignored(folder, ignored.rules)
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+    try:
+        ignored = Ignored(folder, rules)
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return
+    for entry in found:
+        try:
             is_dir = entry.is_dir(follow_symlinks=False)
             if entry.name == ".git" or ignored.hides(entry.path, is_dir) or any(p and p in entry.path for p in parts):
                 continue
             if is_dir:
-                yield from visit(entry.path, ignored)
+                yield entry.path, True, 0, 0, ignored.rules
             elif entry.is_file() and entry.name.rpartition(".")[2] in allowed and "." in entry.name:
                 told = entry.stat()
-                yield entry.path, told.st_size, told.st_mtime_ns
+                yield entry.path, False, told.st_size, told.st_mtime_ns, ()
+        except OSError:
+            continue  # gone meanwhile
+
+
+def walk(root: str, excludes: Sequence[str] = (), with_cython: bool = False) -> Iterator[tuple[str, int, int]]:
+    """(path, size, mtime_ns) of the indexable files below a root, hidden ones too, ignored ones not, by one process."""
+    todo: list[tuple[str, tuple]] = [(root, ())]
+    while todo:
+        for path, is_dir, size, mtime, rules in entries(*todo.pop(), excludes, with_cython):
+            if is_dir:
+                todo.append((path, rules))
+            else:
+                yield path, size, mtime
 
-    if os.path.isdir(root):
-        yield from visit(root, Ignored(root))
+
+FOUND = "path string, root string, turn int, is_dir boolean, size long, mtime_ns long, rules string"
 
 
 def listing(spark: SparkSession, roots: Sequence[str], excludes: Sequence[str] = (), with_cython: bool = False, package: str | None = None) -> DataFrame:
-    """One row per file, under the first root that holds it, with its fingerprint."""
-    seen: dict[str, tuple] = {}
-    for root in roots:
-        for path, size, mtime in walk(narrowed(root, package), excludes, with_cython):
-            seen.setdefault(path, (path, root, size, mtime))
-    rows = spark.createDataFrame([seen[p] for p in sorted(seen)], LISTING)
-    return rows.withColumn("fingerprint", fingerprint(F.col("size"), F.col("mtime_ns")))
+    """One row per file, under the first root that holds it, with its fingerprint.
+
+    Each round lists the folders that the last one found, spread over the executors; what they hold goes to the
+    checkpoint folder. There are as many rounds as the tree is deep.
+    """
+    shared_folder(spark)
+    tops = spark.createDataFrame([(r, r, n, True, 0, 0, None) for n, r in enumerate(roots)], FOUND)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            out = []
+            for row in batch.to_pylist():
+                folder = narrowed(row["path"], package) if row["rules"] is None else row["path"]
+                for path, is_dir, size, mtime, rules in entries(folder, json.loads(row["rules"] or "[]"), excludes, with_cython):
+                    out.append({"path": path, "root": row["root"], "turn": row["turn"], "is_dir": is_dir, "size": size, "mtime_ns": mtime, "rules": json.dumps(rules) if is_dir else ""})
+                    if len(out) == 10_000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    levels, folders = [], tops
+    while True:
+        found = folders.mapInArrow(scan, FOUND).checkpoint()
+        levels.append(found.filter("not is_dir"))
+        folders = found.filter("is_dir")
+        n = folders.count()
+        if not n:
+            break
+        # A few folders for each task, wherever they were found.
+        folders = folders.repartition(max(1, min(-(-n // 16), 10_000)))
+    files = best_per_key(reduce(DataFrame.unionByName, levels), ["path"], ["turn"]).select("path", "root", "size", "mtime_ns")
+    return files.withColumn("fingerprint", fingerprint(F.col("size"), F.col("mtime_ns")))
+
+
+def listed(paths: DataFrame, roots: Sequence[str], excludes: Sequence[str] = (), with_cython: bool = False) -> DataFrame:
+    """The rows that ``listing`` would have for some paths: only the folders on their way are looked at."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, tuple], dict] = {}
+
+        def inside(folder: str, rules: tuple) -> dict:
+            if (folder, rules) not in held:
+                held[folder, rules] = {e[0]: e for e in entries(folder, rules, excludes, with_cython)}
+            return held[folder, rules]
 
-def read_texts(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``files`` with their text; files that are gone, unreadable or not UTF-8 are dropped."""
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                for root in roots:
+                    if path.startswith(root.rstrip("/") + "/"):
+                        at, rules, told = root.rstrip("/"), (), None
+                        for part in path[len(at) + 1 :].split("/"):
+                            told = inside(at, rules).get(f"{at}/{part}")
+                            if told is None:
+                                break
+                            at, rules = told[0], told[4]
+                        if told and not told[1]:
+                            out.append((path, root, told[2], told[3]))
+                        break
+            columns = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["path", "root", "size", "mtime_ns"])
+
+    found = paths.select("path").distinct().mapInArrow(look, LISTING)
+    return found.withColumn("fingerprint", fingerprint(F.col("size"), F.col("mtime_ns")))
+
+
+def read_texts(files: DataFrame, partitions: int | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``files`` with their text, some megabytes at a time; files that are gone, unreadable or not UTF-8 are dropped."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", text string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("path")
-            for n in range(batch.num_rows):
+
+            def done(rows: list[int], texts: list[str]) -> pa.RecordBatch:
+                kept = batch.take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+            rows: list[int] = []
+            texts: list[str] = []
+            load = 0
+            for n, path in enumerate(batch.column(at).to_pylist()):
                 try:
-                    text = Path(batch.column(at)[n].as_py()).read_bytes().decode("utf-8")
+                    held = Path(path).read_bytes()
+                    texts.append(held.decode("utf-8"))
                 except (OSError, UnicodeDecodeError):
                     continue
-                row = batch.slice(n, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text])], names=[*row.schema.names, "text"])
+                rows.append(n)
+                load += len(held)
+                if load >= batch_bytes:
+                    yield done(rows, texts)
+                    rows, texts, load = [], [], 0
+            yield done(rows, texts)
 
     spread = files.repartition(partitions) if partitions else files
     return spread.mapInArrow(read, ddl)
@@ -161,6 +253,19 @@ def root_fingerprint(root: str) -> tuple[str, str]:
     return digest.hexdigest()[:16], marker
 
 
+def root_marks(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """root, root_fingerprint and root_marker; executors look at the roots."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [root_fingerprint(r) for r in batch.column(0).to_pylist()]
+            columns = [batch.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "root_fingerprint", "root_marker"])
+
+    held = spark.createDataFrame([(r,) for r in roots], "root string")
+    return held.mapInArrow(look, "root string, root_fingerprint string, root_marker string")
+
+
 def namespace(version: str, roots: Sequence[str], excludes: Sequence[str], with_cython: bool) -> str:
     """The directory name of a store: it changes with the format, the roots, the excludes and the flag."""
     told = "\x00".join([version, *normalized(roots), "--", *sorted(excludes), str(int(with_cython))])

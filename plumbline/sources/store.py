@@ -1,9 +1,10 @@
 """A store of tables as versioned Parquet folders with a pointer, and what is done to it.
 
-Parquet has no updates. A change makes new versions of tables beside the old ones and then adds a pointer, a small file
-of the next number that names the version of every table. Readers take the newest; a change that began from an older
-one fails, as its number is taken. Versions stay for a while, so that lazy answers still read. All paths go through
-Hadoop's file systems, so a store can lie wherever Spark can write.
+Parquet has no updates. A table lies in buckets, by a hash of the path or key that its rows belong to. A change makes new
+folders for the buckets that it touches, beside the old ones, and then adds a pointer, a small file of the next number that
+names the folder of every bucket. Readers take the newest; a change that began from an older one fails, as its number is
+taken. Old folders stay for a while, so that lazy answers still read. All paths go through Hadoop's file systems; the
+store needs one whose renames are atomic (HDFS, a shared disk), as plain object stores are not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce, wraps
 
@@ -42,6 +43,8 @@ KEYS = {
     "method_table": ("owner_type", "member"),
 }
 PER_PATH = ("files", "symbols", "docs", "reference_spans")
+#: The column that names a row's bucket in folder names, and the entry of a pointer that holds the schema of a caller's own table.
+BUCKET, SCHEMA = "_bucket", "_schema"
 
 
 class Conflict(RuntimeError):
@@ -62,9 +65,9 @@ def whole(change: Callable) -> Callable:
 class Store:
     """Tables below one folder, in versions; a numbered pointer names the version of each."""
 
-    def __init__(self, spark: SparkSession, folder: str, keep_seconds: float = 86_400) -> None:
-        self.spark, self.folder, self.keep_seconds = spark, folder.rstrip("/"), keep_seconds
-        self._open: dict[str, str] | None = None
+    def __init__(self, spark: SparkSession, folder: str, keep_seconds: float = 86_400, buckets: int = 16) -> None:
+        self.spark, self.folder, self.keep_seconds, self.buckets = spark, folder.rstrip("/"), keep_seconds, buckets
+        self._open: dict[str, dict[str, str]] | None = None
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,12 +81,12 @@ class Store:
         names = (f.getPath().getName() for f in fs.listStatus(p))
         return max((int(n.removeprefix("_pointer-")) for n in names if n.startswith("_pointer-") and n[9:].isdigit()), default=0)
 
-    def _pointer(self) -> dict[str, str]:
+    def _pointer(self) -> dict[str, dict[str, str]]:
         if self._open is not None:
-            return dict(self._open)
+            return {name: dict(parts) for name, parts in self._open.items()}
         return self._load(self._latest())
 
-    def _load(self, number: int) -> dict[str, str]:
+    def _load(self, number: int) -> dict[str, dict[str, str]]:
         if not number:
             return {}
         fs, p = self._fs(f"{self.folder}/_pointer-{number}")
@@ -93,7 +96,7 @@ class Store:
         finally:
             stream.close()
 
-    def _commit(self, base: int, names: dict[str, str]) -> None:
+    def _commit(self, base: int, names: dict[str, dict[str, str]]) -> None:
         """The next pointer after ``base``, if no other writer has made one meanwhile.
 
         It is written beside and renamed to its number, which fails where the number is taken.
@@ -123,7 +126,7 @@ class Store:
             return
         base = self._latest()
         held = self._load(base)
-        self._open = dict(held)
+        self._open = {name: dict(parts) for name, parts in held.items()}
         try:
             try:
                 yield self
@@ -132,7 +135,7 @@ class Store:
             if names != held:
                 self._commit(base, names)
         except BaseException:
-            for at in set(names.values()) - set(held.values()):
+            for at in _folders(names) - _folders(held):
                 fs, p = self._fs(f"{self.folder}/{at}")
                 fs.delete(p, True)
             raise
@@ -146,11 +149,17 @@ class Store:
         # A pointer was current until its successor came.
         until = {n: later for (n, _), (_, later) in zip(found, found[1:], strict=False)}
         old = [n for n, end in until.items() if end < time.time() - self.keep_seconds]
-        named = {at for n, _ in found if n not in old for at in self._load(n).values()}
+        named = {at for n, _ in found if n not in old for at in _folders(self._load(n))}
         for n in old:
-            for at in set(self._load(n).values()) - named:
+            for at in _folders(self._load(n)) - named:
                 fs.delete(self._fs(f"{self.folder}/{at}")[1], True)
             fs.delete(self._fs(f"{self.folder}/_pointer-{n}")[1], False)
+        # Folders with nothing that is named: all of it has gone, or a writer died before its pointer.
+        kept = {at.rsplit("/", 1)[0] for at in named}
+        for table in (f.getPath() for f in fs.listStatus(p) if f.isDirectory() and not f.getPath().getName().startswith("_")):
+            for f in fs.listStatus(table):
+                if f"{table.getName()}/{f.getPath().getName()}" not in kept and f.getModificationTime() / 1000 <= time.time() - self.keep_seconds:
+                    fs.delete(f.getPath(), True)
 
     @whole
     def create(self) -> None:
@@ -158,46 +167,71 @@ class Store:
         held = self._pointer()
         self.replace({name: self.spark.createDataFrame([], ddl) for name, ddl in SCHEMAS.items() if name not in held})
 
-    def read(self, name: str) -> DataFrame:
-        """The current version; columns that an older version lacks are null."""
-        at = self._pointer().get(name)
-        if at is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{at}") if name in SCHEMAS else self.spark.read.parquet(f"{self.folder}/{at}")
+    def read(self, name: str, buckets: Iterable[str] | None = None) -> DataFrame:
+        """The current version, or some of its buckets; columns that an older version lacks are null."""
+        parts = self._pointer().get(name, {})
+        schema = parts.get(SCHEMA, SCHEMAS.get(name))
+        held = [f"{self.folder}/{at}" for b, at in sorted(parts.items()) if b != SCHEMA and (buckets is None or b in buckets)]
+        return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, name: str, columns: Sequence[str]) -> Column:
+        keys = KEYS.get(name) or (("path",) if "path" in columns else tuple(columns)[:1])
+        return F.pmod(F.hash(*keys), F.lit(self.buckets)).cast("string")
+
+    def _write(self, name: str, df: DataFrame, sort: Sequence[str]) -> dict[str, str]:
+        """A folder for every bucket that has rows. Large buckets are split, small ones are one file; rows are sorted within files."""
+        at = f"{name}/{uuid.uuid4().hex}"
+        keys = [c for c in sort if c in df.columns]
+        placed = df.withColumn(BUCKET, self._bucket(name, df.columns)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys)
+        placed.write.partitionBy(BUCKET).parquet(f"{self.folder}/{at}")
+        fs, p = self._fs(f"{self.folder}/{at}")
+        names = (f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+        return {n.removeprefix(f"{BUCKET}="): f"{at}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
 
     def replace(self, tables: dict[str, DataFrame], sort: Sequence[str] = ("name",)) -> None:
-        """New versions of several tables, visible together. Rows are sorted within files, so that statistics prune.
+        """New versions of several whole tables, visible together. Rows are sorted within files, so that statistics prune.
 
         Older versions stay for ``keep_seconds``, so that answers that were asked for before still read.
         """
         with self.transaction():
             for name, df in tables.items():
-                at = f"{name}/{uuid.uuid4().hex}"
-                keys = [c for c in sort if c in df.columns]
-                (df.sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.folder}/{at}")
-                self._open[name] = at
+                shape = {} if name in SCHEMAS else {SCHEMA: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
+                self._open[name] = self._write(name, df, sort) | shape
+
+    def touched(self, name: str, keys: DataFrame) -> list[str]:
+        """The buckets of a table that hold the given paths or keys."""
+        return [r[0] for r in keys.select(self._bucket(name, keys.columns)).distinct().collect()]
+
+    def _change(self, name: str, gone: DataFrame, on: Sequence[str], new: DataFrame | None, sort: Sequence[str] = ("name",)) -> None:
+        """The rows whose columns ``on`` are among ``gone`` go and ``new`` ones come; only the buckets of both are written."""
+        some = self.touched(name, gone)
+        kept = self.read(name, some)
+        rows = kept.join(gone, list(on), "left_anti").select(*kept.columns)
+        if new is not None:
+            rows = rows.unionByName(new, allowMissingColumns=True).select(*kept.columns)
+        written = self._write(name, rows, sort)
+        parts = {b: at for b, at in self._pointer().get(name, {}).items() if b not in some}
+        self._open[name] = parts | written
 
     @whole
     def upsert_paths(self, tables: dict[str, DataFrame], paths: DataFrame) -> None:
-        """Rows of ``paths`` go from every per-path table, and the given rows come in their place."""
+        """Rows of ``paths`` go from every per-path table, and the given rows, of the same paths, come in their place."""
         gone = paths.select("path").distinct()
-        new = {}
         for name in PER_PATH:
-            kept = self.read(name).join(gone, "path", "left_anti")
-            new[name] = kept.select(*kept.columns).unionByName(tables[name], allowMissingColumns=True) if name in tables else kept
-        self.replace(new)
+            self._change(name, gone, ["path"], tables.get(name))
 
     @whole
     def delete_roots(self, roots: DataFrame) -> None:
         """Everything at or below the roots goes from the per-path tables."""
-        hit = lambda df: df.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("root")).join(roots.select("root"), "root", "left_semi")
-        self.replace({name: (t := self.read(name)).join(hit(t).select("path").distinct(), "path", "left_anti") for name in PER_PATH})
+        for name in PER_PATH:
+            paths = self.read(name).select("path").distinct()
+            hit = paths.select("path", F.explode(ancestors(F.col("path"))).alias("root")).join(roots.select("root"), "root", "left_semi")
+            self._change(name, hit.select("path").distinct(), ["path"], None)
 
     @whole
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Rows replace those of the same key."""
-        keys = list(KEYS[name])
-        self.replace({name: self.read(name).join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)})
+        self._change(name, rows.select(*KEYS[name]).distinct(), KEYS[name], rows)
 
     def write_back_docs(self, rows: DataFrame) -> None:
         """Runtime documentation, unless the symbol is blank or there is nothing to say."""
@@ -229,12 +263,30 @@ class Store:
         counted = self.count_roots(fingerprints).join(fingerprints, "root").withColumn("updated_at", F.lit(int(time.time())))
         self.upsert("index_root_metadata", counted)
 
+    @whole
+    def mark_roots(self, marks: DataFrame) -> None:
+        """Fingerprints (root, root_fingerprint, root_marker) of roots that are counted; their counters stay."""
+        held = self.read("index_root_metadata").drop("root_fingerprint", "root_marker", "updated_at").join(marks, "root")
+        self.upsert("index_root_metadata", held.withColumn("updated_at", F.lit(int(time.time()))))
+
     @whole
     def move_counters(self, column: str, deltas: DataFrame) -> None:
-        """One counter of every root moved by (root, delta), never below 0."""
-        old = self.read("index_root_metadata")
-        moved = apply_deltas(old.select("root", F.col(column).alias("n")), deltas, "root")
-        self.replace({"index_root_metadata": old.drop(column).join(moved.withColumnRenamed("n", column), "root").select(*old.columns)})
+        """One counter of the roots in (root, delta) moved, never below 0; the buckets of other roots are not written."""
+        self.move_all_counters(deltas.select("root", F.col("delta").alias(column)))
+
+    @whole
+    def move_all_counters(self, deltas: DataFrame) -> None:
+        """The counters named by the columns of ``deltas`` (root, counters) moved for its roots, never below 0."""
+        old = self.read("index_root_metadata", self.touched("index_root_metadata", deltas.select("root")))
+        for column in [c for c in deltas.columns if c != "root"]:
+            moved = apply_deltas(old.select("root", F.col(column).alias("n")), deltas.select("root", F.col(column).alias("delta")), "root")
+            old = old.drop(column).join(moved.withColumnRenamed("n", column), "root")
+        known = [f.split()[0] for f in SCHEMAS["index_root_metadata"].split(", ")]
+        self.upsert("index_root_metadata", old.join(deltas.select("root"), "root", "left_semi").select(*known))
+
+
+def _folders(names: dict[str, dict[str, str]]) -> set[str]:
+    return {at for parts in names.values() for b, at in parts.items() if b != SCHEMA}
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -328,7 +380,3 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, keys: dict[str, Se
         held = best_per_key(df, list(keys[name]), []) if name in keys else df
         held.write.mode("overwrite").parquet(f"{folder}/{name}")
 
-
-def rank_cells(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Extension, not parity: a plain rank within keys."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
