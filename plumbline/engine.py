@@ -94,7 +94,7 @@ class Engine:
     def _refresh(self, listed: DataFrame, stale: DataFrame) -> None:
         """Parse ``listed`` and put the rows in the place of those of the ``stale`` paths; what other paths have is not touched."""
         parsed = extract.parsed(self.texts(listed)).checkpoint()
-        before = {name: self.store.read(name, self.store.touched(name, stale)).join(stale.distinct(), "path", "left_semi") for name in ("files", "symbols", "docs")}
+        before = {name: self.store.of_paths(name, stale) for name in ("files", "symbols", "docs")}
         if parsed.isEmpty() and before["files"].isEmpty():
             return  # only files that can't be read, which the store doesn't have
         tables = {
@@ -198,7 +198,7 @@ class Engine:
     def completion(self, prefix: str, path: str | None = None, limit: int = 100) -> DataFrame:
         """Names of the file itself first, then of the index, then builtins; one row per label."""
         columns = ["name", "kind", "module", "detail"]
-        held = self.symbols().filter("kind <> 'module' and name <> '*' and detail <> 'Export'")
+        held = search.prefix_filter(self.symbols(), prefix).filter("kind <> 'module' and name <> '*' and detail <> 'Export'")
         best = lambda df: rows.best_per_key(df, ["name"], [search.kind_rank(F.col("kind")), "path", "start_line"]).select(*columns)
         parts = [best(held.filter(F.col("path") == path))] if path else []
         found = sets.first_wins([*parts, best(held), builtin_rows(self.spark)], "name", prefix)
@@ -387,9 +387,9 @@ class Engine:
 
 
 def _same(old: DataFrame, new: DataFrame) -> bool:
-    """Whether both hold the same rows, as often."""
-    held = new.select(*old.columns)
-    return old.exceptAll(held).isEmpty() and held.exceptAll(old).isEmpty()
+    """Whether both hold the same rows, as often, by the columns of ``new``."""
+    held = old.select(*new.columns)
+    return held.exceptAll(new).isEmpty() and new.exceptAll(held).isEmpty()
 
 
 class TextsEngine(Engine):

@@ -11,8 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.layout import prefix_range
 from plumbline.operators.rows import best_per_key
 
+#: The column that holds a name in lower case, by which prefixes are ranges.
+NAME_KEY = "name_key"
 #: Result limits by search mode, and preference of kinds and file extensions.
 LIMITS = {"palette": 50, "workspace": 200, "all": 1000}
 KIND_ORDER = ("class", "function", "method", "variable", "cython", "module", "import")
@@ -89,10 +92,17 @@ def rerank(found: DataFrame, term: str, limit: int) -> DataFrame:
 
 
 def prefix_filter(symbols: DataFrame, prefix: str) -> DataFrame:
-    """Names that begin with ``prefix``, case-insensitively."""
+    """Names that begin with ``prefix``, case-insensitively; a range of the lower-case key where rows have one."""
+    if NAME_KEY in symbols.columns:
+        return symbols.filter(prefix_range(NAME_KEY, prefix.lower()))
     return symbols.filter(F.lower("name").startswith(prefix.lower()))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the lower-case name as a key, whose order and prefixes files can be skipped by."""
+    return rows.withColumn(NAME_KEY, F.lower("name"))
+
+
 def prefix_top(symbols: DataFrame, prefix: str, limit: int, best: Sequence[Column | str]) -> DataFrame:
     """The best row (least ``best``) per lower-case name among the names with ``prefix``, by name and module."""
     held = prefix_filter(symbols, prefix).withColumn("label", F.lower("name"))

@@ -20,11 +20,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.layout import clustered
 from plumbline.operators.rows import ancestors, apply_deltas, best_per_key, count_by_root
+from plumbline.operators.search import NAME_KEY, keyed
 from plumbline.operators.windows import running_total
 
 POSITION = "start_line int, start_character int, end_line int, end_character int"
-SYMBOL = f"name string, kind string, module string, path string, {POSITION}, detail string, import_from string, signature string"
+SYMBOL = f"name string, kind string, module string, path string, {POSITION}, detail string, import_from string, signature string, name_key string"
 #: The tables of a store and their keys (empty: rows belong to a path).
 SCHEMAS = {
     "files": "path string, module string, fingerprint string, identifier_filter binary",
@@ -42,6 +44,8 @@ KEYS = {
     "export_table": ("import_module", "public_name"),
     "method_table": ("owner_type", "member"),
 }
+#: Columns that tables are clustered by within their buckets, for lookups by any of them (a path's rows are in one bucket).
+CLUSTERED = {"symbols": ("module", "name_key"), "export_table": ("import_module", "name_key")}
 PER_PATH = ("files", "symbols", "docs", "reference_spans")
 #: The column that names a row's bucket in folder names, and the entry of a pointer that holds the schema of a caller's own table.
 BUCKET, SCHEMA = "_bucket", "_schema"
@@ -179,11 +183,19 @@ class Store:
         return F.pmod(F.hash(*keys), F.lit(self.buckets)).cast("string")
 
     def _write(self, name: str, df: DataFrame, sort: Sequence[str]) -> dict[str, str]:
-        """A folder for every bucket that has rows. Large buckets are split, small ones are one file; rows are sorted within files."""
+        """A folder for every bucket that has rows. Large buckets are split, small ones are one file; rows are sorted or clustered within."""
         at = f"{name}/{uuid.uuid4().hex}"
-        keys = [c for c in sort if c in df.columns]
-        placed = df.withColumn(BUCKET, self._bucket(name, df.columns)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys)
-        placed.write.partitionBy(BUCKET).parquet(f"{self.folder}/{at}")
+        held = keyed(df) if "name" in df.columns and NAME_KEY in SCHEMAS.get(name, "") else df
+        placed = held.withColumn(BUCKET, self._bucket(name, df.columns))
+        if name in CLUSTERED:
+            placed = clustered(placed, CLUSTERED[name], first=[BUCKET])
+        else:
+            keys = [c for c in sort if c in df.columns]
+            placed = placed.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys)
+        out = placed.write.partitionBy(BUCKET)
+        for c in CLUSTERED.get(name, ()):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.parquet(f"{self.folder}/{at}")
         fs, p = self._fs(f"{self.folder}/{at}")
         names = (f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
         return {n.removeprefix(f"{BUCKET}="): f"{at}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
@@ -198,6 +210,11 @@ class Store:
                 shape = {} if name in SCHEMAS else {SCHEMA: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
                 self._open[name] = self._write(name, df, sort) | shape
 
+    def of_paths(self, name: str, paths: DataFrame) -> DataFrame:
+        """The rows of some paths; only the buckets that hold them are read."""
+        asked = paths.select("path").distinct()
+        return self.read(name, self.touched(name, asked)).join(asked, "path", "left_semi")
+
     def touched(self, name: str, keys: DataFrame) -> list[str]:
         """The buckets of a table that hold the given paths or keys."""
         return [r[0] for r in keys.select(self._bucket(name, keys.columns)).distinct().collect()]
