@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places that a row holds at most.
+PIECE = 1000
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,11 +47,37 @@ def inverted_index(tokens: DataFrame, key: str, document: str) -> DataFrame:
     return tokens.select(F.col(key).alias("token"), F.col(document).alias("_d")).distinct().groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
-def postings(rows: DataFrame, keys: Sequence[Column], payload: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Rows under each of several keys (a public and an own name); grouped lists only where keys are known to be small."""
+def best_n(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows by ``order`` of every key, with their rank (from 1).
+
+    Every map task passes on at most n rows of a key, by one of ``salts`` ways, each of which passes on at most n: the
+    task that ranks a key gets n * salts rows of it, however many there are.
+    """
+    by = [_col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    placed = rows.select("*", *by).withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    some = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*names))).filter(F.col("_n") <= n)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*names))).filter(F.col("rank") <= n)
+    return ranked.select(*rows.columns, "rank")
+
+
+def in_pieces(rows: DataFrame, keys: Sequence[str], payload: Sequence[str], size: int, name: str) -> DataFrame:
+    """keys, piece (from 0), n (rows of the key) and the payloads of its rows in order, at most ``size`` in a piece."""
+    from plumbline.operators.cells import numbered
+
+    placed = numbered(rows.select(*keys, *payload), keys, list(payload), "_n").withColumn("piece", F.floor((F.col("_n") - 1) / size))
+    listed = placed.groupBy(*keys, "piece").agg(F.count("*").alias("_held"), F.sort_array(F.collect_list(F.struct(*payload))).alias(name))
+    total = Window.partitionBy(*keys)
+    return listed.withColumn("n", F.sum("_held").over(total)).select(*keys, "piece", "n", name)
+
+
+def postings(rows: DataFrame, keys: Sequence[Column], payload: Sequence[str], limit: int | None = None, size: int = PIECE) -> DataFrame:
+    """Rows under each of several keys (a public and an own name): the first ``limit`` of each, or all in pieces of ``size``."""
     both = rows.select(F.explode(F.array_distinct(F.array(*(F.lower(k) for k in keys)))).alias("key"), *payload)
-    grouped = both.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("rows"))
-    return grouped.withColumn("rows", F.slice("rows", 1, limit)) if limit else grouped
+    if limit is None:
+        return in_pieces(both, ["key"], payload, size, "rows")
+    few = best_n(both, ["key"], list(payload), limit)
+    return few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("rows"))
 
 
 def coalesced_counts(rows: DataFrame, column: str, unknown: str = "unknown") -> DataFrame:
@@ -113,10 +142,10 @@ def apply_deltas(counters: DataFrame, changes: DataFrame, key: str) -> DataFrame
     return counters.join(changes, key, "left").select(key, moved.cast("long").alias("n"))
 
 
-def call_groups(calls: DataFrame, keys: Sequence[str], line: str, column: str) -> DataFrame:
-    """Call sites per identity: their number and their places in order (a caller's own text bounds the list)."""
-    place = F.struct(F.col(line).alias("line"), F.col(column).alias("column"))
-    return calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.sort_array(F.collect_list(place)).alias("ranges"))
+def call_groups(calls: DataFrame, keys: Sequence[str], line: str, column: str, size: int = PIECE) -> DataFrame:
+    """Call sites per identity: piece, the number of all its calls, and its places in order, at most ``size`` in a piece."""
+    placed = calls.select(*keys, F.col(line).alias("line"), F.col(column).alias("column"))
+    return in_pieces(placed, keys, ["line", "column"], size, "ranges").withColumnRenamed("n", "n_calls")
 
 
 def doc_count(docs: DataFrame, cached: int = 0) -> DataFrame:
@@ -133,11 +162,24 @@ def touched_names(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     return names.distinct()
 
 
-def merge_modules(modules: DataFrame, precedence: Sequence[str]) -> DataFrame:
-    """One row per (module, name): of several suffixes the first by ``precedence``; exports are united."""
+def merge_modules(modules: DataFrame, precedence: Sequence[str], fill: Sequence[str] = ()) -> DataFrame:
+    """One row per (module, name): of several suffixes the first by ``precedence``.
+
+    Where that row has nothing in a column of ``fill`` (a docstring, say), the first one that has something gives it.
+    """
     from plumbline.operators.search import extension_of, order_of
 
-    return best_per_key(modules, ["module", "name"], [order_of(extension_of(F.col("path")), precedence), "path"])
+    order = [order_of(extension_of(F.col("path")), precedence), "path"]
+    best = best_per_key(modules, ["module", "name"], order)
+    if not fill:
+        return best
+    place = [_col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    said = [F.min(F.when(F.length(F.trim(F.col(c))) > 0, F.struct(*place, F.col(c).alias("said"))))["said"].alias(f"_{c}") for c in fill]
+    others = modules.groupBy("module", "name").agg(*said)
+    filled = best.join(others, ["module", "name"])
+    for c in fill:
+        filled = filled.withColumn(c, F.coalesce(F.when(F.length(F.trim(F.col(c))) > 0, F.col(c)), F.col(f"_{c}"), F.col(c)))
+    return filled.select(*modules.columns)
 
 
 def bundle_stats(files: DataFrame, size: str = "size") -> DataFrame:

@@ -151,6 +151,27 @@ def merged_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.merge_modules(symbols(spark, sf_dir).select("module", "name", "path", "id"), ("pxd", "py"))
 
 
+@query(
+    "merged_docstrings",
+    """
+    WITH m AS (SELECT 'm' || p_size AS module, p_brand AS name, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'pxd' WHEN p_partkey % 3 = 1 THEN 'py' ELSE 'pyx' END AS ext,
+      CASE WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 4 = 1 THEN '  ' END AS docstring FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY module, name ORDER BY CASE ext WHEN 'pyx' THEN 1 WHEN 'py' THEN 2 ELSE 3 END, lpad(id::VARCHAR, 9, '0')) AS n FROM m)
+    SELECT module, name, min(id) FILTER (n = 1) AS id, coalesce(first(docstring ORDER BY n) FILTER (length(trim(docstring)) > 0), first(docstring) FILTER (n = 1)) AS docstring FROM r GROUP BY 1, 2
+    """,
+)
+def merged_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several suffixes the implementation, with the declaration's docstring where its own is blank."""
+    n = F.col("p_partkey")
+    ext = F.when(n % 3 == 0, "pxd").when(n % 3 == 1, "py").otherwise("pyx")
+    said = F.when(n % 4 == 0, F.col("p_name")).when(n % 4 == 1, "  ")
+    held = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("module"), F.col("p_brand").alias("name"), n.alias("id"),
+        F.concat(F.lpad(n.cast("string"), 9, "0"), F.lit("."), ext).alias("path"), said.alias("docstring"),
+    )
+    return rows.merge_modules(held, ("pyx", "py"), ["docstring"]).select("module", "name", "id", "docstring")
+
+
 @query(
     "reranked_symbols",
     f"WITH {SYMBOLS} SELECT path, start_line, name, 1::INTEGER AS level FROM sym WHERE starts_with(lower(name), 'red_')",

@@ -168,16 +168,32 @@ def merged_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "grouped_call_ranges",
     """
-    SELECT l_partkey AS callee, count(*) AS n_calls,
-      string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS ranges
-    FROM lineitem GROUP BY 1
+    SELECT callee, (n - 1) // 1000 AS piece, any_value(total) AS n_calls, string_agg(place, ',' ORDER BY n) AS ranges FROM (
+      SELECT l_partkey AS callee, l_orderkey || ':' || l_linenumber AS place, count(*) OVER (PARTITION BY l_partkey) AS total,
+        row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) GROUP BY 1, 2
     """,
 )
 def grouped_call_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "callee")
     grouped = rows.call_groups(calls, ["callee"], "l_orderkey", "l_linenumber")
     shown = F.transform("ranges", lambda r: F.concat_ws(":", r["line"].cast("string"), r["column"].cast("string")))
-    return grouped.select("callee", "n_calls", F.array_join(shown, ",").alias("ranges"))
+    return grouped.select("callee", "piece", "n_calls", F.array_join(shown, ",").alias("ranges"))
+
+
+@query(
+    "call_pieces_of_flags",
+    """
+    SELECT callee, (n - 1) // 500 AS piece, any_value(total) AS n_calls, count(*) AS n_ranges, min(l_orderkey) AS first_line, max(l_orderkey) AS last_line FROM (
+      SELECT l_returnflag AS callee, l_orderkey, count(*) OVER (PARTITION BY l_returnflag) AS total,
+        row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) GROUP BY 1, 2
+    """,
+)
+def call_pieces_of_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three identities that hold all rows: their places come in pieces of 500."""
+    calls = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "callee")
+    grouped = rows.call_groups(calls, ["callee"], "l_orderkey", "l_linenumber", size=500)
+    ends = F.transform("ranges", lambda r: r["line"])
+    return grouped.select("callee", "piece", "n_calls", F.size("ranges").cast("long").alias("n_ranges"), F.array_min(ends).alias("first_line"), F.array_max(ends).alias("last_line"))
 
 
 @query(
@@ -195,6 +211,20 @@ def dual_key_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("key", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0))["n_nationkey"].alias("first_row"))
 
 
+@query(
+    "dual_key_best",
+    """
+    SELECT key, list(r ORDER BY r) AS best FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY r) AS n FROM (
+      SELECT lower(p_name) AS key, p_partkey AS r FROM part UNION SELECT lower(p_brand), p_partkey FROM part UNION SELECT lower(p_type), p_partkey FROM part))
+    WHERE n <= 7 GROUP BY key
+    """,
+)
+def dual_key_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first seven parts under each name, brand and type; brands and types hold thousands."""
+    grouped = rows.postings(table(spark, sf_dir, "part"), [F.col("p_name"), F.col("p_brand"), F.col("p_type")], ["p_partkey"], limit=7)
+    return grouped.select("key", F.transform("rows", lambda r: r["p_partkey"]).alias("best"))
+
+
 @query(
     "documented_count",
     "SELECT greatest(count(CASE WHEN length(trim(text)) > 0 THEN 1 END), 5)::BIGINT AS n_docs FROM documents",
