@@ -23,12 +23,15 @@ CELL_ROWS = 200_000
 def celled(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], size: int = CELL_ROWS) -> DataFrame:
     """``rows`` with _cell, a number that grows along (keys, order); kept in the checkpoint folder, as cells come from sampled ranges.
 
-    ``order`` should tell rows apart: equal ones share a cell.
+    ``order`` should tell rows apart: equal ones share a cell. Where all rows are no more than a cell may hold, they are one.
     """
     spark = rows.sparkSession
+    n = rows.count()
+    if n <= size:
+        return rows.withColumn("_cell", F.lit(0))
     shared_folder(spark)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, -(-rows.count() // size))
+    parts = max(least, -(-n // size))
     return rows.repartitionByRange(parts, *keys, *order).withColumn("_cell", F.spark_partition_id()).checkpoint()
 
 
