@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,6 +71,33 @@ def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
 
 
+def ranged(df: DataFrame, order: list[str], name: str, size: int = 100_000) -> DataFrame:
+    """``df`` dealt to ranges of ``order`` of about ``size`` rows, written, with _range, the number of a row's range.
+
+    Up to ``size`` rows are one range.
+    """
+    n = df.count()
+    if n <= size:
+        return written(df.withColumn("_range", F.lit(0)), name)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // size))
+    return written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df``, as ranged() gives it, with running totals along ``order``, up to and with each row.
+
+    A window in each range and one over the sums of all ranges, a row for each.
+    """
+    held = df.select("*", *(c.alias(f"_v_{n}") for n, c in sums.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = held.groupBy("_range").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums))
+    starts = whole.select(F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_s_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = held.select(*df.columns, *(F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in sums))
+    totals = [(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums]
+    return placed.join(F.broadcast(starts), F.col("_range") == F.col("_of")).select(*(c for c in df.columns if c != "_range"), *totals)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this session has written; results that read them can't be read afterwards."""
     while _WRITTEN:

@@ -10,9 +10,11 @@ taken, the packet at that place in part. A source so ends within a few packets o
 Targets share the budget by weight, and none exceeds ``repeats`` times its source's size: what a source can't take is
 shared by weight among the others until none is above.
 
-Order is exact without one sorted partition: shuffled order and virtual time are both cut into ``BINS`` ranges of equal
-width, sums of whole ranges give the offsets, and rows are sorted inside a range. Each source serves the same number of
-words in every range of time, so ranges are of equal size, and a hot source spreads over all of them.
+Order is exact without one sorted partition. The shuffled order of a source is cut into ``BINS`` ranges of equal width,
+and packets are range-sorted by finish time, then source, then place in its queue, so that packets of one time are split
+too (a million sources of one document each all end at the same times). Sums of whole ranges give the offsets, and rows
+are sorted inside a range. A hot source spreads over all ranges of both. Rows that agree in source, id, size and shuffled
+place are counted before they are sorted, and dealt out again behind it.
 
 A null text, or one without words, has size 0 and takes nothing. A null source is a source of its own, after all
 others. Documents without an id are shuffled by their text. Repeated rows are separate documents; rows that also agree
@@ -26,9 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, text_of, written
+from plumbline.llm.common import WORD, ranged, running, text_of, written
 
-#: Ranges of the shuffled order of a source, and of virtual time. Three hex digits.
+#: Ranges of the shuffled order of a source. Three hex digits.
 BINS = 4096
 
 
@@ -45,32 +47,26 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
 def targets(sources: DataFrame, weights: Sequence[int], repeats: int) -> DataFrame:
     """source, place (from 1, in code point order), source_size and target from (source, source_size).
 
-    One row per source in one task: sources in code point order take the ``weights`` in turn. With the sources sorted
-    by how soon they fill up, the first k are full exactly if the level that the rest would reach lies above their own.
+    Sources in code point order take the ``weights`` in turn. With the sources sorted by how soon they fill up, the first
+    k are full exactly if the level that the rest would reach lies above their own. Both orders are range-sorted.
     """
-    one = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(one) - 1) % len(weights) + 1)
-    fill = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.col("total") - F.col("full")) / F.col("open")
-    return (
-        sources.withColumn("place", F.row_number().over(one))
-        .withColumn("weight", weight.cast("long"))
-        .withColumn("cap", F.col("source_size") * F.lit(repeats).cast("long"))
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0).cast("long")))
-        .withColumn("open", F.sum("weight").over(after))
-        # The level of the first source that doesn't fill up holds for all after it.
-        .withColumn("fills", level * F.col("weight") >= F.col("cap"))
-        .withColumn("level", F.max(F.when(~F.col("fills"), level)).over(every))
-        .select(
-            "source",
-            "place",
-            "source_size",
-            F.when(F.col("fills"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"),
-        )
+    named = sources.withColumn("last", F.col("source").isNull())
+    placed = running(ranged(named, ["last", "source"], "sources"), ["last", "source"], {"place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
+    capped = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(repeats).cast("long"))
+    order = ["fills_at", "last", "source"]
+    timed = ranged(capped.withColumn("fills_at", F.col("cap") / F.col("weight")), order, "fills")
+    sums = written(running(timed, order, {"caps": F.col("cap"), "weighed": F.col("weight")}), "levels")
+    whole = sums.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(whole["total"] or 0) - F.col("caps") + F.col("cap")) / (F.lit(whole["weights"] or 1) - F.col("weighed") + F.col("weight"))
+    leveled = sums.withColumn("level", level).withColumn("fills", F.col("level") * F.col("weight") >= F.col("cap"))
+    # The level of the first source that doesn't fill up holds for all after it.
+    top = leveled.agg(F.max(F.when(~F.col("fills"), F.col("level"))).alias("top")).first()["top"]
+    return leveled.select(
+        "source",
+        "place",
+        "source_size",
+        F.when(F.col("fills"), F.col("cap").cast("double")).otherwise(F.lit(top).cast("double") * F.col("weight")).alias("target"),
     )
 
 
@@ -86,8 +82,9 @@ def mix(
 
     ``budget`` is the number of words to take, by default all sizes together. taken counts repeats.
     """
-    rows = written(sized(docs, seed).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sized")
-    per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    alike = sized(docs, seed).groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("times"))
+    rows = written(alike.withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sized")
+    per_bin = rows.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("times")).alias("bin_size"))
     ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bin.select("source", "bin", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0).cast("long")).alias("bin_start"))
     sources = per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
@@ -104,11 +101,18 @@ def mix(
         .select(F.col("o.source").alias("bin_source"), F.col("o.bin").alias("bin_no"), "bin_start", "place", "source_size", "target")
     )
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("bin") == F.col("bin_no")))
-    within = Window.partitionBy("bin_source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("bin_source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.col("bin_start") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(within), F.lit(0).cast("long"))
+    # Rows that are alike come up one behind the other, some hundred in a piece.
+    piece = 256
+    pieces = placed.withColumn("begun", begun).withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(piece).cast("long"))))
+    if rows.filter(F.col("times") > 64 * piece).limit(1).count():
+        pieces = pieces.repartition("key", "doc_id", "_first")
+    turn = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(piece).cast("long"), F.col("times") - F.col("_first"))))
     queued = written(
-        placed.withColumn("served", F.col("bin_start") + F.sum("size").over(within)).select(
-            "doc_id", "place", "size", "source_size", "target", "served"
-        ),
+        pieces.withColumn("_turn", turn)
+        .withColumn("served", F.col("begun") + (F.col("_first") + F.col("_turn")) * F.col("size"))
+        .select("doc_id", "place", "size", "source_size", "target", "served"),
         "queued",
     )
     plan = schedule(queued, repeats, budget, packet, one["n"])
@@ -145,16 +149,10 @@ def schedule(queued: DataFrame, repeats: int, budget: int, packet: int, sources:
         .withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("piece") * packet))
         .withColumn("end", F.col("begin") + F.col("piece") * packet + F.col("words"))
         .withColumn("finish", F.col("end") / F.col("target"))
-        .withColumn("slot", F.least(F.floor(F.col("finish") * BINS), F.lit(BINS)).cast("int"))
     )
-    sums = rows.groupBy("slot").agg(F.sum("words").alias("slot_words"))
-    ahead = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("slot", F.coalesce(F.sum("slot_words").over(ahead), F.lit(0).cast("long")).alias("slot_start"))
-    inside = Window.partitionBy("slot").orderBy("finish", "place", "end").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("slot_start") + F.sum("words").over(inside)
+    order = ["finish", "place", "end"]
     return (
-        rows.join(starts, "slot")
-        .withColumn("total", total)
+        running(ranged(written(rows, "served"), order, "packets"), order, {"total": F.col("words")})
         .withColumn("words", F.least(F.col("words"), budget - F.col("total") + F.col("words")))
         .filter("words > 0")
     )

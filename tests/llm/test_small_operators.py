@@ -125,6 +125,35 @@ def test_mix_with_a_smaller_budget(spark):
     assert sum(r["taken"] for r in mixing.mix(docs(spark, rows), budget=300).collect()) == pytest.approx(300, abs=2)
 
 
+def mixed_by_sql(rows):
+    import duckdb
+    import pandas as pd
+
+    from plumbline.llm import oracles
+
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64", "n_chars": "Int64"})
+    con.register("documents", frame)
+    return sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in con.execute(oracles.MIXING).df().replace({float("nan"): None}).rename(columns={"size": "words"}).assign(size=lambda d: d.words).itertuples())
+
+
+def test_mix_of_very_many_sources(spark, monkeypatch):
+    """Sources of one document each all finish at the same times; ranges of the order split them, and equal rows are dealt out."""
+    from plumbline.llm import common
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", f"domain{i}", 1) for i in range(3000)] + [(10_000 + i, "some more words", "en", "big", 1) for i in range(300)]
+    rows += [(20_000, "one row again and again", "en", "copies", 1)] * 1500
+    ranges = []
+    whole = common.ranged
+    monkeypatch.setattr(mixing, "ranged", lambda df, order, name: ranges.append((name, whole(df, order, name, size=150))) or ranges[-1][1])
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == mixed_by_sql(rows)
+    for name, held in ranges:
+        per_range = [r["count"] for r in held.groupBy("_range").count().collect()]
+        assert len(per_range) > 15 and max(per_range) < sum(per_range) / 10, name
+
+
 def test_line_chunks_are_shift_resistant_and_lossless(spark):
     rng = random.Random(3)
     body = [" ".join(rng.choices(NAMES, k=6)) for _ in range(40)]
