@@ -152,23 +152,27 @@ def signature_of(code: Code, name: str, start: int, end: int) -> str | None:
 
 
 def declarations(code: Code, path: str) -> list[Symbol]:
-    """Classes, functions and methods, by an indent stack of enclosing classes."""
+    """Classes, functions and methods. A class ends with the first line of code that is no deeper than itself."""
     cython = path.rpartition(".")[2] in CYTHON
-    stack: list[tuple[int, str, bool]] = []
+    lines = [(m.start(), len(m[1].expandtabs(8))) for m in re.finditer(r"^([ \t]*)\S", code.code, re.MULTILINE)]
+    at = 0
+    classes: list[tuple[int, str]] = []
     out = []
     for m in DECLARATION.finditer(code.code):
-        indent = len(m[1].expandtabs(8))
-        while stack and stack[-1][0] >= indent:
-            stack.pop()
+        while at < len(lines) and lines[at][0] <= m.start():
+            while classes and classes[-1][0] >= lines[at][1]:
+                classes.pop()
+            at += 1
         is_class = m[3] == "class" or bool(m[4] and re.search(r"\bclass\b", m[0]))
         name, start = m[5], m.start(5)
         end = header_end(code, start)
-        owner = stack[-1][1] if stack and stack[-1][2] else None
+        owner = classes[-1][1] if classes else None
         kind = "class" if is_class else "cython" if cython and m[4] else "method" if owner else "function"
         detail = f"Method {owner}.{name}" if owner and not is_class else f"{kind.capitalize()} {name}"
         signature = None if is_class else signature_of(code, name, start, end)
         out.append(Symbol(name, kind, start, m.end(5), detail, None, signature, docstring_at(code, end), owner))
-        stack.append((indent, name, is_class))
+        if is_class:
+            classes.append((len(m[1].expandtabs(8)), name))
     return out
 
 
