@@ -289,10 +289,9 @@ class Engine:
         """The signature of the call that is open at a place, the spans of its parameters, and the active one."""
         code = source.Code(document)
         call = source.call_at(code, code.offset(line, column))
-        spans = F.udf(source.parameter_spans, "array<struct<_1:int,_2:int>>")
-        if call is None:
-            return self.definition("").withColumn("active", F.lit(0)).withColumn("parameters", spans("signature")).limit(0)
-        return self.definition(call[0].split(".")[-1]).filter("signature is not null").withColumn("active", F.lit(call[1])).withColumn("parameters", spans("signature"))
+        found = self.definition(call[0].split(".")[-1] if call else "").filter("signature is not null")
+        named = extract.with_parameters(found if call else found.limit(0))
+        return named.withColumn("active", F.lit(call[1] if call else 0))
 
     def type_definition(self, document: str, name: str, line: int, constructors: dict[str, str]) -> DataFrame:
         """The class that a name's inferred type names, at a line."""

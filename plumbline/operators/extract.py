@@ -291,3 +291,14 @@ def fixes(texts: DataFrame) -> DataFrame:
             yield path, title, *_place(code, a, b), new
 
     return each_text(texts.select("path", "text"), f"path string, title string, {POS}, replacement string", rows)
+
+
+def with_parameters(rows: DataFrame) -> DataFrame:
+    """``rows`` with the spans (start, end) of the parameters in their signature."""
+    at = rows.columns.index("signature")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", parameters array<struct<_1:int,_2:int>>"
+
+    def told(*row):
+        yield (*row, [{"_1": a, "_2": b} for a, b in source.parameter_spans(row[at] or "")])
+
+    return each_text(rows, ddl, told)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search", "rows", "joins", "windows", "texts", "sources", "modules", "index", "expressions", "scopes", "streams", "layouts", "edits", "varied")
+MODULES = ("search", "rows", "joins", "windows", "texts", "sources", "modules", "index", "expressions", "scopes", "streams", "layouts", "edits", "varied", "upkeep")
 
 
 def load() -> None:
