@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import bloom, source, text
-from plumbline.operators import extract, joins, rows, search, sets
+from plumbline.operators import bindings, extract, joins, rows, search, sets
 from plumbline.sources import files
 from plumbline.sources.store import PER_PATH, Store
 from plumbline.streaming import changes
@@ -370,9 +370,24 @@ class Engine:
         meant = first.unionByName(far.select("path", "name", F.col("s_start_line").alias("d_line"), F.col("s_path").alias("d_path")))
         return told.join(meant, ["path", "name"], "left")
 
+    def seen(self, places: DataFrame) -> DataFrame:
+        """What names mean at places (path, line, name) of their own files: binding_line, relation, sure_line and is_parameter.
+
+        Scopes, blocks and bindings are taken from the texts of those files alone.
+        """
+        texts = self.texts(self.listed(places))
+        lines = bindings.logical_lines(texts).checkpoint()
+        scopes = bindings.scopes_of(lines)
+        bound = bindings.bindings_of(lines, scopes).withColumn("parameter", F.col("is_parameter"))
+        asked = places.select("path", "name", F.col("line").alias("at")).distinct()
+        found = bindings.seen_bindings(asked, bound, scopes, bindings.blocks_of(lines), payload=["parameter"])
+        return found.select(
+            "path", "name", F.col("at").alias("line"), F.col("binding_at").alias("binding_line"), "relation", F.col("sure_at").alias("sure_line"), F.col("parameter").alias("is_parameter")
+        )
+
     def query(self, command: str, **parameters) -> DataFrame:
         """The command surface; parameters are the method's own."""
-        known = ("status", "search", "completion", "definition", "references", "rename", "documentation", "signature_help", "type_definition", "member", "outgoing_calls", "incoming_calls", "import_candidates", "unresolved_imports", "batch")
+        known = ("status", "search", "completion", "definition", "references", "rename", "documentation", "signature_help", "type_definition", "member", "outgoing_calls", "incoming_calls", "import_candidates", "unresolved_imports", "batch", "seen")
         if command not in known:
             raise ValueError(f"unknown command {command!r}; known: {', '.join(known)}")
         return getattr(self, command)(**parameters)

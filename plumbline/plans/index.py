@@ -150,6 +150,22 @@ def index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.batch(places).select("path", "name", "d_path", "d_line")
 
 
+@query(
+    "index_seen",
+    f"""
+    WITH {FILES}, asked AS (SELECT unnest(['n', 'price', 'make', 'make', 'm', 'z', 'n']) AS name, unnest([11, 11, 12, 19, 16, 23, 19]) AS line)
+    SELECT p AS path, name, line::INTEGER AS line, CASE WHEN name IN ('n', 'm') AND line < 19 THEN line - 2 + (name = 'm')::INTEGER WHEN name = 'price' THEN 1 WHEN name = 'make' AND line = 12 THEN 9
+      WHEN name = 'z' THEN 22 END::INTEGER AS binding_line, CASE WHEN line = 19 THEN 'hidden' ELSE 'dominates' END AS relation FROM s, asked
+    """,
+)
+def index_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What seven names mean at places of every supplier's file: parameters, imports, a method that only its class sees."""
+    held = engine(spark, sf_dir)
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(at).alias("line")) for n, at in (("n", 11), ("price", 11), ("make", 12), ("make", 19), ("m", 16), ("z", 23), ("n", 19)))))
+    places = held.listing().filter("startswith(path, '/lib/supply/')").select("path", asked.alias("asked")).select("path", "asked.*")
+    return held.seen(places).select("path", "name", "line", "binding_line", "relation")
+
+
 @query("index_root_counters", f"WITH {FILES} SELECT '/lib' AS root, (SELECT count(*) FROM s) + (SELECT count(*) FROM b) AS file_count, 3 * (SELECT count(*) FROM s) + 2 * (SELECT count(*) FROM b) AS doc_count")
 def index_root_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).store.read("index_root_metadata").select("root", "file_count", "doc_count")
