@@ -9,7 +9,7 @@ bound (the prefix word's place inside the window fixes where the window begins)
 words are compared.
 
 A second pass over the documents finds the passages. If the windows' measured size is at most ``broadcast_bytes`` they go
-to every executor and are compared there. A larger benchmark is joined: executors get bit maps of a fixed size of the
+to every executor and are compared there (a Python worker needs about eight times that for them). A larger benchmark is joined: executors get bit maps of a fixed size of the
 prefixes and windows, documents send the windows that these let through, and an equi-join on the whole window keeps
 the true ones. Both ways give the same rows.
 
@@ -242,7 +242,7 @@ def matched(docs: DataFrame, prefixes: DataFrame, power: int) -> DataFrame:
     )
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 32 << 20, power: int = 27) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 4 << 20, power: int = 27) -> DataFrame:
     """One row per document: doc_id, n_words, the intervals [starts, ends) of hit words, and the items that occur.
 
     ``power``: the bit maps of a benchmark that is joined have 2 ** power bits.
@@ -258,7 +258,7 @@ def n_hit() -> Column:
     return F.aggregate(F.zip_with("ends", "starts", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, broadcast_bytes: int = 32 << 20, power: int = 27) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, broadcast_bytes: int = 4 << 20, power: int = 27) -> DataFrame:
     """Counts of words, hit words and items per document; contaminated from one hit word in ``share`` on."""
     found = find_passages(docs, benchmark, width, broadcast_bytes, power)
     return found.withColumn("n_hit", n_hit()).select(
@@ -272,7 +272,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
 
 def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, broadcast_bytes: int = 32 << 20, power: int = 27
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, broadcast_bytes: int = 4 << 20, power: int = 27
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; no text is shuffled if the windows are small."""
     prefixes, small = prefixed(docs, benchmark, width, broadcast_bytes, power)

@@ -19,7 +19,7 @@ one sequence. Whatever must be counted over the corpus (words, symbols behind co
 distinct keys of a batch with their counts; keys go to buckets by ranges of their hash, are summed there, and the sums
 go back to the batches that asked, in the order of the keys. Each level is two such exchanges, the second along with the
 first of the next level. No task holds more than a batch or a bucket, nothing is broadcast, and only the histogram of
-counts up to ``frequent`` reaches the driver. Words and contexts are told apart by hashes of 64 bits.
+counts up to ``frequent`` reaches the driver. Words are told apart by hashes of 64 bits, contexts by the upper 52.
 
 Null text counts as empty: one end. Repeated rows are documents of their own, and all count. Ids may be null (they are
 learned from). An empty table gives an empty result. Other columns are ignored.
