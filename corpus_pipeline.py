@@ -1,7 +1,8 @@
 """A training-data pipeline over the documents table, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Rows without a doc_id are never dropped as near duplicates, since no id can stand for them.
+columns of documents. Rows without a doc_id are documents like any other: of a group of near duplicates the one of the
+smallest id stays, and one without an id only where none has one.
 """
 
 from __future__ import annotations
