@@ -335,7 +335,8 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
     The first shingle that two similar sets share has all others behind it in both, so what is left from there on (rest)
     must be enough in both. Sets of a shingle, component and band of sizes are first judged together, by their smallest
-    size and largest rest; only where these allow a similar pair they are taken one by one.
+    size and largest rest; only where these allow a similar pair they are taken one by one. Of a pair, the shingles that
+    its prefixes share and what is left behind the last of them must be enough too.
     """
     share = similarity / (1 + similarity)
     width = 1.12
@@ -357,7 +358,12 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     one = apart.join(side(held, "a"), ["token", "a_band", "a_root"]).filter(enough("a_rest", "most", "a_n", "least"))
     both = one.join(side(held, "b"), ["token", "b_band", "b_root"]).filter(enough("a_rest", "b_rest", "a_n", "b_n"))
     sizes = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-6
-    return both.filter(sizes).select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b")).distinct()
+    # Rows of a pair are its first common shingles, all with enough behind them; it has no more than these and what is behind the last.
+    rows = both.filter(sizes).select(
+        F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b"), F.least("a_rest", "b_rest").alias("rest"), (F.col("a_n") + F.col("b_n")).alias("n")
+    )
+    met = rows.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("rest").alias("behind"), F.max("n").alias("n"))
+    return met.filter(F.col("common") - 1 + F.col("behind") >= share * F.col("n") - 1e-6).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
