@@ -22,6 +22,8 @@ def duck():
 
 
 def shown(value):
+    if hasattr(value, "tolist") and getattr(value, "ndim", 0):
+        value = value.tolist()
     if not isinstance(value, (list, tuple)) and pd.isna(value):
         return "null"
     if isinstance(value, float):
