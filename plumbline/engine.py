@@ -35,7 +35,7 @@ IDENTITY = ("d_name", "d_module", "d_path", "d_start_line")
 def enclosing(points: DataFrame, outline: DataFrame, line: str) -> DataFrame:
     """``points`` with the name of the innermost outlined symbol of the same path around their line."""
     spans = outline.filter("kind in ('function', 'method', 'class', 'cython')").select("path", F.col("first_line").alias("start"), F.col("last_line").alias("end"), F.col("name").alias("label"))
-    return joins.innermost(points, spans, "path", line, 64).withColumnRenamed("label", "caller").drop("start", "end")
+    return joins.innermost(points, spans, "path", line).withColumnRenamed("label", "caller").drop("start", "end")
 
 
 def incoming_calls(calls: DataFrame, outline: DataFrame) -> DataFrame:

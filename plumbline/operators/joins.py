@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.intervals import best_holding
 from plumbline.operators.rows import ancestors, best_per_key
 from plumbline.session import shared_folder
 
@@ -171,18 +172,14 @@ def same_identity(references: DataFrame, target: DataFrame, identity: Sequence[s
     return best_per_key(hit, ["path", "start_line", "start_character"], ["end_line", "end_character"])
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: str, point: str, width: int) -> DataFrame:
-    """``points`` with the interval (start, end, label) of the same key that holds them and starts last.
+def innermost(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
+    """``points`` with the interval (start, end, label) of the same key that holds them and starts last; others go.
 
-    Intervals are dealt to every cell of ``width`` that they touch, and points to their own, so the join is on key and
-    cell; the width bounds what meets in a cell. Of intervals that start together the shorter wins, then the label.
+    Of intervals that start together the shorter wins, then the label.
     """
-    cells = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    dealt = intervals.filter(F.col("end") >= F.col("start")).select(key, "start", "end", "label", F.explode(cells).alias("_cell"))
-    placed = points.withColumn("_cell", F.floor(F.col(point) / width))
-    inside = (F.col("start") <= F.col(point)) & (F.col(point) <= F.col("end"))
-    held = placed.join(dealt, [key, "_cell"]).filter(inside).drop("_cell")
-    return best_per_key(held, points.columns, [-F.col("start"), "end", "label"])
+    best = F.struct((-F.col("start")).alias("from"), "end", "label", "start")
+    held = best_holding(points, intervals.filter(F.col("end") >= F.col("start")), [key], point, {"_best": best}).filter("_best is not null")
+    return held.select(*points.columns, "_best.start", "_best.end", "_best.label")
 
 
 def overlay(index: DataFrame, live: DataFrame, open_paths: DataFrame) -> DataFrame:

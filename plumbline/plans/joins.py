@@ -183,7 +183,7 @@ def enclosing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("day", day)
     spans = lines.select(F.col("l_orderkey").alias("order_key"), F.col("day").alias("start"), (F.col("day") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_linenumber").alias("label"))
     points = lines.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("point_no"), (F.col("day") + 3).alias("spot"))
-    return joins.innermost(points, spans, "order_key", "spot", 64).select("order_key", "point_no", "spot", "label")
+    return joins.innermost(points.distinct(), spans, "order_key", "spot").select("order_key", "point_no", "spot", "label")
 
 
 @query(

@@ -20,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cells import numbered
 from plumbline.operators.layout import clustered
 from plumbline.operators.rows import ancestors, apply_deltas, best_per_key, count_by_root
 from plumbline.operators.search import NAME_KEY, keyed
@@ -370,9 +371,9 @@ def export_bundle(symbols: DataFrame, references: DataFrame, folder: str, privat
     if not symbols.filter(leaked).isEmpty():
         raise ValueError("a private path would be exported")
     one = best_per_key(symbols, ["origin", "name", "module", "path"], ["start_line", "start_character"])
-    numbered = dense_ids(one, ["name", "module", "path", "origin"], "id")
+    ided = dense_ids(one, ["name", "module", "path", "origin"], "id")
     sources = dense_ids(one.select("path", "module").distinct(), ["path", "module"], "source_id")
-    linked = numbered.join(sources, ["path", "module"])
+    linked = ided.join(sources, ["path", "module"])
     parts = {
         "sources": sources,
         "symbols": linked,
@@ -385,10 +386,8 @@ def export_bundle(symbols: DataFrame, references: DataFrame, folder: str, privat
 
 
 def dense_ids(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``rows`` with ids from 0 in order; first characters of the order make the ranges."""
-    head = F.substring(F.col(order[0]), 1, 2)
-    counted = running_total(rows.withColumn("_one", F.lit(1).cast("long")), head, list(order), "_one", name)
-    return counted.drop("_one").withColumn(name, F.col(name).cast("long"))
+    """``rows`` with ids from 0 in order."""
+    return numbered(rows, [], list(order), name).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str, keys: dict[str, Sequence[str]]) -> None:

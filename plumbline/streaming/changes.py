@@ -88,11 +88,6 @@ def watch(stream: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def event_counts(stream: DataFrame, at: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Extension, not parity: events per window and type, with a watermark that bounds the state."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, window).alias("window"), "event").agg(F.count("*").alias("n"))
-
-
 def apply_all(batches: Iterable[DataFrame], refresh: Callable[[DataFrame, int], None]) -> None:
     """Several batches of changes at once: only the newest event of each path is applied, and the store is written once."""
     held = None
