@@ -699,19 +699,24 @@ def scopes(code: Code, rows: list[Symbol]) -> list[tuple[str, str, int, int, str
 def bindings(code: Code, rows: list[Symbol]) -> list[tuple[str, str, int, bool]]:
     """(name, scope path, line, is parameter) of what each scope binds."""
     held = scopes(code, rows)
-    inner = lambda line: max((s for s in held if s[2] <= line <= s[3]), key=lambda s: (s[2], len(s[0])))
+    # The innermost scope of every line, with and without the scope's own first line: inner ones overwrite outer ones.
+    own, inside = [held[0]] * len(code.starts), [held[0]] * len(code.starts)
+    for s in sorted(held, key=lambda s: (s[2], len(s[0]))):
+        own[s[2] : s[3] + 1] = [s] * len(own[s[2] : s[3] + 1])
+        if s is not held[0]:
+            inside[s[2] + 1 : s[3] + 1] = [s] * len(inside[s[2] + 1 : s[3] + 1])
     out = []
     for s in rows:
+        line = code.line_of(s.start)
         if s.kind != "module":
-            line = code.line_of(s.start)
-            around = [h for h in held if h[2] < line <= h[3]] or held[:1]
-            out.append((s.name, max(around, key=lambda h: (h[2], len(h[0])))[0], line, False))
+            out.append((s.name, inside[line][0], line, False))
         for p in parameters(s.signature or ""):
             name = re.match(rf"\**({ASCII_WORD})", p)
             if name:
-                out.append((name[1], inner(code.line_of(s.start))[0], code.line_of(s.start), True))
+                out.append((name[1], own[line][0], line, True))
     for m in re.finditer(rf"^[ \t]+({ASCII_WORD})[ \t]*=(?!=)", code.code, re.MULTILINE):
-        out.append((m[1], inner(code.line_of(m.start(1)))[0], code.line_of(m.start(1)), False))
+        line = code.line_of(m.start(1))
+        out.append((m[1], own[line][0], line, False))
     return out
 
 

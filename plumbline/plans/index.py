@@ -12,14 +12,26 @@ from plumbline.plans.modules import FILES, base_texts, module_texts
 from plumbline.plans.registry import query
 from plumbline.session import shared_folder
 from plumbline.sources.store import Store
+from plumbline.sources.tables import table
 
-_BUILT: dict[tuple[str, str], TextsEngine] = {}
+_BUILT: dict[tuple, TextsEngine] = {}
 FIRST = "/lib/supply/s_1.py"
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files of the tables that the index is made of, with their sizes and times."""
+    out = []
+    for name in ("supplier", "nation"):
+        for file in table(spark, sf_dir, name).inputFiles():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(file))
+            told = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+            out.append((file, told.getLen(), told.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def engine(spark: SparkSession, sf_dir: str) -> TextsEngine:
-    """The index over all suppliers' and nations' files; editable are the suppliers'."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index over all suppliers' and nations' files; editable are the suppliers'. It is built anew when the tables change."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _BUILT:
         texts = module_texts(spark, sf_dir).unionByName(base_texts(spark, sf_dir))
         made = TextsEngine(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", texts, "/lib", ["/lib/supply"])
@@ -227,8 +239,6 @@ def store_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("store_runtime_docs", "SELECT 'c.' || c_nationkey AS symbol, max(c_custkey)::BIGINT AS updated_at FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
 def store_runtime_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documentation written back: the last of each symbol, nothing where nothing is said."""
-    from plumbline.sources.tables import table
-
     said = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).otherwise(" ")
     rows = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c."), F.col("c_nationkey").cast("string")).alias("symbol"), said.alias("docstring"), F.lit(None).cast("string").alias("summary"), F.col("c_custkey").cast("long").alias("updated_at")
@@ -240,8 +250,6 @@ def store_runtime_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("store_moved_counters", "SELECT '/r/' || n_regionkey AS root, greatest(count(*) - 4, 0)::BIGINT AS file_count FROM nation GROUP BY n_regionkey")
 def store_moved_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.sources.tables import table
-
     root = F.concat(F.lit("/r/"), F.col("n_regionkey").cast("string")).alias("root")
     counted = table(spark, sf_dir, "nation").groupBy(root).agg(F.count("*").alias("file_count"))
     held = _store(spark)
