@@ -142,11 +142,11 @@ def test_mix_of_very_many_sources(spark, monkeypatch):
     from plumbline.llm import common
 
     rng = random.Random(4)
-    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", f"domain{i}", 1) for i in range(3000)] + [(10_000 + i, "some more words", "en", "big", 1) for i in range(300)]
-    rows += [(20_000, "one row again and again", "en", "copies", 1)] * 1500
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", f"domain{i}", 1) for i in range(1500)] + [(10_000 + i, "some more words", "en", "big", 1) for i in range(300)]
+    rows += [(20_000, "one row again and again", "en", "copies", 1)] * 900
     ranges = []
     whole = common.ranged
-    monkeypatch.setattr(mixing, "ranged", lambda df, order, name: ranges.append((name, whole(df, order, name, size=150))) or ranges[-1][1])
+    monkeypatch.setattr(mixing, "ranged", lambda df, order, name: ranges.append((name, whole(df, order, name, size=100))) or ranges[-1][1])
     got = mixing.mix(docs(spark, rows)).collect()
     assert sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == mixed_by_sql(rows)
     for name, held in ranges:
