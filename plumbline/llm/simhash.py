@@ -280,9 +280,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turn
 
     Fingerprints within two bits are linked as they are. Beyond, all pairs of sets with a Jaccard similarity of
     ``similarity`` or more are linked: they share a shingle of their prefixes(). Sets of a shingle are first compared
-    with a few of their shingle only, two in each of some ``turns``, the first turn by itself; then all pairs whose
-    components still differ are, which changes no component and spares most pairs of large groups. A shingle's pairs are
-    split by their components.
+    with a few of their shingle only, two in each of some ``turns``; then all pairs whose components still differ are,
+    which changes no component and spares most pairs of large groups. A shingle's pairs are split by their components.
     """
     spark = docs.sparkSession
     full = written(shingled(docs, width), "shingled")
@@ -302,13 +301,13 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turn
     del first, often
     release(spark)
     linked = written(links(held, 2), "close")
-    for few in (range(1), range(1, turns), None):
+    for few in (True, False):
         roots = written(components(linked).distinct(), "roots")
         linked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         placed = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "own", "n", "at", "band", F.coalesce("root", "fp").alias("root"))
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
         still = written(placed.join(mixed.select("token"), "token"), "open")
-        pairs = written(all_pairs(still, similarity) if few is None else some_pairs(still, few, similarity), "pairs")
+        pairs = written(some_pairs(still, turns, similarity) if few else all_pairs(still, similarity), "pairs")
         linked = written(linked.unionByName(similar(pairs, sets, similarity)), "similar")
         discard(still)
         discard(pairs)
@@ -319,14 +318,14 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, turn
     return prints, held, linked
 
 
-def some_pairs(rows: DataFrame, turns: range, similarity: float) -> DataFrame:
+def some_pairs(rows: DataFrame, turns: int, similarity: float) -> DataFrame:
     """For every set, in each turn, at most two of its shingles' and band's sets of another component, if they can be similar enough."""
     share = similarity / (1 + similarity)
     rows = rows.withColumn("rest", F.col("n") - F.col("at"))
-    picks = [F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "root", "n", "rest") for turn in turns]
-    ends = rows.groupBy("token", "band").agg(*(f(p).alias(f"{f.__name__}{t}") for t, p in zip(turns, picks, strict=True) for f in (F.min, F.max)))
+    picks = [F.struct(F.xxhash64("own", F.lit(turn)).alias("h"), "own", "root", "n", "rest") for turn in range(turns)]
+    ends = rows.groupBy("token", "band").agg(*(f(p).alias(f"{f.__name__}{t}") for t, p in enumerate(picks) for f in (F.min, F.max)))
     both = rows.join(ends, ["token", "band"])
-    chosen = [f"{f.__name__}{t}" for t in turns for f in (F.min, F.max)]
+    chosen = [f"{f.__name__}{t}" for t in range(turns) for f in (F.min, F.max)]
 
     def other(c: str) -> Column:
         sizes = F.least(F.col("n"), F.col(f"{c}.n")) >= F.lit(similarity) * F.greatest(F.col("n"), F.col(f"{c}.n")) - 1e-6
